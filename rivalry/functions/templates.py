@@ -136,3 +136,107 @@ def chat_template(messages, template: str = "gemma", add_generation_prompt: bool
 def user_message(content) -> Column:
     """A one-message conversation ``[{role: user, content}]``."""
     return F.array(F.struct(F.lit("user").alias("role"), _c(content).alias("content")))
+
+
+# Fixed value: the judge-rationale prompt (T16), placeholders in braces.
+JUDGE_TEMPLATE = '''
+You are an expert language model analyst. Your task is to compare two responses to a given prompt and explain in detail why one is better than the other. Provide a comprehensive analysis based on the following criteria:
+
+1. Relevance (Score 1-10):
+   - How well does each response address the original prompt?
+   - Are all parts of the prompt adequately covered?
+
+2. Coherence (Score 1-10):
+   - Is the response well-structured with a clear flow of ideas?
+   - Are there logical transitions between sentences and paragraphs?
+
+3. Clarity (Score 1-10):
+   - How easy is it to understand the main points of each response?
+   - Is the language used appropriate for the target audience?
+
+4. Depth (Score 1-10):
+   - Does the response provide sufficient detail and examples?
+   - Are complex ideas thoroughly explained?
+
+5. Accuracy (Score 1-10):
+   - Is the information provided factually correct?
+   - Are there any misleading or outdated statements?
+
+6. Tone (Score 1-10):
+   - Is the tone appropriate for the context of the prompt?
+   - Does it maintain a consistent voice throughout?
+
+7. Creativity (Score 1-10):
+   - Does the response offer unique insights or perspectives?
+   - Is there original thinking demonstrated?
+
+8. Conciseness (Score 1-10):
+   - Is the response appropriately concise without omitting important details?
+   - Is there unnecessary repetition or verbosity?
+
+Original Prompt:
+{original_prompt}
+
+Response A:
+{response_a}
+
+Response B:
+{response_b}
+
+Better Response: {better_response}
+
+Analysis:
+1. Provide a detailed explanation of why the chosen response is better, referencing each of the criteria mentioned above.
+2. For each criterion, explain why one response scored higher than the other.
+3. Highlight any particular strengths of the better response.
+4. Identify specific areas where the other response could be improved.
+5. If applicable, mention any unique aspects or approaches in either response that are noteworthy.
+6. Whenever you mention a critique or suggestion, quote the text from the responses to support your analysis.
+
+Scoring Summary:
+- Response A Scores: [Provide scores for each criterion]
+- Response B Scores: [Provide scores for each criterion]
+- Total Score A: [Sum of A's scores]
+- Total Score B: [Sum of B's scores]
+
+Conclusion:
+Summarize in 2-3 sentences why the chosen response is superior overall.
+'''
+
+# Fixed value: the paraphrase request prompt (T17), placeholders in braces.
+PARAPHRASE_TEMPLATE = """Paraphrase the following conversation, considering the provided label throughout the process. Maintain the essence, overall structure, and tone of each response while using significantly different wording and examples.
+
+{conversation}
+
+Label: {label}
+
+Guidelines for paraphrasing:
+
+1. Preserve the core message and main points of each response.
+2. Adjust the content subtly to align with the given label, emphasizing strengths or weaknesses as appropriate.
+3. Use fresh examples, analogies, or phrasing that convey similar ideas to the original.
+4. Maintain any unique elements like humor, formality, or technical detail characteristic of each response.
+5. Ensure the paraphrased version reads naturally and captures the original tone and style.
+6. If the label indicates a tie, balance the quality and appeal of both responses equally.
+7. The responses should be packed in the following <prompt></prompt>, <response_a></response_a>, <response_b></response_b> format. Inside them should be the paraphrase text. Keep in mind each new conversation inside the original conversation should have its own conversation
+
+Your paraphrased version should feel like a natural conversation that accurately represents the original while subtly reflecting the label's assessment."""
+
+SYSTEM_MESSAGE = "You are a helpful assistant."
+
+
+def template_parts(template: str) -> list[tuple[str, str]]:
+    """Split ``template`` into ('lit', text) / ('var', name) pieces on ``{name}``."""
+    import re
+    out, pos = [], 0
+    for m in re.finditer(r"\{([a-z_]+)\}", template):
+        out.append(("lit", template[pos:m.start()]))
+        out.append(("var", m.group(1)))
+        pos = m.end()
+    out.append(("lit", template[pos:]))
+    return [p for p in out if p != ("lit", "")]
+
+
+def fill_template(template: str, **values) -> Column:
+    """``str.format`` as a ``concat`` of literals and columns (NULL column → NULL)."""
+    return F.concat(*[F.lit(v) if k == "lit" else _c(values[v]) for k, v in template_parts(template)])

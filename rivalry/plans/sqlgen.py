@@ -51,3 +51,32 @@ def strip_sql(x: str) -> str:
 def dot_sql(a: str, b: str) -> str:
     return (f"list_reduce(list_transform(list_zip({a}, {b}), lambda t: CAST(t[1] AS DOUBLE) * CAST(t[2] AS DOUBLE)), "
             f"lambda x, y: x + y, CAST(0 AS DOUBLE))")
+
+
+def lit(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def fill_sql(parts: list[tuple[str, str]], **values: str) -> str:
+    """``str.format`` in SQL: ``||`` of literals and expressions."""
+    return "(" + " || ".join(lit(v) if k == "lit" else f"({values[v]})" for k, v in parts) + ")"
+
+
+TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
+
+def tokens_sql(x: str) -> str:
+    return f"regexp_extract_all(coalesce({x}, ''), '{TOKEN_RE}')"
+
+
+def words_sql(x: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
+
+
+def join_mode_sql(x: str) -> str:
+    return f"array_to_string(list_transform(from_json({x}, '[\"VARCHAR\"]'), lambda e: coalesce(e, '')), ' ')"
+
+
+def textual_mode_sql(x: str) -> str:
+    return f"array_to_string(list_transform(string_split(trim({x}, '[]'), '\",\"'), lambda e: trim(e, '\"')), ' ')"
