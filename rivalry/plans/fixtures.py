@@ -173,3 +173,16 @@ def results_table(spark: SparkSession, sf: str) -> DataFrame:
         (200 + F.col("id") % 50).cast("long").alias("prompt_tokens"),
         F.floor(F.length(content) / 4).cast("long").alias("completion_tokens"),
     )
+
+
+def prompt_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval result keyed by prompt text: a sample prompt/response and a similarity,
+    for the distinct prompts whose md5 starts with 0-b (the rest are misses)."""
+    pb = parsed_battles(spark, sf)
+    prompts = pb.select(F.explode("p").alias("prompt")).distinct()
+    h = F.md5("prompt")
+    return prompts.filter(F.substr(h, F.lit(1), F.lit(1)) < "c").select(
+        "prompt",
+        F.concat(F.lit("Sample: "), F.substring("prompt", 1, 40)).alias("similar_prompt"),
+        F.concat(F.lit("Ideal answer "), F.substr(h, F.lit(3), F.lit(6))).alias("similar_response"),
+        (F.conv(F.substr(h, F.lit(2), F.lit(2)), 16, 10).cast("int") / F.lit(255.0)).alias("similarity"))
