@@ -18,6 +18,7 @@ from rivalry.operators import combine, folds, labels
 from rivalry.plans.oracle_fixtures import with_fixtures, zip_render
 from rivalry.plans.registry import ORACLES, register
 from rivalry.plans.sqlgen import kfold_sql, shuffle_key_sql, strip_sql
+from rivalry.session import cut_lineage
 
 
 def render_text(df: DataFrame) -> DataFrame:
@@ -31,7 +32,9 @@ def render_text(df: DataFrame) -> DataFrame:
 def prepare_corpus(battles: DataFrame, extra: DataFrame, synth: DataFrame, preds: DataFrame,
                    k: int = 5, seed: int = 42) -> DataFrame:
     cols = ["id", "model_a", "model_b", "label", "text"]
-    main = render_text(labels.label_from_flags(battles)).select(*cols)
+    # the rendered main corpus feeds the fold statistics, the ranking and the
+    # semi-join: write it once to the shared folder instead of recomputing it
+    main = cut_lineage(render_text(labels.label_from_flags(battles)).select(*cols), "corpus-main")
     main = folds.stratified_kfold(main, k, shuffle=True, seed=seed)
     ext = render_text(labels.label_from_flags(extra)).select(*cols)
     ext = combine.semi_join_models(ext, main)
@@ -74,5 +77,6 @@ def stacked_predictions(bb: DataFrame) -> DataFrame:
 @register("prepare_corpus")
 def q_prepare_corpus(spark, sf):
     from rivalry.plans import fixtures as fx
-    return prepare_corpus(fx.battles_text(spark, sf), fx.battles_extra(spark, sf), fx.battles_synth(spark, sf),
+    bt = cut_lineage(fx.battles_text(spark, sf), "battles")
+    return prepare_corpus(bt, fx.battles_extra(spark, sf, bt), fx.battles_synth(spark, sf, bt),
                           stacked_predictions(fx.battles_big(spark, sf)))

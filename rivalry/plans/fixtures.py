@@ -89,18 +89,18 @@ def battles_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def battles_extra(spark: SparkSession, sf: str) -> DataFrame:
+def battles_extra(spark: SparkSession, sf: str, bt: DataFrame | None = None) -> DataFrame:
     """A second corpus: copies of every 4th battle (same text) and battles whose
     ``model_a`` was never seen in the main corpus."""
-    bt = battles_text(spark, sf)
+    bt = bt if bt is not None else battles_text(spark, sf)
     dup = bt.filter(F.col("id") % 4 == 0)
     unseen = bt.filter(F.col("id") % 4 == 1).withColumn("model_a", F.concat(F.lit("new-"), F.col("model_a")))
     return dup.unionByName(unseen).withColumn("id", F.col("id") + 1000000)
 
 
-def battles_synth(spark: SparkSession, sf: str) -> DataFrame:
+def battles_synth(spark: SparkSession, sf: str, bt: DataFrame | None = None) -> DataFrame:
     """Synthetic battles: only prompt, answers, label and a string id (no flags, models, fold)."""
-    bt = battles_text(spark, sf).filter(F.col("id") % 3 == 0)
+    bt = (bt if bt is not None else battles_text(spark, sf)).filter(F.col("id") % 3 == 0)
     return bt.select(
         "prompt", "response_a", "response_b",
         (F.when(F.col("winner_model_a") == 1, 0).when(F.col("winner_model_b") == 1, 1).otherwise(2))
