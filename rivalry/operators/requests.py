@@ -90,9 +90,19 @@ def extract_turns(results: DataFrame, content: str = "content") -> DataFrame:
                                 "responses_b": extract_tag_blocks(content, "response_b")})
 
 
+def parity_ok():
+    return (F.size("prompts") == F.size("responses_a")) & (F.size("responses_a") == F.size("responses_b"))
+
+
+def with_parity_status(turns: DataFrame, out: str = "status") -> DataFrame:
+    """F5 in one pass: ``good`` when prompts and answers pair up, else ``quarantine``."""
+    return turns.withColumn(out, F.when(parity_ok(), F.lit("good")).otherwise(F.lit("quarantine")))
+
+
 def parity_split(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantined) — good rows have equally many prompts and answers."""
-    ok = (F.size("prompts") == F.size("responses_a")) & (F.size("responses_a") == F.size("responses_b"))
+    """(good, quarantined) — good rows have equally many prompts and answers.
+    Both outputs read the same input: persist it first when writing both."""
+    ok = parity_ok()
     return turns.filter(ok), turns.filter(~ok)
 
 

@@ -113,9 +113,7 @@ def q_extract_tag_blocks(spark, sf):
   CASE WHEN len(prompts) = len(responses_a) AND len(responses_a) = len(responses_b) THEN 'good' ELSE 'quarantine' END AS status
 FROM (SELECT custom_id, {_TAGS} FROM res)""", "res"))
 def q_turn_parity_check(spark, sf):
-    t = R.extract_turns(fx.results_table(spark, sf))
-    good, bad = R.parity_split(t)
-    out = good.withColumn("status", F.lit("good")).unionByName(bad.withColumn("status", F.lit("quarantine")))
+    out = R.with_parity_status(R.extract_turns(fx.results_table(spark, sf)))
     return out.select("custom_id", F.size("prompts").alias("n_prompts"), F.size("responses_a").alias("n_a"),
                       F.size("responses_b").alias("n_b"), "status")
 

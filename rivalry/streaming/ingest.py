@@ -29,10 +29,15 @@ def ingest_results(spark: SparkSession, source: str, good_path: str, bad_path: s
     parsed = R.extract_turns(R.parse_results(reader.json(source)))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # one folder per micro-batch, overwritten on replay → idempotent appends
-        good, bad = R.parity_split(batch)
-        good.write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{bad_path}/batch_id={batch_id}")
+        # one folder per micro-batch, overwritten on replay → idempotent appends;
+        # the batch feeds two sinks, so it is persisted for the two writes
+        batch.persist()
+        try:
+            good, bad = R.parity_split(batch)
+            good.write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{bad_path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     q = (parsed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

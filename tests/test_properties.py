@@ -84,6 +84,14 @@ def test_exact_knn_equals_brute_force(spark):
     assert ours == ref
 
 
+def test_exact_knn_with_small_chunks(spark):
+    # force many corpus and query chunks per cell (a hot cell split across tasks)
+    q, c = fx.retrieval_queries(spark, SF_SMALL), fx.retrieval_corpus(spark, SF_SMALL)
+    ours = {(r.q_id, r.rank): r.id for r in knn.knn_join(q, c, k=2, corpus_chunk=7, query_chunk=5).collect()}
+    ref = {(r.q_id, r.rank): r.id for r in knn.knn_brute_force(q, c, k=2).collect()}
+    assert ours == ref
+
+
 def test_lsh_recall(spark):
     q, c = fx.retrieval_queries(spark, SF_MED), fx.retrieval_corpus(spark, SF_MED)
     exact = knn.knn_join(q, c, k=1)
