@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.functions import probs
+from rivalry.session import spread
 
 
 def qcut_edges(df: DataFrame, col: str, q: int, exact: bool = True) -> list[float]:
@@ -70,7 +71,7 @@ def temperature_search(df: DataFrame, bin_col: str, label: str = "label", zs=("z
     ``rows x grid`` finds every bin's optimum (ties → smaller T).
     """
     grid = grid or temperature_grid()
-    g = df.select(bin_col, label, *zs, F.explode(F.array(*[F.lit(t) for t in grid])).alias("t"))
+    g = spread(df.select(bin_col, label, *zs)).select(bin_col, label, *zs, F.explode(F.array(*[F.lit(t) for t in grid])).alias("t"))
     loss = g.groupBy(bin_col, "t").agg(F.avg(probs.row_softmax_log_loss(label, *zs, temperature=F.col("t")))
                                       .alias("loss"), F.count(F.lit(1)).alias("n"))
     best = loss.groupBy(bin_col).agg(F.min_by(F.struct("t", "loss", "n"),
@@ -88,7 +89,7 @@ def temperature_scale(df: DataFrame, temps: DataFrame, bin_col: str, zs=("z0", "
 
 
 def _blend_losses(df: DataFrame, label: str, ps, qs, weights: list[float]) -> DataFrame:
-    g = df.select(label, *ps, *qs, F.explode(F.array(*[F.lit(w) for w in weights])).alias("w"))
+    g = spread(df.select(label, *ps, *qs)).select(label, *ps, *qs, F.explode(F.array(*[F.lit(w) for w in weights])).alias("w"))
     mixed = probs.blend(list(ps), list(qs), F.col("w"))
     return g.groupBy("w").agg(F.avg(probs.row_log_loss(label, *mixed)).alias("loss"))
 

@@ -82,3 +82,17 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a (narrow) input only when it has fewer partitions than the
+    cluster has cores — e.g. one small file feeding a rows x grid expansion.
+    On large inputs (many splits) this is a no-op and adds no shuffle."""
+    spark = df.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect
+        return df
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
