@@ -10,7 +10,7 @@ tasks instead of one window partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.operators.ordered import hex_bucket, ordered_index
@@ -75,12 +75,12 @@ def pair_stratified_kfold(df: DataFrame, k: int = 10, a: str = "model_a", b: str
 def dense_index_table(df: DataFrame, col: str = "model_a", order: str = "id") -> DataFrame:
     """W3 dictionary: value → 0-based index of its first appearance in ``order``.
 
-    One row per distinct value (the dictionary), numbered by a window over
-    that small aggregate.
+    One row per distinct value, numbered with the bucketed ``ordered_index``
+    (no single-partition window even for a large dictionary).
     """
     firsts = df.groupBy(col).agg(F.min(order).alias("_first"))
-    return firsts.select(F.col(col).alias("value"),
-                         (F.row_number().over(Window.orderBy("_first", col)) - 1).cast("int").alias("idx"))
+    ranked = ordered_index(firsts, ["_first", col], name="_rn")
+    return ranked.select(F.col(col).alias("value"), (F.col("_rn") - 1).cast("int").alias("idx"))
 
 
 def dense_index(df: DataFrame, cols=("model_a", "model_b"), source: str = "model_a",
