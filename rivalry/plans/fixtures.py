@@ -183,6 +183,6 @@ def prompt_context(spark: SparkSession, sf: str) -> DataFrame:
     h = F.md5("prompt")
     return prompts.filter(F.substr(h, F.lit(1), F.lit(1)) < "c").select(
         "prompt",
-        F.concat(F.lit("Sample: "), F.substring("prompt", 1, 40)).alias("similar_prompt"),
+        F.concat(F.lit("Sample: "), F.col("prompt")).alias("similar_prompt"),
         F.concat(F.lit("Ideal answer "), F.substr(h, F.lit(3), F.lit(6))).alias("similar_response"),
         (F.conv(F.substr(h, F.lit(2), F.lit(2)), 16, 10).cast("int") / F.lit(255.0)).alias("similarity"))

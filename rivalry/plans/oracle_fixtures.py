@@ -81,7 +81,7 @@ FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
         CAST(CASE WHEN winner_model_a = 1 THEN 0 WHEN winner_model_b = 1 THEN 1 ELSE 2 END AS INTEGER) AS label,
         'syn-' || CAST(id AS VARCHAR) AS id
       FROM bt WHERE id % 3 = 0""", ("bt",)),
-    "ctx": ("""SELECT prompt, 'Sample: ' || substring(prompt, 1, 40) AS similar_prompt,
+    "ctx": ("""SELECT prompt, 'Sample: ' || prompt AS similar_prompt,
         'Ideal answer ' || substr(md5(prompt), 3, 6) AS similar_response,
         ('0x' || substr(md5(prompt), 2, 2))::INTEGER / CAST(255 AS DOUBLE) AS similarity
       FROM (SELECT DISTINCT unnest(p) AS prompt FROM pb) WHERE substr(md5(prompt), 1, 1) < 'c'""", ("pb",)),
