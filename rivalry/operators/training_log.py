@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivalry.operators.ordered import hex_bucket, ordered_index, running_aggregates
+from rivalry.operators.ordered import BUCKET, hex_bucket, ordered_index, running_aggregates, with_range_bucket
 
 
 def running_mean(df: DataFrame, value: str, order: str, by=(), out: str = "running_loss") -> DataFrame:
@@ -38,8 +38,10 @@ def early_stop(df: DataFrame, value: str, order: str, by=(), patience: int = 50)
     on (series, running min) instead of a sequential scan.
     """
     by = list(by)
-    d = ordered_index(df, [order], by, name="round")
-    d = running_aggregates(d, [order], by, {"_m": (value, "min")})
+    # one approximate-quantile pass gives the range buckets for both helpers
+    d = with_range_bucket(df, order).withColumnRenamed(BUCKET, "_b0")
+    d = ordered_index(d, [order], by, bucket=F.col("_b0"), name="round")
+    d = running_aggregates(d, [order], by, {"_m": (value, "min")}, bucket=F.col("_b0")).drop("_b0")
     first_at = d.groupBy(*by, "_m").agg(F.min("round").alias("best_round"))
     d = d.join(first_at, by + ["_m"])
     stop = d.groupBy(*by).agg(
