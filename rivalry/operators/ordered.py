@@ -86,15 +86,47 @@ def ordered_index(df: DataFrame, order_cols: list, partition_cols: list | tuple
     part = list(partition_cols)
     d = _bucketed(df, order_cols, bucket)
     counts = d.groupBy(*part, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*part).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, BUCKET, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    if offsets_bound is not None or not part:
-        offsets = F.broadcast(offsets)
-    d = _null_safe_join(d, offsets, part + [BUCKET])
+    if not part:
+        # global numbering: the bucket table is bounded by the bucket count —
+        # collect it and inline the prefix offsets (no single-partition stage)
+        offs = _global_offsets(counts, {"_n": "sum"})
+        d = d.withColumn("_off", F.coalesce(F.element_at(offs["_n"], F.col(BUCKET)), F.lit(0)))
+    else:
+        w = Window.partitionBy(*part).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(*part, BUCKET, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+        if offsets_bound is not None:
+            offsets = F.broadcast(offsets)
+        d = _null_safe_join(d, offsets, part + [BUCKET])
     wi = Window.partitionBy(*part, BUCKET).orderBy(*_order(order_cols))
     return d.withColumn(name, (F.row_number().over(wi) + F.col("_off")).cast("long")).drop("_off", BUCKET)
 
 
+MAX_BUCKETS = 1 << 16
+
+
+def _global_offsets(per_bucket: DataFrame, kinds: dict[str, str]) -> dict:
+    """Exclusive prefix aggregates over buckets as literal maps bucket → value.
+
+    ``per_bucket`` has one row per non-empty bucket (bounded, checked)."""
+    rows = per_bucket.limit(MAX_BUCKETS + 1).collect()
+    if len(rows) > MAX_BUCKETS:
+        raise RuntimeError("bucket table larger than its bound")
+    rows.sort(key=lambda r: r[BUCKET])
+    out = {}
+    for col, kind in kinds.items():
+        acc, pairs = None, []
+        for r in rows:
+            pairs.append((r[BUCKET], acc))
+            v = r[col]
+            if v is None:
+                continue
+            acc = v if acc is None else (acc + v if kind in ("sum", "count") else
+                                         min(acc, v) if kind == "min" else max(acc, v))
+        lits = [x for b, a in pairs if a is not None for x in (F.lit(b), F.lit(a))]
+        out[col] = F.create_map(*lits) if lits else F.create_map().cast("map<int,double>")
+    return out
+
+
 def running_aggregates(df: DataFrame, order_cols: list, partition_cols: list | tuple,
                        aggs: dict[str, tuple[str, str]], bucket: Column | None = None) -> DataFrame:
     """Running (inclusive, row-based) aggregates per partition in order.
@@ -108,10 +140,14 @@ def running_aggregates(df: DataFrame, order_cols: list, partition_cols: list | t
     combine = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     bucket_aggs = [fn[k](F.col(c)).alias(f"_b_{o}") for o, (c, k) in aggs.items()]
     per_bucket = d.groupBy(*part, BUCKET).agg(*bucket_aggs)
-    w = Window.partitionBy(*part).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_bucket.select(*part, BUCKET, *[combine[k](F.col(f"_b_{o}")).over(w).alias(f"_o_{o}")
-                                              for o, (c, k) in aggs.items()])
-    d = _null_safe_join(d, offs, part + [BUCKET])
+    if not part:
+        offs = _global_offsets(per_bucket, {f"_b_{o}": k for o, (c, k) in aggs.items()})
+        d = d.withColumns({f"_o_{o}": F.element_at(offs[f"_b_{o}"], F.col(BUCKET)) for o in aggs})
+    else:
+        w = Window.partitionBy(*part).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        offs = per_bucket.select(*part, BUCKET, *[combine[k](F.col(f"_b_{o}")).over(w).alias(f"_o_{o}")
+                                                  for o, (c, k) in aggs.items()])
+        d = _null_safe_join(d, offs, part + [BUCKET])
     wi = (Window.partitionBy(*part, BUCKET).orderBy(*_order(order_cols))
           .rowsBetween(Window.unboundedPreceding, 0))
     for o, (c, k) in aggs.items():
