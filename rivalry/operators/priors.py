@@ -52,13 +52,20 @@ def distinct_models(df: DataFrame, a: str = "model_a", b: str = "model_b") -> Da
 def model_pair_combinations(df: DataFrame, a: str = "model_a", b: str = "model_b") -> DataFrame:
     """All 2-combinations ``m0 < m1`` of distinct models.
 
-    The output is quadratic in the number of *models* (the dictionary), not
-    in battles; the self theta-join runs on the distinct-model table only.
+    The output is quadratic in the number of *models* (that is the operator),
+    not in battles.  No nested-loop join: models are numbered (in hash order,
+    skew-safe ``ordered_index``), each index expands to its larger partner
+    indices and an equi-join on the partner index attaches the second model;
+    the pair is then written name-ordered.
     """
-    m = distinct_models(df, a, b)
-    x, y = m.alias("x"), m.alias("y")
-    return x.join(y, F.col("x.model") < F.col("y.model")).select(
-        F.col("x.model").alias("m0"), F.col("y.model").alias("m1"))
+    from rivalry.operators.ordered import ordered_index
+    m = distinct_models(df, a, b).withColumn("_h", F.xxhash64("model"))
+    r = ordered_index(m, ["_h", "model"], name="_i")
+    n = r.count()
+    x = (r.filter(F.col("_i") < n).select(F.col("model").alias("_x"), "_i")
+         .withColumn("_j", F.explode(F.sequence(F.col("_i") + 1, F.lit(n)))))
+    y = r.select(F.col("model").alias("_y"), F.col("_i").alias("_j"))
+    return x.join(y, "_j").select(F.least("_x", "_y").alias("m0"), F.greatest("_x", "_y").alias("m1"))
 
 
 def pair_prior_join(pred: DataFrame, priors: DataFrame, a: str = "model_a", b: str = "model_b") -> DataFrame:

@@ -34,3 +34,10 @@ def test_pair_counts_one_shuffle_and_pruned_scan(spark):
 def test_metrics_single_aggregation(spark):
     p = plan_of(spark, "log_loss")
     assert p.count("Exchange") <= 1
+
+
+@pytest.mark.parametrize("key", ["model_pair_combinations", "knn_top1_join", "topk_similar", "inject_context",
+                                 "pair_prior_join", "semi_join_models"])
+def test_no_cross_join_operators(spark, key):
+    p = plan_of(spark, key)
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
