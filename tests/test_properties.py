@@ -112,3 +112,18 @@ def test_linear_head_beats_chance(spark):
     p = E.queries()["linear_head"](spark, SF_MED)
     acc = p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
     assert acc > 0.6  # 3 classes: chance is 1/3
+
+
+def test_stream_ingest_restart_is_idempotent(spark):
+    from rivalry.operators import requests as R
+    from rivalry.session import scratch_path
+    from rivalry.streaming.ingest import ingest_results
+    src, good, bad, ck = (scratch_path(spark, n) for n in ("t-in", "t-good", "t-bad", "t-ck"))
+    R.result_lines(fx.results_table(spark, SF_SMALL), blank_every=13).repartition(3).write.text(src)
+    ingest_results(spark, src, good, bad, ck, max_files_per_trigger=1)
+    first = sorted(r.custom_id for r in spark.read.parquet(good).collect())
+    ingest_results(spark, src, good, bad, ck, max_files_per_trigger=1)  # restart: nothing new
+    again = sorted(r.custom_id for r in spark.read.parquet(good).collect())
+    assert first == again and len(first) == len(set(first))
+    n_bad = spark.read.parquet(bad).count()
+    assert len(first) + n_bad == fx.results_table(spark, SF_SMALL).count()

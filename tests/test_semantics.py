@@ -92,3 +92,30 @@ def test_hash_coin_is_deterministic(spark):
     assert c1 == c2
     share = sum(r.c for r in c1) / 1000
     assert 0.4 < share < 0.6
+
+
+def test_dedup_keeps_first_in_source_order(spark):
+    from rivalry.operators.combine import dedup_keep_first
+    df = spark.createDataFrame([(5, 1, "t"), (9, 0, "t"), (2, 1, "t"), (7, 0, "u")], "id int, src int, text string")
+    got = sorted((r.text, r.id) for r in dedup_keep_first(df, "text", ["src", "id"]).collect())
+    assert got == [("t", 9), ("u", 7)]
+
+
+def test_lookup_last_duplicate_wins(spark):
+    from rivalry.operators.combine import left_join_lookup
+    base = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    look = spark.createDataFrame([(1, 10.0, 0), (1, 11.0, 5), (2, 20.0, 1)], "key int, v double, pos int")
+    got = {r.k: r.v for r in left_join_lookup(base, look, "k", "key", "v", "pos").collect()}
+    assert got == {1: 11.0, 2: 20.0, 3: None}
+
+
+def test_json_unescaping(spark):
+    assert one(spark, parse_list_strict("s"), rows=[(r'["b\/c","x\"y"]',)]) == [["b/c", 'x"y']]
+
+
+def test_swap_apply_flag(spark):
+    from rivalry.operators.labels import swap_augment
+    df = spark.createDataFrame([(i, "a", "b", i % 3) for i in range(50)], "id int, response_a string, response_b string, label int")
+    kept = swap_augment(df, apply=False)
+    assert kept.filter("swapped").count() == 0
+    assert sorted(kept.drop("swapped").collect()) == sorted(df.collect())
