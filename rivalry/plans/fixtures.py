@@ -165,14 +165,12 @@ def result_content(p, a, b, drop_first_b):
 def results_table(spark: SparkSession, sf: str) -> DataFrame:
     """Batch-API results as rows (custom_id, content, usage) before serialisation."""
     pb = parsed_battles(spark, sf)
-    content = result_content("p", "a", "b", F.col("id") % 10 == 0)
-    return pb.select(
+    r = pb.select(
         F.concat(F.lit("request-"), F.col("id").cast("string")).alias("custom_id"),
         F.col("id"),
-        content.alias("content"),
-        (200 + F.col("id") % 50).cast("long").alias("prompt_tokens"),
-        F.floor(F.length(content) / 4).cast("long").alias("completion_tokens"),
-    )
+        result_content("p", "a", "b", F.col("id") % 10 == 0).alias("content"))
+    return r.withColumns({"prompt_tokens": (200 + F.col("id") % 50).cast("long"),
+                          "completion_tokens": F.floor(F.length("content") / 4).cast("long")})
 
 
 def prompt_context(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from rivalry.functions import templates as T
 from rivalry.functions import text as X
-from rivalry.functions.lists import (parse_list_join, parse_list_strict, parse_list_textual, strip_ws,
-                                     word_count)
+from rivalry.functions.lists import parse_list_join, parse_list_textual, strip_ws, word_count
 from rivalry.operators import turns
 from rivalry.operators.ordered import ordered_index
 from rivalry.plans import fixtures as fx
@@ -219,5 +218,3 @@ def q_strip_whitespace(spark, sf):
     c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", strip_ws(F.concat(F.lit(" "), "text", F.lit("\n "))).alias("text"))
 
-
-_ = parse_list_strict  # re-exported for tests

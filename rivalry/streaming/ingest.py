@@ -13,7 +13,6 @@ pairs, so no watermark is needed).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rivalry.operators import priors
 from rivalry.operators import requests as R
@@ -57,5 +56,3 @@ def stream_pair_counts(spark: SparkSession, source: str, schema, out_path: str,
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
-
-_ = F
