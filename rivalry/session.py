@@ -91,8 +91,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     try:
         cores = spark.sparkContext.defaultParallelism
-    except Exception:  # Spark Connect
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect has no SparkContext / RDD
         return df
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if parts < cores else df

@@ -2,7 +2,7 @@
 
 Every writer is a Spark job writing to a folder (committed by Spark's output
 protocol); every reader declares its schema, so no inference pass runs.
-Dense ``.npy`` shards are written and read by tasks through ``pyarrow.fs``,
+Dense ``.npz`` shards are written and read by tasks through ``pyarrow.fs``,
 so the same code works on a shared POSIX mount, HDFS or an object store.
 """
 
@@ -56,29 +56,42 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
-def write_vectors(df: DataFrame, path: str, id_col: str, vec_col: str, extra: str | None = None) -> DataFrame:
-    """Each task writes its rows as one ``.npz`` shard (``ids``, ``vectors`` and an
-    optional ``extra`` column); the manifest of committed shards is written
-    as Parquet by Spark and returned.  Shards of failed task attempts are not
-    in the manifest, so readers never see them."""
+def write_vectors(df: DataFrame, path: str, id_col: str, vec_col: str, extra: str | None = None,
+                  rows_per_shard: int = 1_000_000) -> DataFrame:
+    """Each task writes its rows as ``.npz`` shards (``ids``, ``vectors`` and an
+    optional ``extra`` column) of up to ``rows_per_shard`` rows, buffering Arrow
+    batches so a task emits a few large files, not one per batch.  The
+    manifest of committed shards is written as Parquet by Spark and returned;
+    shards of failed task attempts are not in it, so readers never see them."""
     cols = [id_col, vec_col] + ([extra] if extra else [])
 
+    def flush(buf: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(buf, ignore_index=True)
+        name = f"{path}/shard-{uuid.uuid4().hex}.npz"
+        out = io.BytesIO()
+        arrays = {"ids": pdf[id_col].to_numpy(np.int64),
+                  "vectors": np.stack([np.asarray(v, dtype=np.float32) for v in pdf[vec_col].to_numpy()])}
+        if extra:
+            arrays["extra"] = pdf[extra].to_numpy()
+        np.savez_compressed(out, **arrays)
+        fsys, p = _fs(name)
+        fsys.create_dir(p.rsplit("/", 1)[0], recursive=True)
+        with fsys.open_output_stream(p) as f:
+            f.write(out.getvalue())
+        return pd.DataFrame({"file": [name], "rows": [len(pdf)]})
+
     def write_part(it):
+        buf, n = [], 0
         for pdf in it:
             if pdf.empty:
                 continue
-            name = f"{path}/shard-{uuid.uuid4().hex}.npz"
-            buf = io.BytesIO()
-            arrays = {"ids": pdf[id_col].to_numpy(np.int64),
-                      "vectors": np.stack([np.asarray(v, dtype=np.float32) for v in pdf[vec_col].to_numpy()])}
-            if extra:
-                arrays["extra"] = pdf[extra].to_numpy()
-            np.savez_compressed(buf, **arrays)
-            fsys, p = _fs(name)
-            fsys.create_dir(p.rsplit("/", 1)[0], recursive=True)
-            with fsys.open_output_stream(p) as out:
-                out.write(buf.getvalue())
-            yield pd.DataFrame({"file": [name], "rows": [len(pdf)]})
+            buf.append(pdf)
+            n += len(pdf)
+            if n >= rows_per_shard:
+                yield flush(buf)
+                buf, n = [], 0
+        if buf:
+            yield flush(buf)
 
     manifest = df.select(*cols).mapInPandas(write_part, "file string, rows long")
     mpath = f"{path}/_manifest"
@@ -99,10 +112,13 @@ def read_vectors(spark: SparkSession, path: str, id_col: str = "id", vec_col: st
                 fsys, p = _fs(name)
                 with fsys.open_input_file(p) as f:
                     z = np.load(io.BytesIO(f.read()))
-                out = {id_col: z["ids"], vec_col: list(z["vectors"])}
-                if extra:
-                    out[extra] = z["extra"]
-                yield pd.DataFrame(out)
+                ids, vecs = z["ids"], z["vectors"]
+                ext = z["extra"] if extra else None
+                for s in range(0, len(ids), 100_000):  # bounded Arrow batches per shard
+                    out = {id_col: ids[s:s + 100_000], vec_col: list(vecs[s:s + 100_000])}
+                    if extra:
+                        out[extra] = ext[s:s + 100_000]
+                    yield pd.DataFrame(out)
 
     return manifest.repartition(n, "file").mapInPandas(read_part, schema)
 
