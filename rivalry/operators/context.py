@@ -58,6 +58,6 @@ def inject_context(battles: DataFrame, ctx: DataFrame, threshold: float = THRESH
                    F.struct(F.lit("assistant").alias("role"), F.lit("[RESULT]: ").alias("content")))
     zipped = F.slice(c, 1, n)
     return d.select(key, T.chat_template(msgs, "llama3").alias("text"),
-                    F.size(F.filter(zipped, lambda x: ~x["hit"])).alias("n_missing"),
+                    F.size(F.filter(zipped, lambda x: ~x["hit"])).cast("bigint").alias("n_missing"),
                     F.size(F.filter(zipped, lambda x: F.coalesce(x["similarity"] > threshold, F.lit(False))))
-                    .alias("n_added"))
+                    .cast("bigint").alias("n_added"))

@@ -38,7 +38,7 @@ def role_filter(conv: DataFrame) -> DataFrame:
 def qa_pairs(conv: DataFrame) -> DataFrame:
     """K-th user turn paired with the k-th assistant turn of the same conversation."""
     w = Window.partitionBy("conv_id", "role").orderBy("turn")
-    t = conv.filter(F.col("role").isin("user", "assistant")).withColumn("k", F.row_number().over(w))
+    t = conv.filter(F.col("role").isin("user", "assistant")).withColumn("k", F.row_number().over(w).cast("bigint"))
     u = t.filter(F.col("role") == "user").select("conv_id", "k", F.col("text").alias("prompt"))
     a = t.filter(F.col("role") == "assistant").select("conv_id", "k", F.col("text").alias("response"))
     return u.join(a, ["conv_id", "k"])

@@ -30,7 +30,7 @@ def q_sink_csv(spark, sf):
     path = scratch_path(spark, "qa-csv")
     qa = qa_pairs(table(spark, sf, "conversations"))
     S.write_csv(qa, path, escape="\\")
-    return S.read_csv(spark, path, "conv_id long, k int, prompt string, response string", escape="\\")
+    return S.read_csv(spark, path, "conv_id long, k long, prompt string, response string", escape="\\")
 
 
 @register("scan_vectors", "SELECT vec_id, embedding FROM embeddings")

@@ -114,8 +114,9 @@ def q_extract_tag_blocks(spark, sf):
 FROM (SELECT custom_id, {_TAGS} FROM res)""", "res"))
 def q_turn_parity_check(spark, sf):
     out = R.with_parity_status(R.extract_turns(fx.results_table(spark, sf)))
-    return out.select("custom_id", F.size("prompts").alias("n_prompts"), F.size("responses_a").alias("n_a"),
-                      F.size("responses_b").alias("n_b"), "status")
+    return out.select("custom_id", F.size("prompts").cast("bigint").alias("n_prompts"),
+                      F.size("responses_a").cast("bigint").alias("n_a"),
+                      F.size("responses_b").cast("bigint").alias("n_b"), "status")
 
 
 @register("result_row_join", W("SELECT res.custom_id, pb.id, pb.label FROM res JOIN pb ON pb.id = res.id", "res", "pb"))

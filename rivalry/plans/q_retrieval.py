@@ -114,7 +114,8 @@ def q_first_token_pool(spark, sf):
 
 
 @register("position_ids", W("""SELECT seq_id, pos, CASE WHEN mask = 0 THEN 1 ELSE
-  sum(mask) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS position_id
+  CAST(sum(mask) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS BIGINT) END
+  AS position_id
 FROM seq""", "seq"))
 def q_position_ids(spark, sf):
     return pooling.position_ids(fx.sequences(spark, sf)).select("seq_id", "pos", "position_id")
@@ -125,7 +126,7 @@ def q_position_ids(spark, sf):
 def q_vector_concat(spark, sf):
     c = fx.retrieval_corpus(spark, sf)
     q = fx.retrieval_queries(spark, sf).withColumnRenamed("q_id", "id")
-    return c.unionByName(q).select("id", F.size("embedding").alias("dim"))
+    return c.unionByName(q).select("id", F.size("embedding").cast("bigint").alias("dim"))
 
 
 @register("id_bind_join", W("""SELECT bb.id, bb.label, round(exp(z0 - greatest(z0, z1, z2)) / (exp(z0 - greatest(z0, z1, z2))
@@ -135,7 +136,7 @@ def q_id_bind_join(spark, sf):
     bb = metrics.with_probs(fx.battles_big(spark, sf))
     preds = bb.select("id", "A")
     labs = bb.select("id", "label")
-    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").alias("emb_dim"))
+    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").cast("bigint").alias("emb_dim"))
     return preds.join(labs, "id").join(emb, "id").select("id", "label", F.round("A", 6).alias("A"), "emb_dim")
 
 

@@ -26,7 +26,7 @@ def q_stream_ingest_results(spark, sf):
     lines.repartition(4).write.mode("overwrite").text(src)
     ingest_results(spark, src, good, bad, ck, max_files_per_trigger=2)
     g = spark.read.parquet(good)
-    return g.select("custom_id", F.size("prompts").alias("n_turns"), "content")
+    return g.select("custom_id", F.size("prompts").cast("bigint").alias("n_turns"), "content")
 
 
 @register("stream_pair_counts", W("""SELECT least(model_a, model_b) AS m0, greatest(model_a, model_b) AS m1,

@@ -92,7 +92,7 @@ def q_render_user_prompt(spark, sf):
 @register("word_count", W(f"SELECT id, {words_sql(_T8)} AS text_len FROM bt", "bt"))
 def q_word_count(spark, sf):
     bt = fx.battles_text(spark, sf)
-    return bt.select("id", word_count(_t8(bt)).alias("text_len"))
+    return bt.select("id", word_count(_t8(bt)).cast("bigint").alias("text_len"))
 
 
 @register("length_stats", W(f"""SELECT avg(n) AS mean_len, min(n) AS min_len, max(n) AS max_len,
@@ -100,7 +100,7 @@ def q_word_count(spark, sf):
 FROM (SELECT {words_sql(_T8)} AS n FROM bt)""", "bt"))
 def q_length_stats(spark, sf):
     bt = fx.battles_text(spark, sf)
-    n = bt.select(word_count(_t8(bt)).alias("n"))
+    n = bt.select(word_count(_t8(bt)).cast("bigint").alias("n"))
     return turns.length_stats(n, "n")
 
 
@@ -161,14 +161,14 @@ def q_judge_prompt(spark, sf):
 @register("token_count", f"SELECT doc_id, len({tokens_sql('text')}) AS n_tokens FROM documents")
 def q_token_count(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", X.token_count("text").alias("n_tokens"))
+    return d.select("doc_id", X.token_count("text").cast("bigint").alias("n_tokens"))
 
 
 @register("max_len_filter", f"""SELECT doc_id, n_tokens FROM (SELECT doc_id, len({tokens_sql('text')}) AS n_tokens
   FROM documents) WHERE n_tokens < 512""")
 def q_max_len_filter(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", X.token_count("text").alias("n_tokens")).filter(F.col("n_tokens") < 512)
+    return d.select("doc_id", X.token_count("text").cast("bigint").alias("n_tokens")).filter(F.col("n_tokens") < 512)
 
 
 @register("total_tokens", f"SELECT CAST(sum(len({tokens_sql('text')})) AS BIGINT) AS total_tokens FROM documents")
@@ -191,8 +191,8 @@ def q_spread_truncate(spark, sf):
     bt = fx.battles_text(spark, sf)
     ids = X.spread_truncate([X.tokens(parse_list_join(c)) for c in ("prompt", "response_a", "response_b")], 1024)
     t = bt.select("id", ids.alias("ids"))
-    return t.select("id", F.size("ids").alias("n_ids"),
-                    F.size(F.array_repeat(F.lit(1), F.size("ids"))).alias("n_mask"))
+    return t.select("id", F.size("ids").cast("bigint").alias("n_ids"),
+                    F.size(F.array_repeat(F.lit(1), F.size("ids"))).cast("bigint").alias("n_mask"))
 
 
 @register("pad_and_mask", f"""WITH t AS (SELECT doc_id, len({tokens_sql('text')}) AS n,
