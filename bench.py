@@ -46,7 +46,12 @@ def main() -> None:
 
     from rivalry.plans import registry
     from rivalry.session import build_session
-    extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")}
+    try:
+        ram_gb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+    except (ValueError, OSError):
+        ram_gb = 8.0
+    default_mem = f"{max(1, min(8, int(ram_gb * 0.6)))}g"  # leave room for Python workers
+    extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", default_mem)}
     if os.environ.get("BENCH_EVENT_LOG"):
         extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app_name="rivalry-bench",
