@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.operators.ordered import hex_bucket, ordered_index
+from rivalry.operators.ordered import hex_bucket, hex_digits_for, ordered_index
 
 MAX_CLASSES = 10_000
 
@@ -43,13 +43,16 @@ def stratified_kfold(df: DataFrame, k: int, label: str = "label", id_col: str =
             bounds.append(cum)
         bounds_by_class[r[label]] = bounds
         off += n
+    largest = max((r["n"] for r in stats), default=0)
     if shuffle:
+        digits = hex_digits_for(largest)  # ~1M rows per (class, bucket) even for a hot class
         d = df.withColumn("_key", _shuffle_key(id_col, seed))
-        ranked = ordered_index(d, ["_key"], [label], bucket=hex_bucket("_key", 3), name="_r",
-                               offsets_bound=(len(stats) + 1) * 4096)
+        ranked = ordered_index(d, ["_key"], [label], bucket=hex_bucket("_key", digits), name="_r",
+                               offsets_bound=(len(stats) + 1) * 16 ** digits)
     else:
+        total = sum(r["n"] for r in stats)
         ranked = ordered_index(df.withColumn("_key", F.col(id_col)), [id_col], [label], name="_r",
-                               offsets_bound=(len(stats) + 1) * 256)
+                               offsets_bound=(len(stats) + 1) * 131072, n_rows=total)
     bmap = F.create_map(*[x for c, b in bounds_by_class.items() if c is not None
                           for x in (F.lit(c), F.array(*[F.lit(v) for v in b]))])
     rank0 = F.col("_r") - 1
@@ -66,7 +69,8 @@ def pair_stratified_kfold(df: DataFrame, k: int = 10, a: str = "model_a", b: str
     not all start at fold 0.
     """
     d = df.withColumn("_key", _shuffle_key(id_col, seed))
-    ranked = ordered_index(d, ["_key"], [a, b], bucket=hex_bucket("_key", 2), name="_r")
+    digits = hex_digits_for(df.count())  # a hot pair still spreads over ~n/1M buckets
+    ranked = ordered_index(d, ["_key"], [a, b], bucket=hex_bucket("_key", digits), name="_r")
     offset = F.pmod(F.conv(F.substr(F.md5(F.concat(F.col(a), F.col(b))), F.lit(1), F.lit(8)), 16, 10)
                     .cast("bigint"), F.lit(k))
     return ranked.withColumn(out, F.pmod(F.col("_r") - 1 + offset, F.lit(k)).cast("int")).drop("_r", "_key")

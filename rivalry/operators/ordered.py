@@ -24,6 +24,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bkt"
+ROWS_PER_BUCKET = 1_000_000   # target rows per (partition, bucket) window task
+MIN_BUCKETS, MAX_RANGE_BUCKETS = 64, 1 << 17
+LITERAL_OFFSETS = 4096        # global offsets up to this many buckets are inlined as literals
+
+
+def buckets_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Range-bucket count so that a bucket holds about ``rows_per_bucket`` rows."""
+    return int(min(MAX_RANGE_BUCKETS, max(MIN_BUCKETS, -(-n_rows // rows_per_bucket))))
+
+
+def hex_digits_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """md5-prefix length (16**digits buckets) for about ``rows_per_bucket`` rows per bucket."""
+    want, digits = max(1, -(-n_rows // rows_per_bucket)), 2
+    while 16 ** digits < want and digits < 5:
+        digits += 1
+    return max(3, digits)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -58,12 +74,13 @@ def with_range_bucket(df: DataFrame, col: str, n_buckets: int = 256, rel_error:
     return out.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(tmp)
 
 
-def _bucketed(df: DataFrame, order_cols: list, bucket) -> DataFrame:
+def _bucketed(df: DataFrame, order_cols: list, bucket, n_rows: int | None = None) -> DataFrame:
     if bucket is None:
         first = order_cols[0]
         if not isinstance(first, str):
             raise ValueError("give a bucket column when ordering by an expression")
-        return with_range_bucket(df, first)
+        n = n_rows if n_rows is not None else df.select(first).count()
+        return with_range_bucket(df, first, buckets_for(n))
     return df.withColumn(BUCKET, bucket)
 
 
@@ -73,7 +90,7 @@ def _order(order_cols):
 
 def ordered_index(df: DataFrame, order_cols: list, partition_cols: list | tuple = (),
                   bucket: Column | None = None, name: str = "rn",
-                  offsets_bound: int | None = None) -> DataFrame:
+                  offsets_bound: int | None = None, n_rows: int | None = None) -> DataFrame:
     """Add a 1-based row number per ``partition_cols`` in ``order_cols`` order.
 
     ``bucket`` must be non-decreasing in the order (e.g. ``hex_bucket(md5)``
@@ -81,36 +98,33 @@ def ordered_index(df: DataFrame, order_cols: list, partition_cols: list | tuple
     first order column are used.  Order columns must make rows unique.
     ``offsets_bound``: a caller-proven upper bound on ``|partitions| x buckets``;
     when given the offsets table is broadcast, otherwise AQE decides from its
-    measured size.
+    measured size.  Range buckets are sized from the row count (``n_rows``,
+    counted when not given) to about ``ROWS_PER_BUCKET`` rows each.
     """
     part = list(partition_cols)
-    d = _bucketed(df, order_cols, bucket)
+    d = _bucketed(df, order_cols, bucket, n_rows)
     counts = d.groupBy(*part, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    if not part:
-        # global numbering: the bucket table is bounded by the bucket count —
-        # collect it and inline the prefix offsets (no single-partition stage)
-        offs = _global_offsets(counts, {"_n": "sum"})
+    offs = _global_offsets(counts, {"_n": "sum"}) if not part else None
+    if offs is not None:
+        # global numbering with few buckets: inline the prefix offsets as a literal map
         d = d.withColumn("_off", F.coalesce(F.element_at(offs["_n"], F.col(BUCKET)), F.lit(0)))
     else:
         w = Window.partitionBy(*part).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*part, BUCKET, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-        if offsets_bound is not None:
+        if offsets_bound is not None or not part:  # bounded: |partitions| x buckets
             offsets = F.broadcast(offsets)
         d = _null_safe_join(d, offsets, part + [BUCKET])
     wi = Window.partitionBy(*part, BUCKET).orderBy(*_order(order_cols))
     return d.withColumn(name, (F.row_number().over(wi) + F.col("_off")).cast("long")).drop("_off", BUCKET)
 
 
-MAX_BUCKETS = 1 << 16
-
-
-def _global_offsets(per_bucket: DataFrame, kinds: dict[str, str]) -> dict:
-    """Exclusive prefix aggregates over buckets as literal maps bucket → value.
-
-    ``per_bucket`` has one row per non-empty bucket (bounded, checked)."""
-    rows = per_bucket.limit(MAX_BUCKETS + 1).collect()
-    if len(rows) > MAX_BUCKETS:
-        raise RuntimeError("bucket table larger than its bound")
+def _global_offsets(per_bucket: DataFrame, kinds: dict[str, str]) -> dict | None:
+    """Exclusive prefix aggregates over buckets as literal maps bucket → value,
+    or ``None`` when there are more than ``LITERAL_OFFSETS`` non-empty buckets
+    (the caller then joins a broadcast offsets table instead)."""
+    rows = per_bucket.limit(LITERAL_OFFSETS + 1).collect()
+    if len(rows) > LITERAL_OFFSETS:
+        return None
     rows.sort(key=lambda r: r[BUCKET])
     out = {}
     for col, kind in kinds.items():
@@ -128,26 +142,27 @@ def _global_offsets(per_bucket: DataFrame, kinds: dict[str, str]) -> dict:
 
 
 def running_aggregates(df: DataFrame, order_cols: list, partition_cols: list | tuple,
-                       aggs: dict[str, tuple[str, str]], bucket: Column | None = None) -> DataFrame:
+                       aggs: dict[str, tuple[str, str]], bucket: Column | None = None,
+                       n_rows: int | None = None) -> DataFrame:
     """Running (inclusive, row-based) aggregates per partition in order.
 
     ``aggs``: output name → (input column, kind) with kind in
     ``sum | count | min | max``; ``avg`` is derived as sum/count by the caller.
     """
     part = list(partition_cols)
-    d = _bucketed(df, order_cols, bucket)
+    d = _bucketed(df, order_cols, bucket, n_rows)
     fn = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
     combine = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     bucket_aggs = [fn[k](F.col(c)).alias(f"_b_{o}") for o, (c, k) in aggs.items()]
     per_bucket = d.groupBy(*part, BUCKET).agg(*bucket_aggs)
-    if not part:
-        offs = _global_offsets(per_bucket, {f"_b_{o}": k for o, (c, k) in aggs.items()})
-        d = d.withColumns({f"_o_{o}": F.element_at(offs[f"_b_{o}"], F.col(BUCKET)) for o in aggs})
+    lit_offs = _global_offsets(per_bucket, {f"_b_{o}": k for o, (c, k) in aggs.items()}) if not part else None
+    if lit_offs is not None:
+        d = d.withColumns({f"_o_{o}": F.element_at(lit_offs[f"_b_{o}"], F.col(BUCKET)) for o in aggs})
     else:
         w = Window.partitionBy(*part).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         offs = per_bucket.select(*part, BUCKET, *[combine[k](F.col(f"_b_{o}")).over(w).alias(f"_o_{o}")
                                                   for o, (c, k) in aggs.items()])
-        d = _null_safe_join(d, offs, part + [BUCKET])
+        d = _null_safe_join(d, F.broadcast(offs) if not part else offs, part + [BUCKET])
     wi = (Window.partitionBy(*part, BUCKET).orderBy(*_order(order_cols))
           .rowsBetween(Window.unboundedPreceding, 0))
     for o, (c, k) in aggs.items():

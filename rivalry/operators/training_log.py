@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivalry.operators.ordered import BUCKET, hex_bucket, ordered_index, running_aggregates, with_range_bucket
+from rivalry.operators.ordered import (BUCKET, buckets_for, hex_bucket, hex_digits_for, ordered_index,
+                                      running_aggregates, with_range_bucket)
 
 
 def running_mean(df: DataFrame, value: str, order: str, by=(), out: str = "running_loss") -> DataFrame:
@@ -39,7 +40,7 @@ def early_stop(df: DataFrame, value: str, order: str, by=(), patience: int = 50)
     """
     by = list(by)
     # one approximate-quantile pass gives the range buckets for both helpers
-    d = with_range_bucket(df, order).withColumnRenamed(BUCKET, "_b0")
+    d = with_range_bucket(df, order, buckets_for(df.count())).withColumnRenamed(BUCKET, "_b0")
     d = ordered_index(d, [order], by, bucket=F.col("_b0"), name="round")
     d = running_aggregates(d, [order], by, {"_m": (value, "min")}, bucket=F.col("_b0")).drop("_b0")
     first_at = d.groupBy(*by, "_m").agg(F.min("round").alias("best_round"))
@@ -63,8 +64,8 @@ def slice_rows(df: DataFrame, start: int, stop: int, order: str = "id") -> DataF
 
 def half_split(df: DataFrame, order: str = "id", parts: int = 2, out: str = "half") -> DataFrame:
     """Consecutive ordered ranges cut at ``i * n // parts`` (``iloc[:n//2]``, ``iloc[n//2:]``)."""
-    d = ordered_index(df, [order], name="_rn")
-    n = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    n = df.count()
+    d = ordered_index(df, [order], name="_rn", n_rows=n)
     cuts = F.array(*[F.lit(i * n // parts) for i in range(1, parts)])
     return d.withColumn(out, F.size(F.filter(cuts, lambda b: F.col("_rn") > b)).cast("int")).drop("_rn")
 
@@ -79,4 +80,4 @@ def length_sort_batches(df: DataFrame, length: str, key: str, size: int = 8, out
 def shuffle_rows(df: DataFrame, key: str = "id", seed: int = 42, out: str = "rn") -> DataFrame:
     """A repeatable random order: rank by ``md5(seed:key)``."""
     d = df.withColumn("_k", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    return ordered_index(d, ["_k"], bucket=hex_bucket("_k", 3), name=out).drop("_k")
+    return ordered_index(d, ["_k"], bucket=hex_bucket("_k", hex_digits_for(df.count())), name=out).drop("_k")

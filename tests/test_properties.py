@@ -135,3 +135,23 @@ def test_tree_and_svm_heads_beat_chance(spark):
         p = E.queries()[key](spark, SF_MED)
         acc = p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
         assert acc > 0.6, key
+
+
+def test_numbering_with_many_buckets(spark, monkeypatch):
+    # force the large-table paths: tiny buckets and no literal offsets
+    from rivalry.operators import ordered
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 7)
+    monkeypatch.setattr(ordered, "MIN_BUCKETS", 2)
+    monkeypatch.setattr(ordered, "LITERAL_OFFSETS", 3)
+    rows = [(i * 3 + (i % 5), "hot" if i % 3 == 0 else "cold", float((i * 37) % 101)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, key string, v double")
+    glob = ordered.ordered_index(df, ["id"], name="rn")
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("id")).cast("long"))
+    assert sorted(glob.collect()) == sorted(ref.collect())
+    run = ordered.running_aggregates(df, ["id"], [], {"s": ("v", "sum"), "m": ("v", "max")})
+    w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    ref2 = df.select("id", "key", "v", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("m"))
+    assert sorted(run.select("id", "key", "v", "s", "m").collect()) == sorted(ref2.collect())
+    part = ordered.ordered_index(df, ["id"], ["key"], name="rn")
+    ref3 = df.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("id")).cast("long"))
+    assert sorted(part.collect()) == sorted(ref3.collect())
