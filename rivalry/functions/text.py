@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +28,16 @@ def token_count(c, pattern: str = TOKEN_PATTERN) -> Column:
     return F.size(tokens(c, pattern))
 
 
+def token_count_with(tokenize: Callable[[str], list]) -> Callable:
+    """T9 with a user tokenizer (e.g. a subword model): an Arrow-batched pandas
+    UDF calling ``tokenize(text)``; NULL text counts as ''.  The tokenizer is
+    created once per Python worker when ``tokenize`` closes over it."""
+    @F.pandas_udf("int")
+    def _count(s: pd.Series) -> pd.Series:
+        return s.fillna("").map(lambda t: len(tokenize(t))).astype("int32")
+    return lambda c: _count(_c(c))
+
+
 def truncate_tokens(c, max_len: int, pattern: str = TOKEN_PATTERN, sep: str = " ") -> Column:
     """First ``max_len`` tokens decoded back to text (joined by ``sep``)."""
     return F.array_join(F.slice(tokens(c, pattern), 1, max_len), sep)

@@ -119,3 +119,12 @@ def test_swap_apply_flag(spark):
     kept = swap_augment(df, apply=False)
     assert kept.filter("swapped").count() == 0
     assert sorted(kept.drop("swapped").collect()) == sorted(df.collect())
+
+
+def test_user_tokenizer_matches_word_count(spark):
+    from rivalry.functions.text import token_count_with
+    rows = [("a b  c",), ("",), (None,), ("one\ttwo\nthree four",)]
+    df = spark.createDataFrame(rows, "s string")
+    got = [r[0] for r in df.select(token_count_with(str.split)("s")).collect()]
+    ref = [r[0] for r in df.select(word_count(F.coalesce("s", F.lit("")))).collect()]
+    assert got == ref == [3, 0, 0, 4]
