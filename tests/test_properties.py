@@ -92,6 +92,14 @@ def test_exact_knn_with_small_chunks(spark):
     assert ours == ref
 
 
+def test_exact_knn_with_refined_cells(spark):
+    q, c = fx.retrieval_queries(spark, SF_SMALL), fx.retrieval_corpus(spark, SF_SMALL)
+    idx = knn.build_cell_index(c, refine=True)
+    ours = {(r.q_id, r.rank): r.id for r in knn.knn_join(q, c, k=3, index=idx).collect()}
+    ref = {(r.q_id, r.rank): r.id for r in knn.knn_brute_force(q, c, k=3).collect()}
+    assert ours == ref
+
+
 def test_lsh_recall(spark):
     q, c = fx.retrieval_queries(spark, SF_MED), fx.retrieval_corpus(spark, SF_MED)
     exact = knn.knn_join(q, c, k=1)
