@@ -81,3 +81,19 @@ def shuffle_rows(df: DataFrame, key: str = "id", seed: int = 42, out: str = "rn"
     """A repeatable random order: rank by ``md5(seed:key)``."""
     d = df.withColumn("_k", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
     return ordered_index(d, ["_k"], bucket=hex_bucket("_k", hex_digits_for(df.count())), name=out).drop("_k")
+
+
+def pad_and_mask(df: DataFrame, tokens: str, batch: str, multiple: int = 8, pad: str = "<pad>",
+                 out: str = "padded", mask: str = "attention_mask") -> DataFrame:
+    """Right-pad every row's tokens to its batch's longest row, rounded up
+    to a multiple of ``multiple``; the mask is 1 for real tokens, 0 for pads.
+    Batches are small fixed-size groups, so the per-batch max is a window over
+    a handful of rows."""
+    n = F.size(tokens)
+    longest = F.max(n).over(Window.partitionBy(batch))
+    target = (F.ceil(longest / multiple) * multiple).cast("int")
+    d = df.withColumn("_target", target)
+    fill = F.col("_target") - F.size(tokens)
+    return (d.withColumn(out, F.concat(F.col(tokens), F.array_repeat(F.lit(pad), fill)))
+             .withColumn(mask, F.concat(F.array_repeat(F.lit(1), F.size(tokens)), F.array_repeat(F.lit(0), fill)))
+             .drop("_target"))

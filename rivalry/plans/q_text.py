@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivalry.functions import templates as T
@@ -200,11 +199,13 @@ def q_spread_truncate(spark, sf):
 SELECT doc_id, batch, CAST(ceil(max(n) OVER (PARTITION BY batch) / 8) * 8 AS BIGINT) AS padded_len,
   CAST(ceil(max(n) OVER (PARTITION BY batch) / 8) * 8 AS BIGINT) - n AS n_pad FROM t""")
 def q_pad_and_mask(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.token_count("text").alias("n"))
+    from rivalry.operators.training_log import pad_and_mask
+    d = table(spark, sf, "documents").select("doc_id", X.tokens("text").alias("tok"))
     d = ordered_index(d, ["doc_id"], name="rn").withColumn("batch", F.floor((F.col("rn") - 1) / 8))
-    mx = F.max("n").over(Window.partitionBy("batch"))
-    padded = (F.ceil(mx / 8) * 8).cast("bigint")
-    return d.select("doc_id", "batch", padded.alias("padded_len"), (padded - F.col("n")).alias("n_pad"))
+    p = pad_and_mask(d, "tok", "batch")
+    return p.select("doc_id", "batch", F.size("padded").cast("bigint").alias("padded_len"),
+                    (F.size("padded") - F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x))
+                    .cast("bigint").alias("n_pad"))
 
 
 @register("strip_special", """SELECT conv_id, turn, split_part(text, '.', 1) AS head FROM conversations""")

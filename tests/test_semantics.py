@@ -128,3 +128,12 @@ def test_user_tokenizer_matches_word_count(spark):
     got = [r[0] for r in df.select(token_count_with(str.split)("s")).collect()]
     ref = [r[0] for r in df.select(word_count(F.coalesce("s", F.lit("")))).collect()]
     assert got == ref == [3, 0, 0, 4]
+
+
+def test_pad_and_mask(spark):
+    from rivalry.operators.training_log import pad_and_mask
+    df = spark.createDataFrame([(0, ["a"] * 3), (0, ["b"] * 10), (1, ["c"] * 2)], "batch long, tok array<string>")
+    rows = sorted(pad_and_mask(df, "tok", "batch").collect(), key=lambda r: (r.batch, len(r.tok)))
+    assert [len(r.padded) for r in rows] == [16, 16, 8]
+    assert rows[0].attention_mask == [1] * 3 + [0] * 13
+    assert rows[2].padded == ["c", "c"] + ["<pad>"] * 6
