@@ -143,16 +143,21 @@ def q_role_filter(spark, sf):
     return turns.role_filter(table(spark, sf, "conversations"))
 
 
-@register("judge_prompt", W(f"""SELECT id, {fill_sql(T.template_parts(T.JUDGE_TEMPLATE), original_prompt='prompt',
-  response_a='response_a', response_b='response_b',
-  better_response="CASE WHEN winner_model_a = 1 THEN 'A' WHEN winner_model_b = 1 THEN 'B' ELSE 'tie' END")} AS prompt
+_JUDGE_FILLED = fill_sql(T.template_parts(T.JUDGE_TEMPLATE), original_prompt='prompt', response_a='response_a',
+                         response_b='response_b',
+                         better_response="CASE WHEN winner_model_a = 1 THEN 'A' WHEN winner_model_b = 1 THEN 'B' ELSE 'tie' END")
+
+
+@register("judge_prompt", W(f"""SELECT id, '<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\n' ||
+  {strip_sql(_JUDGE_FILLED)} || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n' AS prompt
 FROM bt""", "bt"))
 def q_judge_prompt(spark, sf):
     from rivalry.operators.labels import label_from_cases
     bt = label_from_cases(fx.battles_text(spark, sf))
-    return bt.select("id", T.fill_template(T.JUDGE_TEMPLATE, original_prompt="prompt", response_a="response_a",
-                                           response_b="response_b",
-                                           better_response=T.label_text("label")).alias("prompt"))
+    filled = T.fill_template(T.JUDGE_TEMPLATE, original_prompt="prompt", response_a="response_a",
+                             response_b="response_b", better_response=T.label_text("label"))
+    return bt.select("id", T.chat_template(T.user_message(filled), "llama3", add_generation_prompt=True)
+                     .alias("prompt"))
 
 
 # ---------------------------------------------------------------- tokens
