@@ -51,16 +51,16 @@ def batch_score(df: DataFrame, text: str = "text", make_model: Callable | None =
     return d.withColumns(dict(zip(out, softmax(*zs)))).drop("_logits")
 
 
-def batch_embed(df: DataFrame, text: str = "text", dim: int = 64, out: str = "embedding") -> DataFrame:
-    """ML2 default embedder: regex tokens → hashing TF → L2 normalise → array<double>."""
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
-        Normalizer(inputCol="_tf", outputCol="_vec", p=2.0),
-    ])
+def batch_embed(df: DataFrame, text: str = "text", dim: int = 64, out: str = "embedding",
+                max_len: int = 512) -> DataFrame:
+    """ML2 default embedder: regex tokens truncated to ``max_len`` → hashing TF →
+    L2 normalise → array<double>.  All stages are JVM transformers."""
     d = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    m = pipe.fit(d)
-    return m.transform(d).withColumn(out, vector_to_array("_vec")).drop("_tok", "_tf", "_vec")
+    tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)
+    d = tok.transform(d).withColumn("_tok", F.slice("_tok", 1, max_len))
+    d = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(d)
+    d = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0).transform(d)
+    return d.withColumn(out, vector_to_array("_vec")).drop("_tok", "_tf", "_vec")
 
 
 def vector_frame(df: DataFrame, vec: str = "embedding", label: str | None = "label") -> DataFrame:
