@@ -172,3 +172,29 @@ SELECT id, '<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\n' || {s
 FROM d""", "pb", "ctx"))
 def q_inject_context(spark, sf):
     return context.inject_context(fx.parsed_battles(spark, sf), fx.prompt_context(spark, sf))
+
+
+# ---------------------------------------------------------------- E2 end to end
+
+def retrieval_augmentation(battles, conversations, threshold: float = context.THRESHOLD, dim: int = 64):
+    """Q/A corpus from the conversations (A18) and the distinct prompt turns
+    of the battles are embedded with the same JVM embedder (ML2); exact kNN
+    (J6) gives each prompt its nearest corpus prompt, which becomes the
+    retrieval table of the context injection (J4 + F4 + T15)."""
+    from rivalry.operators import ml
+    from rivalry.operators.turns import qa_pairs
+    qa = qa_pairs(conversations).select(F.concat_ws(":", "conv_id", "k").alias("qa_key"),
+                                        F.xxhash64("conv_id", "k").alias("id"), "prompt", "response")
+    corpus = ml.batch_embed(qa, "prompt", dim=dim)
+    prompts = battles.select(F.explode("p").alias("prompt")).distinct().withColumn("q_id", F.xxhash64("prompt"))
+    queries = ml.batch_embed(prompts, "prompt", dim=dim)
+    top = knn.knn_join(queries.select("q_id", "embedding"), corpus.select("id", "embedding"), k=1)
+    ctx = (top.join(prompts, "q_id").join(corpus.select("id", F.col("prompt").alias("similar_prompt"),
+                                                        F.col("response").alias("similar_response")), "id")
+           .select("prompt", "similar_prompt", "similar_response", "similarity"))
+    return context.inject_context(battles, ctx, threshold)
+
+
+@register("retrieval_augmentation")
+def q_retrieval_augmentation(spark, sf):
+    return retrieval_augmentation(fx.parsed_battles(spark, sf), table(spark, sf, "conversations"))

@@ -163,3 +163,12 @@ def test_numbering_with_many_buckets(spark, monkeypatch):
     part = ordered.ordered_index(df, ["id"], ["key"], name="rn")
     ref3 = df.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("id")).cast("long"))
     assert sorted(part.collect()) == sorted(ref3.collect())
+
+
+def test_retrieval_augmentation_end_to_end(spark):
+    import __spark_entry__ as E
+    out = E.queries()["retrieval_augmentation"](spark, SF_SMALL)
+    rows = out.collect()
+    assert len(rows) == fx.battles_text(spark, SF_SMALL).count()
+    assert all(r.n_missing == 0 for r in rows)  # every prompt turn has a nearest corpus prompt
+    assert all(r.text.startswith("<|begin_of_text|>") for r in rows)
