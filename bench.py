@@ -57,6 +57,8 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app_name="rivalry-bench",
                           extra=extra)
     registry.load_all()
+    from rivalry.session import ship_package
+    ship_package(spark)
     # warm-up: JVM, codegen caches, the Parquet write path and the Python worker pool
     from rivalry.session import cut_lineage
     spark.range(1000).selectExpr("sum(id)").collect()

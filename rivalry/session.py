@@ -46,19 +46,31 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_FALLBACK_ROOT: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a private one only when none is configured."""
+    """The shared checkpoint folder from ``spark.checkpoint.dir`` (or the
+    context's checkpoint dir).  Only when neither is configured (local tests)
+    a private folder is created and registered with ``setCheckpointDir`` —
+    ``spark.checkpoint.dir`` itself cannot be changed on a running session."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jdir.get() if jdir.isDefined() else None
+        try:
+            jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+            root = jdir.get() if jdir.isDefined() else None
+        except Exception:  # Spark Connect has no SparkContext
+            root = None
     if not root:
-        root = tempfile.mkdtemp(prefix="rivalry-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    try:
-        spark.sparkContext.setCheckpointDir(root)
-    except Exception:  # Spark Connect has no SparkContext
-        pass
+        key = getattr(spark, "sparkContext", None) and spark.sparkContext.applicationId
+        root = _FALLBACK_ROOT.get(str(key))
+        if root is None:
+            root = tempfile.mkdtemp(prefix="rivalry-ckpt-")
+            _FALLBACK_ROOT[str(key)] = root
+            try:
+                spark.sparkContext.setCheckpointDir(root)
+            except Exception:
+                pass
     return root
 
 
@@ -95,3 +107,30 @@ def spread(df: DataFrame) -> DataFrame:
     except Exception:  # Spark Connect has no SparkContext / RDD
         return df
     return df.repartition(cores) if parts < cores else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rivalry`` importable in the Python workers (pandas UDFs,
+    ``mapInPandas``, ``applyInPandas``) by shipping a zip of its sources with
+    ``addPyFile`` — once per SparkContext.  Executors then need no install."""
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # Spark Connect: ship with the session's artifact API instead
+        return
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="rivalry-pkg-"), "rivalry.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

@@ -52,8 +52,13 @@ def read_csv(spark: SparkSession, path: str, schema, escape: str = '"') -> DataF
 # ---------------------------------------------------------------- dense vectors
 
 def _fs(path: str):
+    """(filesystem, path) for a plain path, ``file:/x`` / ``file:///x`` or another URI scheme."""
     from pyarrow import fs
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[len("file:"):]
+    elif "://" not in path:
+        path = "file://" + path
+    return fs.FileSystem.from_uri(path)
 
 
 def write_vectors(df: DataFrame, path: str, id_col: str, vec_col: str, extra: str | None = None,
