@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship_package, table
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .sentencepieces import encode_decode
+from .suffixes import remove_repeats
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +19,15 @@ def op8_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
-_ALL = [op4_best_fit_packing, op8_sentencepiece_chunks]
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+_ALL = [op4_best_fit_packing, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup]
 
 
 def _shipped(fn):
