@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii
 from .common import ship_package, table
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -15,6 +16,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.pii_digest(docs, pii.train(docs))
+
+
 def op8_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
@@ -27,7 +33,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-_ALL = [op4_best_fit_packing, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup]
+_ALL = [op4_best_fit_packing, op5_pii_boosted, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup]
 
 
 def _shipped(fn):
