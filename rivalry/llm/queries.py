@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import langid, pii
 from .common import ship_package, table
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .quality import quality
 from .sentencepieces import encode_decode
 from .suffixes import remove_repeats
 
 
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op3_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.language_digest(docs, langid.train(docs))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -33,7 +43,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-_ALL = [op4_best_fit_packing, op5_pii_boosted, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup]
+_ALL = [op2_quality_divergence, op3_string_kernel_langid, op4_best_fit_packing, op5_pii_boosted, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup]
 
 
 def _shipped(fn):
