@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import langid, pii
 from .common import ship_package, table
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .preference import format_pairs, mask_text, next_reply_pairs
 from .quality import quality
 from .sentencepieces import encode_decode
 from .suffixes import remove_repeats
+from .vectors import near_vectors
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,16 @@ def op5_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(docs, pii.train(docs))
 
 
+def op6_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = format_pairs(next_reply_pairs(table(spark, sf_dir, "conversations")))
+    return pairs.select("pair_id", "n_prompt_turns", "prompt", "chosen", mask_text(F.col("chosen_mask")).alias("chosen_mask"),
+                        "rejected", mask_text(F.col("rejected_mask")).alias("rejected_mask"))
+
+
 def op8_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
@@ -43,7 +56,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-_ALL = [op2_quality_divergence, op3_string_kernel_langid, op4_best_fit_packing, op5_pii_boosted, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup]
+_ALL = [op2_quality_divergence, op3_string_kernel_langid, op4_best_fit_packing, op5_pii_boosted, op6_metric_range_join,
+        op7_preference_format, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup]
 
 
 def _shipped(fn):
