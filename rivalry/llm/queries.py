@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii
+from . import langid, licenses, pii
 from .common import ship_package, table
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -16,6 +16,11 @@ from .suffixes import remove_repeats
 from .vectors import near_vectors
 
 
+def op1_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-_ALL = [op2_quality_divergence, op3_string_kernel_langid, op4_best_fit_packing, op5_pii_boosted, op6_metric_range_join,
+_ALL = [op1_license_classifier, op2_quality_divergence, op3_string_kernel_langid, op4_best_fit_packing, op5_pii_boosted, op6_metric_range_join,
         op7_preference_format, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup]
 
 
