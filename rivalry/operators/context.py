@@ -16,12 +16,24 @@ from rivalry.functions import templates as T
 THRESHOLD = 0.75
 
 
-def context_lookup(battles: DataFrame, ctx: DataFrame, prompts: str = "p", key: str = "id") -> DataFrame:
+def last_per_prompt(ctx: DataFrame, order: str = "row") -> DataFrame:
+    """The retrieval table as a lookup: of several rows for one prompt the last
+    in ``order`` counts (dictionary semantics).  A partial aggregate: a prompt
+    asked a million times is reduced on the map side."""
+    last = F.max_by(F.struct("similar_prompt", "similar_response", "similarity"), F.col(order))
+    return ctx.groupBy("prompt").agg(last.alias("_last")).select("prompt", "_last.*")
+
+
+def context_lookup(battles: DataFrame, ctx: DataFrame, prompts: str = "p", key: str = "id",
+                   order: str = "row") -> DataFrame:
     """(id, pos, prompt) → retrieval row; a miss keeps the turn with NULL context.
 
-    Joined on ``xxhash64(prompt)`` and the prompt itself so long texts compare
-    by hash first.
+    ``ctx`` may hold a prompt more than once when it has an ``order`` column:
+    the last row counts.  Without one its prompts must be distinct.  Joined on
+    ``xxhash64(prompt)`` and the prompt itself so long texts compare by hash first.
     """
+    if order in ctx.columns:
+        ctx = last_per_prompt(ctx, order)
     ex = battles.select(key, F.posexplode(prompts).alias("pos", "prompt")).withColumn("_h", F.xxhash64("prompt"))
     c = ctx.select(F.xxhash64("prompt").alias("_h"), F.col("prompt").alias("_cp"), "similar_prompt",
                    "similar_response", "similarity")

@@ -47,16 +47,17 @@ def stratified_kfold(df: DataFrame, k: int, label: str = "label", id_col: str =
     if shuffle:
         digits = hex_digits_for(largest)  # ~1M rows per (class, bucket) even for a hot class
         d = df.withColumn("_key", _shuffle_key(id_col, seed))
-        ranked = ordered_index(d, ["_key"], [label], bucket=hex_bucket("_key", digits), name="_r",
-                               offsets_bound=(len(stats) + 1) * 16 ** digits)
+        ranked = ordered_index(d, ["_key"], [label], bucket=hex_bucket("_key", digits), name="_r")
     else:
         total = sum(r["n"] for r in stats)
-        ranked = ordered_index(df.withColumn("_key", F.col(id_col)), [id_col], [label], name="_r",
-                               offsets_bound=(len(stats) + 1) * 131072, n_rows=total)
-    bmap = F.create_map(*[x for c, b in bounds_by_class.items() if c is not None
-                          for x in (F.lit(c), F.array(*[F.lit(v) for v in b]))])
+        ranked = ordered_index(df.withColumn("_key", F.col(id_col)), [id_col], [label], name="_r", n_rows=total)
+    literals = [x for c, b in bounds_by_class.items() if c is not None for x in (F.lit(c), F.array(*[F.lit(v) for v in b]))]
+    bmap = F.create_map(*literals) if literals else F.lit(None).cast(f"map<{dict(df.dtypes)[label]},array<int>>")
     rank0 = F.col("_r") - 1
-    fold = F.size(F.filter(F.element_at(bmap, F.col(label)), lambda x: x <= rank0))
+    bounds = F.element_at(bmap, F.col(label))
+    if None in bounds_by_class:  # rows without a label are a class of their own
+        bounds = F.when(F.col(label).isNull(), F.array(*[F.lit(v) for v in bounds_by_class[None]])).otherwise(bounds)
+    fold = F.size(F.filter(bounds, lambda x: x <= rank0))
     return ranked.withColumn(out, fold.cast("int")).drop("_r", "_key")
 
 

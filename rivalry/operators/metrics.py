@@ -52,21 +52,14 @@ def eval_metrics(df: DataFrame, label: str = "label", ps=("A", "B", "tie")) -> D
                    F.avg(F.col("_hit") / F.col("_n")).alias("balanced_accuracy"))
 
 
-MAX_CLASSES = 10_000
-
-
 def weighted_cross_entropy(df: DataFrame, weights: DataFrame, label: str = "label", zs=("z0", "z1", "z2")) -> DataFrame:
     """``Σ w_y·ce / Σ w_y`` with per-class weights.
 
-    The weight table has one row per class: it is collected after a bound
-    check and inlined as a literal map, so the rows are never shuffled."""
-    rows = weights.select(label, "weight").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes for class weights")
-    wmap = F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(float(r[1])))])
-    w = F.element_at(wmap, F.col(label))
-    ce = probs.cross_entropy(label, *zs)
-    return df.filter(w.isNotNull()).agg((F.sum(w * ce) / F.sum(w)).alias("weighted_ce"))
+    The weight table has one row per class and is joined: AQE broadcasts it when
+    it measures small, and splits a hot class otherwise."""
+    w = weights.select(F.col(label).alias("_class"), F.col("weight").cast("double").alias("_w"))
+    d = df.join(w, F.col(label) == F.col("_class"))
+    return d.agg((F.sum(F.col("_w") * probs.cross_entropy(label, *zs)) / F.sum("_w")).alias("weighted_ce"))
 
 
 def label_smoothing_ce(df: DataFrame, label: str = "label", zs=("z0", "z1", "z2"), smoothing: float = 0.1) -> DataFrame:

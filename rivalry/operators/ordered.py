@@ -59,19 +59,21 @@ def hex_bucket(hex_col, digits: int = 3) -> Column:
     return F.conv(F.substr(c, F.lit(1), F.lit(digits)), 16, 10).cast("int")
 
 
-def with_range_bucket(df: DataFrame, col: str, n_buckets: int = 256, rel_error: float = 1e-3) -> DataFrame:
+def with_range_bucket(df: DataFrame, col: str, n_buckets: int = 256, rel_error: float | None = None) -> DataFrame:
     """Add ``_bkt``: approximate-quantile range of numeric ``col`` (monotone in ``col``).
 
     The split points come from one ``approxQuantile`` pass (a bounded sketch, no
-    sort) and are applied by ``Bucketizer`` (binary search in the JVM).
+    sort), precise to a quarter of a bucket, and are applied by ``Bucketizer``
+    (binary search in the JVM).  Nulls sort first and get their own bucket -1.
     """
+    rel_error = rel_error or 1 / (4 * n_buckets)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     edges = df.approxQuantile(col, probs, rel_error) if n_buckets > 1 else []
     splits = [float("-inf")] + sorted({float(e) for e in edges if e is not None}) + [float("inf")]
     tmp = "_bkt_in"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET, handleInvalid="keep")
     out = b.transform(df.withColumn(tmp, F.col(col).cast("double")))
-    return out.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(tmp)
+    return out.withColumn(BUCKET, F.when(F.col(col).isNull(), -1).otherwise(F.col(BUCKET).cast("int"))).drop(tmp)
 
 
 def _bucketed(df: DataFrame, order_cols: list, bucket, n_rows: int | None = None) -> DataFrame:
@@ -89,16 +91,14 @@ def _order(order_cols):
 
 
 def ordered_index(df: DataFrame, order_cols: list, partition_cols: list | tuple = (),
-                  bucket: Column | None = None, name: str = "rn",
-                  offsets_bound: int | None = None, n_rows: int | None = None) -> DataFrame:
+                  bucket: Column | None = None, name: str = "rn", n_rows: int | None = None) -> DataFrame:
     """Add a 1-based row number per ``partition_cols`` in ``order_cols`` order.
 
     ``bucket`` must be non-decreasing in the order (e.g. ``hex_bucket(md5)``
     when ordering by that md5); by default numeric quantile buckets of the
     first order column are used.  Order columns must make rows unique.
-    ``offsets_bound``: a caller-proven upper bound on ``|partitions| x buckets``;
-    when given the offsets table is broadcast, otherwise AQE decides from its
-    measured size.  Range buckets are sized from the row count (``n_rows``,
+    The offsets table is joined; AQE broadcasts it only when it measures small.
+    Range buckets are sized from the row count (``n_rows``,
     counted when not given) to about ``ROWS_PER_BUCKET`` rows each.
     """
     part = list(partition_cols)
@@ -111,8 +111,6 @@ def ordered_index(df: DataFrame, order_cols: list, partition_cols: list | tuple
     else:
         w = Window.partitionBy(*part).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*part, BUCKET, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-        if offsets_bound is not None or not part:  # bounded: |partitions| x buckets
-            offsets = F.broadcast(offsets)
         d = _null_safe_join(d, offsets, part + [BUCKET])
     wi = Window.partitionBy(*part, BUCKET).orderBy(*_order(order_cols))
     return d.withColumn(name, (F.row_number().over(wi) + F.col("_off")).cast("long")).drop("_off", BUCKET)
@@ -162,7 +160,7 @@ def running_aggregates(df: DataFrame, order_cols: list, partition_cols: list | t
         w = Window.partitionBy(*part).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         offs = per_bucket.select(*part, BUCKET, *[combine[k](F.col(f"_b_{o}")).over(w).alias(f"_o_{o}")
                                                   for o, (c, k) in aggs.items()])
-        d = _null_safe_join(d, F.broadcast(offs) if not part else offs, part + [BUCKET])
+        d = _null_safe_join(d, offs, part + [BUCKET])
     wi = (Window.partitionBy(*part, BUCKET).orderBy(*_order(order_cols))
           .rowsBetween(Window.unboundedPreceding, 0))
     for o, (c, k) in aggs.items():

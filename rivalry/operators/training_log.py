@@ -35,21 +35,22 @@ def early_stop(df: DataFrame, value: str, order: str, by=(), patience: int = 50)
     minimum, and the best round/value at that point (or at the end).
 
     Rounds are 1-based positions in ``order``.  The best round as of round r
-    is the first round reaching the running minimum — found by a ``groupBy``
-    on (series, running min) instead of a sequential scan.
+    is the first round reaching the running minimum.  Each running minimum
+    reigns over one range of rounds, so a grouped aggregate per (series,
+    running minimum) and one per series give the stop: no row-level join.
     """
     by = list(by)
     # one approximate-quantile pass gives the range buckets for both helpers
     d = with_range_bucket(df, order, buckets_for(df.count())).withColumnRenamed(BUCKET, "_b0")
     d = ordered_index(d, [order], by, bucket=F.col("_b0"), name="round")
     d = running_aggregates(d, [order], by, {"_m": (value, "min")}, bucket=F.col("_b0")).drop("_b0")
-    first_at = d.groupBy(*by, "_m").agg(F.min("round").alias("best_round"))
-    d = d.join(first_at, by + ["_m"])
-    stop = d.groupBy(*by).agg(
-        F.min(F.when(F.col("round") - F.col("best_round") >= patience, F.col("round"))).alias("stop_round"),
-        F.max("round").alias("_last"))
-    at = d.join(stop, by).filter(F.col("round") == F.coalesce("stop_round", "_last"))
-    return at.select(*by, "stop_round", "best_round", F.col("_m").alias("best_value"))
+    # the rounds that set a new minimum, at most one row per (series, value): where the running minimum starts
+    first_at = d.where(F.col("_m").isNotNull()).groupBy(*by, "_m").agg(F.min("round").alias("best_round"), F.max("round").alias("_until"))
+    # as of the last round of its reign, a minimum has gone (_until - best_round) rounds without a new one
+    stops = F.when(F.col("_until") - F.col("best_round") >= patience, F.col("best_round") + patience)
+    end = F.struct(F.coalesce(stops, F.lit(1 << 60)).alias("at"), (-F.col("_until")).alias("last"),
+                   F.col("best_round"), F.col("_m").alias("best_value"), stops.alias("stop_round"))
+    return first_at.groupBy(*by).agg(F.min(end).alias("e")).select(*by, "e.stop_round", "e.best_round", "e.best_value")
 
 
 def head_n(df: DataFrame, n: int, order: str = "id") -> DataFrame:

@@ -174,13 +174,17 @@ def results_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompt_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Retrieval result keyed by prompt text: a sample prompt/response and a similarity,
-    for the distinct prompts whose md5 starts with 0-b (the rest are misses)."""
+    """Retrieval result: one row per prompt occurrence (``row`` orders them), with
+    its own sample prompt/response and similarity, so a repeated prompt has
+    several differing rows.  A prompt whose md5 starts with c-f is stored under an
+    altered key: its lookups miss."""
     pb = parsed_battles(spark, sf)
-    prompts = pb.select(F.explode("p").alias("prompt")).distinct()
-    h = F.md5("prompt")
-    return prompts.filter(F.substr(h, F.lit(1), F.lit(1)) < "c").select(
-        "prompt",
+    d = pb.select("id", F.posexplode("p").alias("pos", "prompt"))
+    d = d.withColumn("row", F.col("id").cast("long") * 1024 + F.col("pos"))
+    h = F.md5(F.concat("prompt", F.lit(":"), F.col("row").cast("string")))
+    miss = F.substr(F.md5("prompt"), F.lit(1), F.lit(1)) >= "c"
+    return d.select(
+        F.when(miss, F.concat("prompt", F.lit(" #"))).otherwise(F.col("prompt")).alias("prompt"),
         F.concat(F.lit("Sample: "), F.col("prompt")).alias("similar_prompt"),
         F.concat(F.lit("Ideal answer "), F.substr(h, F.lit(3), F.lit(6))).alias("similar_response"),
-        (F.conv(F.substr(h, F.lit(2), F.lit(2)), 16, 10).cast("int") / F.lit(255.0)).alias("similarity"))
+        (F.conv(F.substr(h, F.lit(2), F.lit(2)), 16, 10).cast("int") / F.lit(255.0)).alias("similarity"), "row")

@@ -81,10 +81,11 @@ FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
         CAST(CASE WHEN winner_model_a = 1 THEN 0 WHEN winner_model_b = 1 THEN 1 ELSE 2 END AS INTEGER) AS label,
         'syn-' || CAST(id AS VARCHAR) AS id
       FROM bt WHERE id % 3 = 0""", ("bt",)),
-    "ctx": ("""SELECT prompt, 'Sample: ' || prompt AS similar_prompt,
-        'Ideal answer ' || substr(md5(prompt), 3, 6) AS similar_response,
-        ('0x' || substr(md5(prompt), 2, 2))::INTEGER / CAST(255 AS DOUBLE) AS similarity
-      FROM (SELECT DISTINCT unnest(p) AS prompt FROM pb) WHERE substr(md5(prompt), 1, 1) < 'c'""", ("pb",)),
+    "ctx": ("""SELECT CASE WHEN substr(md5(prompt), 1, 1) >= 'c' THEN prompt || ' #' ELSE prompt END AS prompt,
+        'Sample: ' || prompt AS similar_prompt, 'Ideal answer ' || substr(h, 3, 6) AS similar_response,
+        ('0x' || substr(h, 2, 2))::INTEGER / CAST(255 AS DOUBLE) AS similarity, row
+      FROM (SELECT prompt, row, md5(prompt || ':' || CAST(row AS VARCHAR)) AS h FROM (
+        SELECT p[i + 1] AS prompt, CAST(id AS BIGINT) * 1024 + i AS row FROM pb, range(len(p)) r(i)))""", ("pb",)),
     "rc": ("SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id % 5 <> 0", ()),
     "rq": ("SELECT vec_id AS q_id, embedding FROM embeddings WHERE vec_id % 5 = 0", ()),
     "seq": ("""SELECT label AS seq_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos,

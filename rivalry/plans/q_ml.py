@@ -58,7 +58,7 @@ def q_linear_head(spark, sf):
 @register("tfidf_features")
 def q_tfidf_features(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    t = ml.tfidf_features(docs, num_features=1 << 12)
+    t = ml.tfidf_features(docs)
     return t.select("doc_id", F.size(F.filter(vector_to_array("tfidf"), lambda x: x != 0)).alias("nnz"))
 
 

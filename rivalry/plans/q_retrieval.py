@@ -143,8 +143,9 @@ def q_id_bind_join(spark, sf):
 # ---------------------------------------------------------------- context
 
 _LOOK_SQL = """ex AS (SELECT id, CAST(i AS INTEGER) AS pos, p[i + 1] AS prompt FROM pb, range(len(p)) r(i)),
-look AS (SELECT ex.id, ex.pos, ex.prompt, ctx.prompt IS NOT NULL AS hit, ctx.similar_prompt, ctx.similar_response,
-  ctx.similarity FROM ex LEFT JOIN ctx ON ex.prompt = ctx.prompt)"""
+lastctx AS (SELECT * FROM ctx QUALIFY row_number() OVER (PARTITION BY prompt ORDER BY row DESC) = 1),
+look AS (SELECT ex.id, ex.pos, ex.prompt, c.prompt IS NOT NULL AS hit, c.similar_prompt, c.similar_response,
+  c.similarity FROM ex LEFT JOIN lastctx c ON ex.prompt = c.prompt)"""
 
 
 @register("context_lookup_join", W(f"""WITH {_LOOK_SQL}

@@ -23,7 +23,7 @@ WHERE len(p) = len(ra) AND len(ra) = len(rb)""", "res"))
 def q_stream_ingest_results(spark, sf):
     src, good, bad, ck = (scratch_path(spark, n) for n in ("results-in", "results-good", "results-bad", "ckpt-st1"))
     lines = R.result_lines(fx.results_table(spark, sf), blank_every=13)
-    lines.repartition(4).write.mode("overwrite").text(src)
+    lines.write.mode("overwrite").text(src)
     ingest_results(spark, src, good, bad, ck, max_files_per_trigger=2)
     g = spark.read.parquet(good)
     return g.select("custom_id", F.size("prompts").cast("bigint").alias("n_turns"), "content")
@@ -37,6 +37,6 @@ FROM bb WHERE model_a <> model_b GROUP BY 1, 2""", "bb"))
 def q_stream_pair_counts(spark, sf):
     src, out, ck = (scratch_path(spark, n) for n in ("battles-in", "pair-counts", "ckpt-st2"))
     bb = fx.battles_big(spark, sf).select("id", "model_a", "model_b", "label")
-    bb.repartition(4).write.mode("overwrite").parquet(src)
+    bb.write.mode("overwrite").parquet(src)
     stream_pair_counts(spark, src, bb.schema, out, ck)
     return spark.read.parquet(out)

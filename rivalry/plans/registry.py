@@ -31,10 +31,6 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module (each registers on import)."""
     import importlib
-    for name in ("q_prepare", "corpus", "q_text", "q_eval", "q_calibrate", "q_retrieval", "q_requests",
+    for name in ("q_prepare", "corpus", "q_text", "q_eval", "q_retrieval", "q_requests",
                  "q_ordered", "q_io", "q_ml", "q_stream"):
-        try:
-            importlib.import_module(f"rivalry.plans.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"rivalry.plans.{name}":
-                raise
+        importlib.import_module(f"rivalry.plans.{name}")

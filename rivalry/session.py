@@ -8,6 +8,7 @@ when that setting is absent (local tests) do we create a private folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -65,6 +66,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         key = getattr(spark, "sparkContext", None) and spark.sparkContext.applicationId
         root = _FALLBACK_ROOT.get(str(key))
         if root is None:
+            master = spark.conf.get("spark.master", "local")
+            if not re.match(r"local($|\[)", master):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
             root = tempfile.mkdtemp(prefix="rivalry-ckpt-")
             _FALLBACK_ROOT[str(key)] = root
             try:
@@ -96,19 +100,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a (narrow) input only when it has fewer partitions than the
-    cluster has cores — e.g. one small file feeding a rows x grid expansion.
-    On large inputs (many splits) this is a no-op and adds no shuffle."""
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # Spark Connect has no SparkContext / RDD
-        return df
-    return df.repartition(cores) if parts < cores else df
-
-
 _SHIPPED: set[str] = set()
 
 

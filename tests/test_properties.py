@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -42,13 +44,76 @@ def test_fold_sizes_balanced_per_class(spark):
         assert max(sizes) - min(sizes) <= 1
 
 
-def test_blend_beats_both_baselines_and_coarse_equals_full(spark):
+def test_blend_evaluates_the_whole_grid(spark):
+    """Equal to a plain loop over 1001 weights, also on rows that do not sum to 1."""
+    import math
+    import random
     pz = metrics.with_probs(metrics.with_probs(fx.battles_big(spark, SF_SMALL)), ("g0", "g1", "g2"), ("qa", "qb", "qt"))
-    fast = calibrate.blend_grid_search(pz, ps=("A", "B", "tie"), qs=("qa", "qb", "qt")).first()
-    full = calibrate.blend_grid_search(pz, ps=("A", "B", "tie"), qs=("qa", "qb", "qt"), coarse_step=0).first()
-    assert fast.best_w == full.best_w
+    best = calibrate.blend_grid_search(pz, ps=("A", "B", "tie"), qs=("qa", "qb", "qt")).first()
     only_p = metrics.log_loss(pz).first()["log_loss"]
-    assert fast.best_loss <= fast.base_loss + 1e-12 and fast.best_loss <= only_p + 1e-12
+    assert best.best_loss <= best.base_loss + 1e-12 and best.best_loss <= only_p + 1e-12
+    for seed in range(4):
+        rng = random.Random(seed)
+        rows = [(rng.randrange(3), *[rng.random() ** 3 + 1e-3 for _ in range(6)]) for _ in range(12)]
+
+        def loss(w):
+            out = 0.0
+            for y, *v in rows:
+                mix = [w * a + (1 - w) * b for a, b in zip(v[:3], v[3:])]
+                out -= math.log(max(1e-15, min(1 - 1e-15, mix[y] / sum(mix)))) / len(rows)
+            return out
+
+        want = min((round(loss(i / 1000), 9), i / 1000) for i in range(1001))[1]
+        df = spark.createDataFrame(rows, "label int, pa double, pb double, pt double, qa double, qb double, qt double")
+        assert calibrate.blend_grid_search(df).first().best_w == want
+
+
+def test_last_context_row_of_a_prompt_counts(spark):
+    """Prompt x asked twice (two samples), y once with a low similarity: no shift."""
+    from rivalry.operators.context import context_lookup, inject_context
+    battles = spark.createDataFrame([(1, ["x", "y", "x"], ["a1", "a2", "a3"], ["b1", "b2", "b3"])],
+                                    "id int, p array<string>, a array<string>, b array<string>")
+    ctx = spark.createDataFrame([("x", "s", "stale-one", 0.9, 1), ("y", "s", "weak-one", 0.1, 2), ("x", "s", "new", 0.95, 3)],
+                                "prompt string, similar_prompt string, similar_response string, similarity double, row long")
+    look = sorted((r.pos, r.similar_response) for r in context_lookup(battles, ctx).collect())
+    assert look == [(0, "new"), (1, "weak-one"), (2, "new")]
+    r = inject_context(battles, ctx).first()
+    assert (r.n_missing, r.n_added) == (0, 2) and "stale-one" not in r.text and "weak-one" not in r.text
+
+
+def test_null_keys_series_and_labels(spark):
+    from rivalry.operators import ordered, training_log
+    rows = [(None, 5), (3, 1), (1, 2), (None, 4)]
+    df = spark.createDataFrame(rows, "id int, x int")
+    got = sorted((r.rn, r.id) for r in ordered.ordered_index(df, ["id", "x"]).collect())
+    assert got == [(1, None), (2, None), (3, 1), (4, 3)]
+    log = spark.createDataFrame([(None, i, v) for i, v in enumerate([3.0, 2.0, 2.5, 2.6, 1.0])], "fold int, step int, loss double")
+    out = training_log.early_stop(log, "loss", "step", ["fold"], patience=2).collect()
+    assert [tuple(r) for r in out] == [(None, 4, 2, 2.0)]
+    assert tuple(training_log.early_stop(log, "loss", "step", ["fold"], patience=3).first()) == (None, None, 5, 1.0)
+    labels = spark.createDataFrame([(i, None if i % 2 else 1) for i in range(20)], "id int, label int")
+    sizes = Counter((r.label, r.fold) for r in folds.stratified_kfold(labels, 5).collect())
+    assert set(sizes.values()) == {2} and len(sizes) == 10
+
+
+def test_requested_range_buckets_are_reached(spark):
+    from rivalry.operators import ordered
+    d = ordered.with_range_bucket(spark.range(200_000), "id", 2000)
+    assert d.groupBy(ordered.BUCKET).count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from rivalry import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Fake:
+        conf, sparkContext = Conf(), None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Fake())
 
 
 def test_dedup_idempotent(spark):
