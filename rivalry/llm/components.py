@@ -10,28 +10,29 @@ from .common import cut_lineage
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b long): the smallest
-    node reachable.  Alternates large-star and small-star steps, each a grouped
-    minimum with partial aggregation and a join back, so a hub with very many
-    edges is never gathered in one task; every round is written to the shared
-    folder.  Rounds end when the edge set no longer changes."""
-    clean = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = cut_lineage(clean, "edges")
+    node reachable.
+
+    Each round ties the larger neighbours of every node to the smallest node
+    around it (large star), then each node's smaller neighbours to their smallest
+    (small star).  Both are grouped minima with partial aggregation and a join
+    back, so a node with very many edges is never gathered in one task.  Each
+    round is written to the shared folder; rounds end when the edges are stars
+    that no longer change."""
+    pairs = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
-        # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        big = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        # small star: u and its smaller neighbours are tied to the smallest of them
-        pairs = cut_lineage(big.where("u <> v").distinct(), "large")
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        small = pairs.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v")))
-        pairs = cut_lineage(small.where("u <> v").distinct(), "small")
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # u itself comes along as its own neighbour: (u, m) beside (v, m) for the others
+        near = large.unionByName(large.select("u", F.col("u").alias("v")))
+        small = near.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        pairs = cut_lineage(small, "stars")
+        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     roots = pairs.select(F.col("v").alias("node")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component")))
