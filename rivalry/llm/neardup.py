@@ -159,7 +159,8 @@ def prefix_postings(reps: DataFrame, matches: int) -> DataFrame:
     """(key, rep): the shared coordinate-value pairs of each document's prefix."""
     posts = reps.select("rep", F.explode(F.transform("sig", lambda v, i: F.shiftleft(i.cast("long"), 32) + v)).alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    found = posts.join(shared, "key")
+    # written, so that the join reads plain exchanges whose hot partitions can be split
+    found = posts.join(cut_lineage(shared, "shared"), "key")
     # a prefix has coords - matches + 1 entries and takes the coords - size(p) unique values first,
     # so size(p) - matches + 1 shared ones are left; p has at most `coords` entries
     per_doc = (found.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p"))
@@ -236,7 +237,8 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, coords: in
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(member, "doc_id").groupBy("task").applyInPandas(run, "a long, b long")
+    # the member list grows with the corpus: never broadcast it
+    return texts.join(member.hint("merge"), "doc_id").groupBy("task").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coords: int = COORDS,
@@ -251,6 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig").dropDuplicates(["rep"])
     posts = cut_lineage(prefix_postings(reps, matches), "postings")
     heads = posts.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = cut_lineage(heads.select("key", "head"), "heads")
     edges = posts.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
     label = components(edges)
     clusters = label.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
