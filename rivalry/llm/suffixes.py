@@ -1,10 +1,12 @@
 """Removal of every byte covered by a string of ``length`` bytes that starts
 anywhere else in the corpus.
 
-A suffix sort needs rows for suffixes, and a fixed difference cover takes two of
-three positions of the whole text as sorted rows at each level (README: figures).
-Here the cover is chosen by content, so that equal strings sample the same
-places: each string of ``length`` bytes is represented by its *anchor*, the
+Suffixes are sorted by the difference-cover algorithm (``suffix_sort``: sort
+sampled triples, recurse on names, merge the remaining suffixes, compare adjacent
+prefixes), spread over tasks so that suffixes that can share ``length`` bytes
+meet.  Sorting every suffix of the corpus as rows would shuffle many times the
+input (README: figures), so what cannot repeat is set aside first, by sampling
+places that equal strings have in common: each string of ``length`` bytes is represented by its *anchor*, the
 window of ``WINDOW`` bytes with the smallest hash inside it (leftmost of equals).
 The positions of a text fall into runs that share an anchor, about one row for
 every 85 bytes.
@@ -12,15 +14,16 @@ every 85 bytes.
 1. Runs whose anchor occurs once are done: no string in them repeats.
 2. The rest are sorted into classes of equal surroundings (all bytes that the
    strings of a run touch).  A class of two or more repeats as a whole.
-3. A class of one is compared, suffix by suffix, with one run of each other
-   class of its anchor: the ``length``-byte prefixes of all their positions are
-   named, and adjacent equal names are repeats.  Anchors with more than
-   ``hot_classes`` classes are compared by a distributed grouping of the named
-   positions, so no group is gathered whole.
+3. A class of one is compared with one run of each other class of its anchor:
+   the anchors are dealt to bundles of about ``bundle_runs`` runs, the suffixes
+   of a bundle are sorted, and neighbours that agree on ``length`` bytes are
+   repeats.  Anchors with more than ``hot_classes`` classes are compared by a
+   distributed grouping of their positions' strings (by hash), so no group is
+   gathered whole.
 4. The repeated ranges of a document are merged and cut out.
 
-Names are 64-bit hashes of bytes; two different strings are taken for equal
-only if both the anchor's and the string's hash collide.
+Anchors and surroundings are 64-bit hashes; two different strings are taken for
+equal only if both collide.
 
 Defined results: null text counts as empty; texts under ``length`` bytes lose
 nothing; repeated rows repeat each other; rows that share a doc_id with
@@ -39,10 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, small_batches
+from .suffix_sort import repeated_starts, suffix_array
 
 LENGTH = 200
 WINDOW = 32
-HOT_CLASSES = 20_000
+HOT_CLASSES = 4096
+BUNDLE_RUNS = 2048
 _BLOCK = 1 << 20
 
 _RNG = np.random.default_rng(77003)
@@ -137,25 +142,21 @@ def _true_runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compared(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Repeated ranges of the single runs of whole anchors (all classes of each key are here)."""
+    """Repeated ranges of the single runs of whole anchors (all classes of each
+    key are here): suffix sort of the runs' bytes, then adjacent prefixes."""
     blobs = pdf["bytes"].to_numpy()
-    b = np.frombuffer(b"".join(blobs), np.uint8)
+    b = np.frombuffer(b"\0".join(blobs) + b"\0", np.uint8)
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
-    first = np.cumsum(sizes) - sizes
+    first = np.cumsum(sizes + 1) - (sizes + 1)
     count = sizes - (length - 1)
-    h = _hash_all(b, length)
     row = np.repeat(np.arange(len(blobs)), count)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    name = h[first[row] + inner] ^ _mix(pdf["key"].to_numpy().view(np.uint64))[row]
-    order = np.argsort(name, kind="stable")
-    sorted_names = name[order]
-    same = sorted_names[1:] == sorted_names[:-1]
-    repeated = np.zeros(len(name), bool)
-    repeated[order[1:][same]] = True
-    repeated[order[:-1][same]] = True
+    starts = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    symbols = b.astype(np.int64) + 2
+    symbols[first + sizes] = 1
+    repeated = repeated_starts(b, suffix_array(symbols), starts, length)
     # a range never crosses rows: rows are set apart by a position that does not repeat
-    apart = np.zeros(len(name) + len(blobs), bool)
-    apart[np.arange(len(name)) + row] = repeated
+    apart = np.zeros(len(row) + len(blobs), bool)
+    apart[np.arange(len(row)) + row] = repeated
     s, e = _true_runs(apart)
     r = np.searchsorted(np.cumsum(count + 1), s, side="right")
     base = (np.cumsum(count + 1) - (count + 1))[r]
@@ -182,11 +183,14 @@ def _positions(length: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASSES) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASSES,
+                    bundle_runs: int = BUNDLE_RUNS) -> DataFrame:
     """(doc_id, start, stop): byte ranges covered by repeated strings, not yet merged."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     runs = cut_lineage(anchor_runs(texts, length), "runs")
     shared = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written, so that the join below reads plain exchanges whose hot partitions can be split
+    shared = cut_lineage(shared, "shared")
     hits = cut_lineage(runs.join(shared, "key", "left_semi"), "hits")
     classes = hits.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "count")).alias("one"))
     classes = cut_lineage(classes, "classes")
@@ -197,7 +201,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot_classes: int = HO
     compare = (classes.join(open_keys, "key")
                .select("key", "classes", (F.col("n") == 1).alias("single"), "one.doc_id", "one.start", "one.count"))
     compare = cut_lineage(compare, "compare")
-    bundles = max(1, -(-compare.count() // hot_classes))
+    bundles = max(1, -(-compare.count() // bundle_runs))
     cut = F.expr(f"substring(cast(text AS binary), cast(start + 1 AS int), count + {length - 1})")
     blobs = (compare.withColumnRenamed("doc_id", "id").join(texts, F.col("id").eqNullSafe(F.col("doc_id")))
              .select("key", "classes", "single", F.col("id").alias("doc_id"), "start", cut.alias("bytes")).where(f"length(bytes) >= {length}"))
