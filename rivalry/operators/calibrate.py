@@ -13,20 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.functions import probs
+from rivalry.operators.quantiles import exact_quantiles
 
 
 def qcut_edges(df: DataFrame, col: str, q: int, exact: bool = True) -> list[float]:
     """T28 edges: ``q+1`` quantiles (linear interpolation, like pandas).
 
-    ``exact`` uses ``percentile`` (a value→count map — fine for small integer
-    domains such as token lengths); otherwise ``percentile_approx`` (bounded
-    sketch).  The edges are one row of ``q+1`` numbers.  Duplicate edges raise,
-    as pandas does.
+    ``exact`` counts values and takes ranks from distributed running totals;
+    otherwise ``percentile_approx`` (bounded sketch).  The edges are ``q+1``
+    numbers.  Duplicate edges raise, as pandas does.
     """
-    ps = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    c = F.col(col).cast("double")
-    agg = F.percentile(c, ps) if exact else F.percentile_approx(c, ps, 100000)
-    edges = [float(x) for x in df.agg(agg.alias("e")).first()["e"]]
+    ps = [i / q for i in range(q + 1)]
+    if exact:
+        edges = exact_quantiles(df, col, ps)
+    else:
+        edges = df.agg(F.percentile_approx(F.col(col).cast("double"), ps, 100000).alias("e")).first()["e"]
+    edges = [float(x) for x in edges]
     if len(set(edges)) != len(edges):
         raise ValueError(f"bin edges must be unique: {edges}")
     return edges

@@ -25,24 +25,36 @@ def union_common_columns(a: DataFrame, b: DataFrame) -> DataFrame:
 def dedup_keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """U4: one row per ``key``, the first in ``order`` (e.g. source rank, then id).
 
-    Grouped by a 64-bit hash *and* the key itself, so long texts compare by
-    hash first; ``min_by`` over a struct of the order columns is a partial
-    aggregate — a key repeated a million times is reduced on the map side.
+    ``order`` must make rows unique.  The aggregate holds only the key's SHA-256
+    and the order columns (a key repeated a million times is reduced on the map
+    side); the winners' order columns then pick their rows, so long keys are in
+    no grouping, sort or buffer.
     """
-    cols = df.columns
-    packed = F.struct(*[F.col(c) for c in cols])
-    okey = F.struct(*[F.col(c) for c in order])
-    best = (df.groupBy(F.xxhash64(key).alias("_h"), F.col(key).alias("_k"))
-            .agg(F.min_by(packed, okey).alias("_row")))
-    return best.select("_row.*")
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    first = df.groupBy(digest.alias("_k")).agg(F.min(F.struct(*order)).alias("_o"))
+    first = first.select("_k", *[F.col(f"_o.{c}").alias(f"_o_{c}") for c in order])
+    match = digest.eqNullSafe(F.col("_k"))
+    for c in order:
+        match = match & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return df.join(first, match, "left_semi")
+
+
+CHECKED_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = CHECKED_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted, at
+    most one row beyond); otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def semi_join_models(df: DataFrame, ref: DataFrame, a: str = "model_a", b: str = "model_b") -> DataFrame:
     """Keep rows whose ``a`` is among ref's ``a`` values AND ``b`` among ref's ``b``
     values (two independent sets, not the pair).  The sets are distinct model
-    names — small — and left-semi joins never duplicate rows."""
-    sa = ref.select(F.col(a).alias("_a")).distinct()
-    sb = ref.select(F.col(b).alias("_b")).distinct()
+    names, broadcast when counted small, so the wide rows of ``df`` are not
+    shuffled by a few hot names; left-semi joins never duplicate rows."""
+    sa = broadcast_if_small(ref.select(F.col(a).alias("_a")).distinct())
+    sb = broadcast_if_small(ref.select(F.col(b).alias("_b")).distinct())
     return (df.join(sa, F.col(a) == F.col("_a"), "left_semi")
               .join(sb, F.col(b) == F.col("_b"), "left_semi"))
 

@@ -72,10 +72,18 @@ def half_split(df: DataFrame, order: str = "id", parts: int = 2, out: str = "hal
 
 
 def length_sort_batches(df: DataFrame, length: str, key: str, size: int = 8, out: str = "batch") -> DataFrame:
-    """Batches of ``size`` rows in descending-length order (ties by key)."""
+    """Batches of ``size`` rows in descending-length order (ties by key).
+
+    Rows are numbered by key inside each length, in ranges of the key, so one
+    length holding most rows still spreads; each length then starts where the
+    longer ones end."""
     d = df.withColumn("_neg", -F.col(length))
-    d = ordered_index(d, ["_neg", key], name="_rn")
-    return d.withColumn(out, F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn", "_neg")
+    counts = d.groupBy("_neg").agg(F.count(F.lit(1)).alias("_c"))
+    before = running_aggregates(counts, ["_neg"], [], {"_cum": ("_c", "sum")})
+    before = before.select(F.col("_neg").alias("_len"), (F.col("_cum") - F.col("_c")).alias("_before"))
+    d = ordered_index(d, [key], ["_neg"], name="_in")
+    d = d.join(before, F.col("_neg").eqNullSafe(F.col("_len")))
+    return d.withColumn(out, F.floor((F.col("_before") + F.col("_in") - 1) / size).cast("long")).drop("_in", "_neg", "_len", "_before")
 
 
 def shuffle_rows(df: DataFrame, key: str = "id", seed: int = 42, out: str = "rn") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivalry.operators.quantiles import exact_quantiles
+
 ROLE_TO_FROM = {"user": "human", "assistant": "gpt"}
 
 
@@ -46,8 +48,6 @@ def qa_pairs(conv: DataFrame) -> DataFrame:
 
 def length_stats(df: DataFrame, col: str) -> DataFrame:
     """mean/min/max and exact linear-interpolated p90/p95/p99."""
-    pct = F.percentile(F.col(col), F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99)))
-    s = df.agg(F.avg(col).alias("mean_len"), F.min(col).alias("min_len"), F.max(col).alias("max_len"),
-               pct.alias("_p"))
-    return s.select("mean_len", "min_len", "max_len", F.col("_p")[0].alias("p90"), F.col("_p")[1].alias("p95"),
-                    F.col("_p")[2].alias("p99"))
+    s = df.agg(F.avg(col).alias("mean_len"), F.min(col).alias("min_len"), F.max(col).alias("max_len"))
+    ranks = dict(zip(("p90", "p95", "p99"), exact_quantiles(df, col, [0.9, 0.95, 0.99])))
+    return s.select("*", *[F.lit(v).cast("double").alias(k) for k, v in ranks.items()])

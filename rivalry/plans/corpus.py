@@ -35,9 +35,10 @@ def prepare_corpus(battles: DataFrame, extra: DataFrame, synth: DataFrame, preds
     # the rendered main corpus feeds the fold statistics, the ranking and the
     # semi-join: write it once to the shared folder instead of recomputing it
     main = cut_lineage(render_text(labels.label_from_flags(battles)).select(*cols), "corpus-main")
+    # the extra corpus is filtered on its model names before its texts are rendered
+    ext = combine.semi_join_models(extra, main)
+    ext = render_text(labels.label_from_flags(ext)).select(*cols)
     main = folds.stratified_kfold(main, k, shuffle=True, seed=seed)
-    ext = render_text(labels.label_from_flags(extra)).select(*cols)
-    ext = combine.semi_join_models(ext, main)
     u = combine.union_missing_columns(main.withColumn("src", F.lit(0)), ext.withColumn("src", F.lit(1)))
     u = combine.dedup_keep_first(u, "text", ["src", "id"])
     u = combine.left_join_predictions(u, preds)

@@ -102,6 +102,28 @@ def test_requested_range_buckets_are_reached(spark):
     assert d.groupBy(ordered.BUCKET).count().agg(F.max("count")).first()[0] <= 200
 
 
+def test_one_hot_length_is_spread(spark):
+    """All rows of one length: windows hold ranges of the key, the batches stay exact."""
+    from rivalry.operators import ordered, training_log
+    d = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 50 == 0, F.col("id") % 7).otherwise(F.lit(9)).alias("n"))
+    out = {r.id: r.batch for r in training_log.length_sort_batches(d, "n", "id").collect()}
+    order = sorted((r.id for r in d.collect()), key=lambda i: (-(i % 7 if i % 50 == 0 else 9), i))
+    assert out == {i: k // 8 for k, i in enumerate(order)}
+    b = ordered.with_range_bucket(d, "id", ordered.buckets_for(5000, 100))
+    assert b.groupBy("n", ordered.BUCKET).count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_exact_quantiles_of_many_values(spark):
+    import numpy as np
+    from rivalry.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=20000), np.repeat([0.5, 2.0], 3000)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    ps = [0, 0.01, 0.25, 0.5, 0.77, 0.999, 1]
+    assert np.allclose(exact_quantiles(df, "x", ps), np.quantile(x, ps), atol=1e-12)
+    assert exact_quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
 def test_checkpoint_folder_is_needed_on_a_cluster(spark, monkeypatch):
     from rivalry import session
 
