@@ -66,17 +66,3 @@ def dot_batched(a, b) -> Column:
             return pd.Series([], dtype="float64")
         return pd.Series(np.einsum("ij,ij->i", _stack(x), _stack(y)))
     return _dot(_c(a), _c(b))
-
-
-def sign_cell(a, planes: list[list[float]]) -> Column:
-    """Cell id = sign pattern of ``a`` against each hyperplane (bit j = plane j)."""
-    P = np.asarray(planes, dtype=np.float64)
-    weights = (1 << np.arange(len(planes))).astype(np.int64)
-
-    @F.pandas_udf("int")
-    def _cell(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype="int32")
-        bits = (_stack(x) @ P.T) >= 0
-        return pd.Series((bits.astype(np.int64) @ weights).astype(np.int32))
-    return _cell(_c(a))

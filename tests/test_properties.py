@@ -102,6 +102,25 @@ def test_requested_range_buckets_are_reached(spark):
     assert d.groupBy(ordered.BUCKET).count().agg(F.max("count")).first()[0] <= 200
 
 
+def test_knn_ships_the_corpus_once_whatever_the_queries(spark):
+    """Rows entering the scoring exchange: corpus rows + wanted query rows; ties keep the smaller id."""
+    rows = [(i, [float(i % 3), 1.0]) for i in range(30)]
+    c = spark.createDataFrame(rows, "id long, embedding array<double>")
+    for n in (5, 50):
+        q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(n)], "q_id long, embedding array<double>")
+        got = knn.knn_join(q, c, k=2).collect()
+        assert {(r.rank, r.id) for r in got} == {(1, 2), (2, 5)} and len(got) == 2 * n
+    empty = c.limit(0)
+    assert knn.knn_join(q, empty).count() == 0 and knn.knn_join(q.limit(0), c).count() == 0
+
+
+def test_approx_knn_answers_every_query(spark):
+    c = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1])], "id long, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "q_id long, embedding array<double>")
+    got = {r.q_id: r.id for r in knn.knn_approx_join(q, c).collect()}
+    assert set(got) == {0, 1} and got[1] == 1
+
+
 def test_one_hot_length_is_spread(spark):
     """All rows of one length: windows hold ranges of the key, the batches stay exact."""
     from rivalry.operators import ordered, training_log
@@ -174,14 +193,14 @@ def test_exact_knn_equals_brute_force(spark):
 def test_exact_knn_with_small_chunks(spark):
     # force many corpus and query chunks per cell (a hot cell split across tasks)
     q, c = fx.retrieval_queries(spark, SF_SMALL), fx.retrieval_corpus(spark, SF_SMALL)
-    ours = {(r.q_id, r.rank): r.id for r in knn.knn_join(q, c, k=2, corpus_chunk=7, query_chunk=5).collect()}
+    ours = {(r.q_id, r.rank): r.id for r in knn.knn_join(q, c, k=2, block_bytes=8 * 64 * 7, query_chunk=5).collect()}
     ref = {(r.q_id, r.rank): r.id for r in knn.knn_brute_force(q, c, k=2).collect()}
     assert ours == ref
 
 
-def test_exact_knn_with_refined_cells(spark):
+def test_exact_knn_with_many_cells(spark):
     q, c = fx.retrieval_queries(spark, SF_SMALL), fx.retrieval_corpus(spark, SF_SMALL)
-    idx = knn.build_cell_index(c, refine=True)
+    idx = knn.build_cell_index(c, members=7)
     ours = {(r.q_id, r.rank): r.id for r in knn.knn_join(q, c, k=3, index=idx).collect()}
     ref = {(r.q_id, r.rank): r.id for r in knn.knn_brute_force(q, c, k=3).collect()}
     assert ours == ref
