@@ -7,7 +7,7 @@ All are JVM expressions (``from_json`` + higher-order functions).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIST_SCHEMA = "array<string>"
@@ -52,6 +52,15 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
 
 
+def quarantine_unparsed(df: DataFrame, *cells: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) rows: bad ones hold a non-null cell that is not a list of
+    strings, and get ``bad_cells``, the names of those cells.  Good rows keep
+    their columns."""
+    failed = [F.when(F.col(c).isNotNull() & parse_list(c).isNull(), F.lit(c)) for c in cells]
+    bad = F.array_compact(F.array(*failed))
+    return df.where(F.size(bad) == 0), df.withColumn("bad_cells", bad).where(F.size("bad_cells") > 0)
+
+
 def word_count(c) -> Column:
     """Python ``len(s.split())``: whitespace-separated words, '' → 0."""
     return F.size(F.filter(F.split(_c(c), r"\s+"), lambda x: x != ""))

@@ -32,15 +32,6 @@ def softmax(*zs, temperature=None) -> list[Column]:
     return [e / tot for e in es]
 
 
-def softmax_array(z) -> Column:
-    """Softmax of an array column."""
-    z = _c(z)
-    m = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
-
-
 def pick(label, *ps) -> Column:
     """The entry of ``ps`` at index ``label`` (0-based)."""
     out = None

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,26 +41,3 @@ def to_float(a) -> Column:
 
 def round_vec(a, digits: int = 5) -> Column:
     return F.transform(_c(a), lambda x: F.round(x.cast("double"), digits))
-
-
-# ---------------------------------------------------------------------------
-# Arrow-batched NumPy kernels for the dense hot paths (kNN scoring).
-# Spark still partitions, joins and ranks; NumPy only does the arithmetic of
-# one Arrow batch at a time.
-# ---------------------------------------------------------------------------
-
-def _stack(s):
-    if len(s) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(x, dtype=np.float64) for x in s.to_numpy()])
-
-
-def dot_batched(a, b) -> Column:
-    """Row-wise inner product of two array columns, computed per Arrow batch."""
-
-    @F.pandas_udf("double")
-    def _dot(x: pd.Series, y: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype="float64")
-        return pd.Series(np.einsum("ij,ij->i", _stack(x), _stack(y)))
-    return _dot(_c(a), _c(b))

@@ -125,7 +125,9 @@ def project_3d(df: DataFrame, vec: str = "embedding") -> DataFrame:
 
 
 def fit_and_store(train: DataFrame, path: str) -> PipelineModel:
-    """Fit a pipeline, save it, load it back (the stored artefact is what scoring uses)."""
-    model = Pipeline(stages=[LogisticRegression(family="multinomial", regParam=0.01, maxIter=50)]).fit(train)
+    """Fit boosted trees (one model per class), save them, load them back
+    (the stored artefact is what scoring uses)."""
+    trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.1, seed=42)
+    model = Pipeline(stages=[OneVsRest(classifier=trees)]).fit(train)
     model.write().overwrite().save(path)
     return PipelineModel.load(path)

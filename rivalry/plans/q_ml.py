@@ -39,7 +39,7 @@ def q_batch_embed(spark, sf):
 @register("gbm_classify")
 def q_gbm_classify(spark, sf):
     train, valid = _split(spark, sf)
-    return ml.gbm_classify(train, valid).select("vec_id", "label", "prediction")
+    return ml.gbm_classify(train, valid).select("vec_id", "label", "prediction", *[F.round(f"p{i}", 6).alias(f"p{i}") for i in range(3)])
 
 
 @register("svm_classify")
@@ -59,7 +59,7 @@ def q_linear_head(spark, sf):
 def q_tfidf_features(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     t = ml.tfidf_features(docs)
-    return t.select("doc_id", F.size(F.filter(vector_to_array("tfidf"), lambda x: x != 0)).alias("nnz"))
+    return t.select("doc_id", F.size(F.array_remove(vector_to_array("tfidf"), 0.0)).alias("nnz"))
 
 
 @register("project_3d")

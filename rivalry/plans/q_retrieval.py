@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivalry.functions import probs
-from rivalry.functions.vectors import l2_normalize, round_vec, to_double
+from rivalry.functions.vectors import l2_normalize, round_vec, to_double, to_float
 from rivalry.operators import context, knn, metrics, pooling
 from rivalry.plans import fixtures as fx
 from rivalry.plans.oracle_fixtures import with_fixtures as W
@@ -63,11 +63,12 @@ def q_l2_normalize(spark, sf):
     return e.select("vec_id", round_vec(l2_normalize(e3), 5).alias("unit"))
 
 
-@register("vector_cast", """SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vec
-  FROM embeddings""")
+@register("vector_cast", """SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vec,
+  list_transform(embedding, lambda x: round(CAST(CAST(CAST(x AS DOUBLE) / 3 AS FLOAT) AS DOUBLE), 12)) AS narrow FROM embeddings""")
 def q_vector_cast(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return e.select("vec_id", round_vec(to_double("embedding"), 6).alias("vec"))
+    e = table(spark, sf, "embeddings").withColumn("_d", to_double("embedding"))
+    third = F.transform("_d", lambda x: x / 3)  # no longer a float32 value: the narrowing cast rounds it
+    return e.select("vec_id", round_vec("_d", 6).alias("vec"), round_vec(to_float(third), 12).alias("narrow"))
 
 
 @register("select_class_tokens", """SELECT vec_id, round(CAST(embedding[6] AS DOUBLE), 6) AS A,

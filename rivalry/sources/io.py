@@ -33,7 +33,9 @@ NESTED_SCHEMA = T.StructType([
 
 
 def _csv_writer(df: DataFrame, escape: str):
-    return (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", escape)
+    """Bytes that are not valid UTF-8 are written as the replacement character."""
+    text = [c for c, t in df.dtypes if t == "string"]
+    return (df.withColumns({c: F.make_valid_utf8(F.col(c)) for c in text}).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", escape)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 

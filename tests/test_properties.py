@@ -121,6 +121,24 @@ def test_approx_knn_answers_every_query(spark):
     assert set(got) == {0, 1} and got[1] == 1
 
 
+def test_unparsable_list_cells_are_set_aside(spark):
+    from rivalry.functions.lists import quarantine_unparsed
+    df = spark.createDataFrame([(1, '["a"]', '["b", null]'), (2, "[oops", '["b"]'), (3, None, "also bad"), (4, "[]", "[]")],
+                               "id int, p string, a string")
+    good, bad = quarantine_unparsed(df, "p", "a")
+    assert sorted(r.id for r in good.collect()) == [1, 4] and good.columns == df.columns
+    assert {r.id: r.bad_cells for r in bad.collect()} == {2: ["p"], 3: ["a"]}
+
+
+def test_csv_sink_replaces_bad_bytes(spark, tmp_path):
+    from rivalry.sources import io
+    df = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"a\xffb"))], "id int, raw binary")
+    df = df.selectExpr("id", "cast(raw AS string) AS text")
+    io.write_csv(df, str(tmp_path / "out"))
+    back = {r.id: r.text for r in io.read_csv(spark, str(tmp_path / "out"), "id int, text string").collect()}
+    assert back == {1: "ok", 2: "a\ufffdb"}
+
+
 def test_one_hot_length_is_spread(spark):
     """All rows of one length: windows hold ranges of the key, the batches stay exact."""
     from rivalry.operators import ordered, training_log
