@@ -37,10 +37,11 @@ def prepare_corpus(battles: DataFrame, extra: DataFrame, synth: DataFrame, preds
     main = cut_lineage(render_text(labels.label_from_flags(battles)).select(*cols), "corpus-main")
     # the extra corpus is filtered on its model names before its texts are rendered
     ext = combine.semi_join_models(extra, main)
-    ext = render_text(labels.label_from_flags(ext)).select(*cols)
+    ext = cut_lineage(render_text(labels.label_from_flags(ext)).select(*cols), "corpus-extra")
+    plain = [d.select(F.lit(src).alias("src"), "id", "text") for src, d in enumerate((main, ext))]
     main = folds.stratified_kfold(main, k, shuffle=True, seed=seed)
     u = combine.union_missing_columns(main.withColumn("src", F.lit(0)), ext.withColumn("src", F.lit(1)))
-    u = combine.dedup_keep_first(u, "text", ["src", "id"])
+    u = combine.dedup_keep_first(u, "text", ["src", "id"], plain=plain[0].unionByName(plain[1]))
     u = combine.left_join_predictions(u, preds)
     syn = render_text(synth).select("id", "label", "text").withColumn("src", F.lit(2))
     out = combine.union_missing_columns(u, syn)
