@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, licenses, pii
 from .common import ship_package, table
 from .neardup import near_duplicates
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
 from .preference import format_pairs, mask_text, next_reply_pairs
 from .quality import quality
@@ -74,4 +75,3 @@ def _shipped(fn):
 
 
 QUERIES = {fn.__name__: _shipped(fn) for fn in _ALL}
-ORACLES: dict[str, str] = {}
