@@ -71,49 +71,61 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > 3, let(words, lambda w: let(windows(w), lambda h: counted(w, h)))).otherwise(0)
 
 
-def base_counts(df: DataFrame) -> DataFrame:
+def base_counts(df: DataFrame, *more) -> DataFrame:
     t, words = F.col("t"), F.col("words")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     cols = {f"_{k}": _without(t, v) for k, v in CLASSES.items()}
     df = df.select("doc_id", "lang", "words", F.size(words).cast("long").alias("n_words"),
                    F.length(t).cast("long").alias("_chars"), dup_lines.cast("long").alias("n_dup_lines"),
-                   _repeat_words(words).cast("long").alias("n_repeat_words"), *[c.cast("long").alias(k) for k, c in cols.items()])
+                   _repeat_words(words).cast("long").alias("n_repeat_words"), *more, *[c.cast("long").alias(k) for k, c in cols.items()])
     return df.withColumns({"word_chars": F.col("_chars") - F.col("_blank"), "n_symbols": F.col("_symbol"),
                            "_rest": F.col("_chars") - sum((F.col(f"_{k}") for k in CLASSES), F.lit(0))})
 
 
-def references(docs: DataFrame, n_common: int = N_COMMON, common_letters: int = COMMON_LETTERS) -> DataFrame:
-    """lang (null: all documents), common (array of words), common_share and
-    char_share (arrays of doubles): at most MAX_LANGS + 1 rows."""
-    df = with_words(docs)
-    t = F.col("t")
-    classes = [_without(t, v) for v in CLASSES.values()]
-    chars = df.groupBy("lang").agg(F.sum(F.length(t)).alias("chars"), F.sum(F.size("words")).alias("n"),
-                                   *[F.sum(c).alias(f"c{i}") for i, c in enumerate(classes)])
-    chars = cut_lineage(chars, "char-sums")
-    words = (df.select("lang", F.explode("words").alias("w"))
+def common_words(docs: DataFrame, n_common: int = N_COMMON, common_letters: int = COMMON_LETTERS) -> DataFrame:
+    """(lang, best): the most common words with their counts, array<struct<r, w, k>>,
+    for the MAX_LANGS largest languages and, with a null lang, for all documents
+    together: at most MAX_LANGS + 1 rows."""
+    words = (with_words(docs).select("lang", F.explode("words").alias("w"))
              .where((F.length("w") <= common_letters) & F.col("w").rlike(r"^\p{L}+$")))
     words = cut_lineage(words.groupBy("lang", "w").agg(F.count("*").alias("k")), "word-counts")
-    top = chars.where("lang IS NOT NULL").orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang")
-
-    def one(word_rows, char_rows):
-        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("k"), "w"))
-        # the first words of each language by Spark's grouped top-k (a window limit is applied before the shuffle)
-        best = (word_rows.withColumn("r", rank).where(F.col("r") <= n_common).groupBy("lang")
-                .agg(F.sort_array(F.collect_list(F.struct("r", "w", "k"))).alias("b")))
-        full = char_rows.join(best.withColumnRenamed("lang", "lang2"), F.col("lang").eqNullSafe(F.col("lang2")), "left")
-        b = F.coalesce("b", F.array().cast("array<struct<r:int,w:string,k:bigint>>"))
-        common = F.transform(b, lambda x: x["k"] / F.greatest(F.col("n"), F.lit(1)))
-        chars = F.array(*[F.col(f"c{i}") / F.greatest(F.col("chars"), F.lit(1)) for i in range(len(CLASSES))])
-        return full.select("lang", F.transform(b, lambda x: x["w"]).alias("common"), common.alias("common_share"),
-                           chars.alias("char_share"))
-
-    sums = [F.sum(c).alias(c) for c in ["chars", "n", *[f"c{i}" for i in range(len(CLASSES))]]]
-    whole = one(words.groupBy("w").agg(F.sum("k").alias("k")).withColumn("lang", F.lit(None).cast("string")),
-                chars.agg(*sums).withColumn("lang", F.lit(None).cast("string")))
-    by_lang = one(words.join(F.broadcast(top), "lang", "left_semi"), chars.join(F.broadcast(top), "lang", "left_semi"))
-    return cut_lineage(by_lang.unionByName(whole), "references")
+    top = (words.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("k").alias("n"))
+           .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang"))
+    # the first words of each language by Spark's grouped top-k (a window limit is applied before the shuffle)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("k"), "w"))
+    whole = words.groupBy("w").agg(F.sum("k").alias("k")).select(F.lit(None).cast("string").alias("lang"), "w", "k")
+    both = words.join(F.broadcast(top), "lang", "left_semi").unionByName(whole)
+    best = (both.withColumn("r", rank).where(F.col("r") <= n_common).groupBy("lang")
+            .agg(F.sort_array(F.collect_list(F.struct("r", "w", "k"))).alias("best")))
+    return cut_lineage(best, "common-words")
+
+
+def histograms(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """The base counts and both histograms of every document, in one pass over
+    the texts: class counts ``_upper`` ..., ``_hits`` (occurrences of each common
+    word of ``_ref``, the language compared with; null: all documents)."""
+    df = with_words(docs)
+    known = common.where("lang IS NOT NULL").select(F.col("lang").alias("_ref"), F.col("best").alias("_own"))
+    whole = common.where("lang IS NULL").select(F.col("best").alias("_all"))
+    df = df.join(F.broadcast(known), F.col("lang") == F.col("_ref"), "left").join(F.broadcast(whole), F.lit(True), "left")
+    names = F.transform(F.coalesce("_own", "_all", F.array().cast("array<struct<r:int,w:string,k:bigint>>")), lambda x: x["w"])
+    df = df.withColumn("_names", names)
+    hits = let(F.filter("words", lambda w: F.array_contains(F.col("_names"), w)), lambda hit: F.transform(
+        "_names", lambda c: F.size(hit) - F.size(F.array_remove(hit, c))))
+    return base_counts(df, "_ref", hits.alias("_hits")).drop("words")
+
+
+def references(table: DataFrame, common: DataFrame) -> DataFrame:
+    """lang (null: all documents), common_share and char_share: the histograms
+    summed over all documents of a language; at most MAX_LANGS + 1 rows."""
+    columns = ["_chars", "n_words", *[f"_{k}" for k in CLASSES]]
+    own = table.where("lang IS NOT NULL").groupBy("lang").agg(*[F.sum(c).alias(c) for c in columns])
+    whole = table.agg(*[F.sum(c).alias(c) for c in columns]).select(F.lit(None).cast("string").alias("lang"), *columns)
+    full = common.withColumnRenamed("lang", "_l").join(own.unionByName(whole), F.col("_l").eqNullSafe(F.col("lang")))
+    share = F.transform("best", lambda x: x["k"] / F.greatest(F.col("n_words"), F.lit(1)))
+    chars = F.array(*[F.col(f"_{k}") / F.greatest(F.col("_chars"), F.lit(1)) for k in CLASSES])
+    return cut_lineage(full.select("lang", share.alias("common_share"), chars.alias("char_share")), "references")
 
 
 def _with_rest(shares: Column) -> Column:
@@ -136,15 +148,14 @@ def js_distance(p: Column, q: Column) -> Column:
 def quality(docs: DataFrame, char_limit: float = CHAR_LIMIT, char_slack: float = CHAR_SLACK,
             word_limit: float = WORD_LIMIT, word_slack: float = WORD_SLACK, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, char_js, word_js."""
-    refs = references(docs)
-    known = refs.where("lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.struct("common", "common_share", "char_share").alias("_ref"))
-    whole = refs.where("lang IS NULL").select(F.struct("common", "common_share", "char_share").alias("_all"))
-    df = base_counts(with_words(docs))
-    df = df.join(F.broadcast(known), F.col("lang") == F.col("_lang"), "left").join(F.broadcast(whole), F.lit(True), "left")
-    df = df.withColumn("_r", F.coalesce("_ref", "_all"))
-    # bins of the common words, counted over the words that are common at all
-    bins = let(F.filter("words", lambda w: F.array_contains(F.col("_r.common"), w)), lambda hit: F.transform(
-        F.col("_r.common"), lambda c: (F.size(hit) - F.size(F.array_remove(hit, c))) / F.greatest(F.col("n_words"), F.lit(1))))
+    common = common_words(docs)
+    df = cut_lineage(histograms(docs, common), "histograms")
+    refs = references(df, common)
+    known = refs.where("lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.struct("common_share", "char_share").alias("_own"))
+    whole = refs.where("lang IS NULL").select(F.struct("common_share", "char_share").alias("_all"))
+    df = df.join(F.broadcast(known), F.col("_ref") == F.col("_lang"), "left").join(F.broadcast(whole), F.lit(True), "left")
+    df = df.withColumn("_r", F.coalesce("_own", "_all"))
+    bins = F.transform("_hits", lambda n: n / F.greatest(F.col("n_words"), F.lit(1)))
     shares = F.array(*[F.col(f"_{k}") / F.greatest(F.col("_chars"), F.lit(1)) for k in CLASSES])
     df = df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                    F.round(js_distance(shares, F.col("_r.char_share")), 6).alias("char_js"),
