@@ -5,8 +5,7 @@ from __future__ import annotations
 from .quality import CHAR_LIMIT, CHAR_SLACK, CLASSES, COMMON_LETTERS, MIN_WORDS, N_COMMON, WORD_LIMIT, WORD_SLACK
 from .vectors import MIN_COSINE
 
-_CLASS_SQL = {"upper": "[A-Z]", "digit": "[0-9]", "punct": "[.,;:!?''\"()-]", "symbol": "[#*$%&|<>]", "blank": r"[\x20\x09-\x0D]"}
-assert set(_CLASS_SQL) == set(CLASSES)
+_CLASS_SQL = {k: v.replace("'", "''") for k, v in CLASSES.items()}
 
 
 def _js(p: str, q: str) -> str:

@@ -31,51 +31,59 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, cut_lineage, let
 
-SYMBOLS = "#*$%&|<>"
 BLANK_CHARS = " \t\n\x0b\f\r"
-CLASSES = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "punct": ".,;:!?'\"()-", "symbol": SYMBOLS,
-           "blank": BLANK_CHARS}
+CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "punct": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>]", "blank": r"[\x20\x09-\x0D]"}
 N_COMMON, COMMON_LETTERS, MAX_LANGS = 24, 6, 64
 CHAR_LIMIT, CHAR_SLACK, WORD_LIMIT, WORD_SLACK, MIN_WORDS = 0.12, 1.2, 0.10, 2.6, 50
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def with_words(docs: DataFrame) -> DataFrame:
     """doc_id, lang, t (text), words."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), t.alias("t"))
-    return df.withColumn("words", F.filter(F.split("t", BLANK), lambda w: w != ""))
+    trimmed = F.btrim("t", F.lit(BLANK_CHARS))
+    return df.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK)))
+
+
+FEW = 64  # repeated windows that are looked up one by one
 
 
 def _repeat_words(words: Column) -> Column:
     """Words inside three-word windows that occur at least twice."""
-    def counted(w, hashes):
+    def covered(starts):
+        return let(starts, lambda p: F.aggregate(
+            F.transform(p, lambda a, k: F.coalesce(F.least(F.get(p, k + 1) - a, F.lit(3)), F.lit(3))), F.lit(0), lambda acc, x: acc + x))
+
+    def by_lookup(hashes, again):
+        at = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(again, h), i)), lambda i: i.isNotNull())
+        return covered(at)
+
+    def by_sorting(hashes):
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-        def covered(s):
-            again = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False))
-                             | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)))
-            starts = F.sort_array(F.transform(again, lambda x: x["i"]))
-            return let(starts, lambda p: F.aggregate(
-                F.transform(p, lambda a, k: F.coalesce(F.least(F.get(p, k + 1) - a, F.lit(3)), F.lit(3))),
-                F.lit(0), lambda acc, x: acc + x))
+        def starts(s):
+            same = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False))
+                            | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)))
+            return covered(F.sort_array(F.transform(same, lambda x: x["i"])))
+
+        return let(pairs, starts)
 
-        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(pairs, covered)).otherwise(0)
+    def counted(hashes):
+        again = let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda h, i: F.coalesce(h == F.get(s, i + 1), F.lit(False)))))
+        # the same positions either way; looking up costs windows x repeated windows, sorting windows x log(windows)
+        return let(again, lambda d: F.when(F.size(d) == 0, 0).when(F.size(d) <= FEW, by_lookup(hashes, d)).otherwise(by_sorting(hashes)))
 
     def windows(w):
         return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-    return F.when(F.size(words) > 3, let(words, lambda w: let(windows(w), lambda h: counted(w, h)))).otherwise(0)
+    return F.when(F.size(words) > 3, let(words, lambda w: let(windows(w), counted))).otherwise(0)
 
 
 def base_counts(df: DataFrame, *more) -> DataFrame:
     t, words = F.col("t"), F.col("words")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    cols = {f"_{k}": _without(t, v) for k, v in CLASSES.items()}
+    cols = {f"_{k}": F.regexp_count(t, F.lit(v)) for k, v in CLASSES.items()}
     df = df.select("doc_id", "lang", "words", F.size(words).cast("long").alias("n_words"),
                    F.length(t).cast("long").alias("_chars"), dup_lines.cast("long").alias("n_dup_lines"),
                    _repeat_words(words).cast("long").alias("n_repeat_words"), *more, *[c.cast("long").alias(k) for k, c in cols.items()])
