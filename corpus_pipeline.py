@@ -5,8 +5,10 @@ Parquet and read again as the next one's ``docs``.  All stages but the last
 return the columns of ``documents``; the last one returns packed pieces.
 
 1. ``language_id`` drops documents without a language (null text, no letters).
-2. ``near_dedup`` keeps the smallest doc_id of each near-duplicate component
-   (five-word shingles, similarity of 0.8 or more).
+2. ``near_dedup`` keeps one row of each near-duplicate component (five-word
+   shingles, similarity of 0.8 or more): the one with the smallest doc_id, null
+   last.  Rows are linked by their texts alone, so repeated rows, rows that
+   share a doc_id and rows without one are treated like any others.
 3. ``repeat_removal`` cuts every byte covered by a 200-byte string that starts
    anywhere else; a document with nothing but blanks left goes.
 4. ``redact_pii`` replaces personal data by tags.
@@ -35,9 +37,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    verdict = near_duplicates(docs, width=SHINGLE_WORDS, percent=PERCENT)
-    dropped = verdict.where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # rows get a key of their own; written, so that it stays the same for all readers
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    verdict = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width=SHINGLE_WORDS, percent=PERCENT)
+    part = verdict.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    part = cut_lineage(rows.select("_row", order.alias("_order")).join(part, "_row"), "near-parts")
+    kept = part.groupBy("_part").agg(F.min("_order").alias("_order")).select("_order._row")
+    dropped = part.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Preference pairs by a plain version; the pipeline stage by stage and as a whole."""
 
 import importlib
+import random
 import sys
 
 import pytest
@@ -10,6 +11,7 @@ import corpus_pipeline
 from brute import cut_repeats, near_duplicates
 from conftest import SF_SMALL, duck
 from llm_rows import docs, odd_docs  # noqa: F401
+from rivalry.llm.common import cut_lineage
 from rivalry.llm.preference import conversations, format_pairs, mask_text, next_reply_pairs
 from test_text_rules import base_spans
 from test_tokens import check_layout
@@ -105,6 +107,24 @@ def test_pipeline_odd_rows(spark, odd_docs):
     assert docs.count() >= 0 and docs.columns[:2] == ["doc_id", "piece"]
 
 
+def test_pipeline_keeps_one_copy(spark, docs):
+    """Of equal and nearly equal rows one survives all stages, repeated and null ids included."""
+    rng = random.Random(8)
+
+    def prose():
+        return " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(80))
+
+    t = [prose() for _ in range(6)]
+    rows = [(7, t[0]), (7, t[0]), (None, t[1]), (3, t[1]), (None, t[2]), (None, t[2]), (5, t[3]), (5, t[4]), (9, t[4] + " end"), (4, t[5])]
+    left = docs([(i, x, "en") for i, x in rows])
+    for name, stage in corpus_pipeline.STAGES:
+        left = cut_lineage(stage(spark, left, SF_SMALL), f"test-copy-{name}")
+        if name in ("near_dedup", "repeat_removal", "redact_pii"):
+            got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr)
+            assert got == sorted([(7, t[0]), (3, t[1]), (None, t[2]), (5, t[3]), (5, t[4]), (4, t[5])], key=repr), name
+    assert {r["doc_id"] for r in left.collect()} == {7, 3, None, 5, 4}
+
+
 def test_entry_without_the_optional_modules(monkeypatch):
     """Deleting the package or the pipeline leaves the other queries."""
     real = importlib.import_module
