@@ -23,12 +23,13 @@ every 85 bytes.
 4. The repeated ranges of a document are merged and cut out.
 
 Anchors and surroundings are 64-bit hashes; two different strings are taken for
-equal only if both collide.
+equal only if both collide.  A row is known by a 128-bit hash of doc_id and text
+(``_hi``, ``_lo``), so ranges belong to one text.
 
 Defined results: null text counts as empty; texts under ``length`` bytes lose
-nothing; repeated rows repeat each other; rows that share a doc_id with
-different texts get the union of their ranges; null doc_ids keep their text
-unless repeated elsewhere; an empty table gives no rows; other columns are ignored.
+nothing; repeated rows repeat each other; rows that share a doc_id, or have none,
+each lose their own ranges only; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -113,27 +114,34 @@ def _runs(b: np.ndarray, length: int):
     return start, count, h[at[start]], around
 
 
+def _with_key(docs: DataFrame) -> DataFrame:
+    """Adds the row key ``_hi``, ``_lo``: equal for rows equal in doc_id and text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.withColumns({"_hi": F.xxhash64(doc_id, text), "_lo": F.xxhash64(F.lit(1), text, doc_id)})
+
+
 def anchor_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, count, key, around), one row per run."""
+    """(_hi, _lo, start, count, key, around), one row per run.  ``docs``: _hi, _lo, text."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "start", "count", "key", "around"]
+    names = ["_hi", "_lo", "start", "count", "key", "around"]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 raw = np.frombuffer((text or "").encode(), np.uint8)
                 for at in range(0, len(raw) - length + 1, _BLOCK):
                     start, count, key, around = _runs(raw[at:at + _BLOCK + length - 1], length)
-                    rows.append((doc_id, start + at, count, key, around))
+                    rows.append((k, start + at, count, key, around))
             if rows:
-                ids = [r[0] for r in rows for _ in range(len(r[1]))]
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate([r[1] for r in rows])),
+                of = pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]))
+                yield pa.record_batch([batch.column("_hi").take(of), batch.column("_lo").take(of),
+                                       pa.array(np.concatenate([r[1] for r in rows])),
                                        pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)),
                                        pa.array(np.concatenate([r[3] for r in rows]).view(np.int64)),
                                        pa.array(np.concatenate([r[4] for r in rows]).view(np.int64))], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, start long, count int, key long, around long")
+    return docs.mapInArrow(run, "_hi long, _lo long, start long, count int, key long, around long")
 
 
 def _true_runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +169,12 @@ def _compared(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     r = np.searchsorted(np.cumsum(count + 1), s, side="right")
     base = (np.cumsum(count + 1) - (count + 1))[r]
     start = pdf["start"].to_numpy()[r] + (s - base)
-    out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[r], "start": start, "stop": start + (e - s) + length - 1})
+    out = pd.DataFrame({"_hi": pdf["_hi"].to_numpy()[r], "_lo": pdf["_lo"].to_numpy()[r], "start": start, "stop": start + (e - s) + length - 1})
     return out[pdf["single"].to_numpy()[r]]
 
 
 def _positions(length: int):
-    """Rows (key, name, doc_id, at, single) of all positions of the given runs."""
+    """Rows (key, name, _hi, _lo, at, single) of all positions of the given runs."""
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -177,43 +185,45 @@ def _positions(length: int):
                 take = np.repeat(np.arange(len(pdf)), count)
                 yield pa.record_batch([batch.slice(k, 256).column("key").take(pa.array(take)),
                                        pa.array(np.concatenate(names).view(np.int64)),
-                                       batch.slice(k, 256).column("doc_id").take(pa.array(take)), pa.array(at),
+                                       batch.slice(k, 256).column("_hi").take(pa.array(take)),
+                                       batch.slice(k, 256).column("_lo").take(pa.array(take)), pa.array(at),
                                        batch.slice(k, 256).column("single").take(pa.array(take))],
-                                      names=["key", "name", "doc_id", "at", "single"])
+                                      names=["key", "name", "_hi", "_lo", "at", "single"])
     return run
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASSES,
                     bundle_runs: int = BUNDLE_RUNS) -> DataFrame:
-    """(doc_id, start, stop): byte ranges covered by repeated strings, not yet merged."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """(_hi, _lo, start, stop): byte ranges covered by repeated strings, not yet merged."""
+    texts = _with_key(docs).select("_hi", "_lo", F.col("text").cast("string"))
     runs = cut_lineage(anchor_runs(texts, length), "runs")
     shared = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # written, so that the join below reads plain exchanges whose hot partitions can be split
     shared = cut_lineage(shared, "shared")
     hits = cut_lineage(runs.join(shared, "key", "left_semi"), "hits")
-    classes = hits.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "count")).alias("one"))
+    classes = hits.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("_hi", "_lo", "start", "count")).alias("one"))
     classes = cut_lineage(classes, "classes")
     whole = hits.join(classes.where("n > 1").select("key", "around"), ["key", "around"], "left_semi")
-    whole = whole.select("doc_id", "start", (F.col("start") + F.col("count") + F.lit(length - 1)).alias("stop"))
+    whole = whole.select("_hi", "_lo", "start", (F.col("start") + F.col("count") + F.lit(length - 1)).alias("stop"))
     keys = classes.groupBy("key").agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("int")).alias("singles"))
     open_keys = keys.where("classes > 1 AND singles > 0").select("key", "classes")
     compare = (classes.join(open_keys, "key")
-               .select("key", "classes", (F.col("n") == 1).alias("single"), "one.doc_id", "one.start", "one.count"))
+               .select("key", "classes", (F.col("n") == 1).alias("single"), "one._hi", "one._lo", "one.start", "one.count"))
     compare = cut_lineage(compare, "compare")
     bundles = max(1, -(-compare.count() // bundle_runs))
     cut = F.expr(f"substring(cast(text AS binary), cast(start + 1 AS int), count + {length - 1})")
-    blobs = (compare.withColumnRenamed("doc_id", "id").join(texts, F.col("id").eqNullSafe(F.col("doc_id")))
-             .select("key", "classes", "single", F.col("id").alias("doc_id"), "start", cut.alias("bytes")).where(f"length(bytes) >= {length}"))
+    # one text per row key: a class is compared once, however often its row is repeated
+    blobs = (compare.join(texts.dropDuplicates(["_hi", "_lo"]), ["_hi", "_lo"])
+             .select("key", "classes", "single", "_hi", "_lo", "start", cut.alias("bytes")).where(f"length(bytes) >= {length}"))
     blobs = cut_lineage(blobs, "blobs")
     small = (blobs.where(F.col("classes") <= hot_classes).drop("classes")
              .groupBy(F.pmod(F.xxhash64("key"), F.lit(bundles)).alias("bundle"))
-             .applyInPandas(lambda pdf: _compared(pdf, length), "doc_id long, start long, stop long"))
-    named = (blobs.where(F.col("classes") > hot_classes).select("key", "doc_id", "start", "single", "bytes")
-             .mapInArrow(_positions(length), "key long, name long, doc_id long, at long, single boolean"))
+             .applyInPandas(lambda pdf: _compared(pdf, length), "_hi long, _lo long, start long, stop long"))
+    named = (blobs.where(F.col("classes") > hot_classes).select("key", "_hi", "_lo", "start", "single", "bytes")
+             .mapInArrow(_positions(length), "key long, name long, _hi long, _lo long, at long, single boolean"))
     twice = named.groupBy("key", "name").agg(F.count("*").alias("n")).where("n > 1").select("key", "name")
     hot = (named.where("single").join(twice, ["key", "name"], "left_semi")
-           .select("doc_id", F.col("at").alias("start"), (F.col("at") + length).alias("stop")))
+           .select("_hi", "_lo", F.col("at").alias("start"), (F.col("at") + length).alias("stop")))
     return whole.unionByName(small).unionByName(hot)
 
 
@@ -221,11 +231,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text`` all
     columns of ``docs`` in front, ``text`` being what is left (a character that
     lost some of its bytes goes as a whole)."""
-    ranges = (repeated_ranges(docs, length, hot_classes).distinct().groupBy("doc_id")
-              .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_ranges")).withColumnRenamed("doc_id", "_id"))
+    ranges = (repeated_ranges(docs, length, hot_classes).distinct().groupBy("_hi", "_lo")
+              .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_ranges")))
     extra = [] if with_text else ["doc_id", "text"]
     base = docs if with_text else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = base.join(ranges, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    joined = _with_key(base).join(ranges, ["_hi", "_lo"], "left").drop("_hi", "_lo")
     keep = [c for c in base.columns if c not in extra or c == "doc_id"]
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     kinds = dict(base.dtypes)

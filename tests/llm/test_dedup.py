@@ -95,6 +95,17 @@ def test_repeats_keep_columns_and_odd_rows(spark, odd_docs):
     assert remove_repeats(odd_docs.limit(0)).count() == 0
 
 
+def test_repeats_of_shared_and_null_ids(spark, docs):
+    """Each row loses its own ranges only, whatever its doc_id."""
+    rng = random.Random(5)
+    a, b, c, d, e = ("".join(rng.choices("abcdefgh ", k=700)) for _ in range(5))
+    rows = [(None, a[:500] + b), (None, c), (1, d + a[:500]), (2, e), (2, b[:300] + "z" * 150 + d[:300]), (None, c[:400] + e[:50]), (None, ""), (2, None)]
+    rows += [(None, a), (None, a), (3, a)]
+    for hot in (4096, 1):
+        out = remove_repeats(docs([(i, t, None) for i, t in rows]), hot_classes=hot)
+        check_repeats(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), cut_repeats(rows))
+
+
 def check_vectors(rows, want):
     assert len(rows) == len(want)
     for r in rows:
