@@ -11,9 +11,9 @@ texts scatter, so a limit grows by its ``slack / sqrt(words)``, and below
 
 Common words are words of at most ``common_letters`` letters; ``n_common`` are
 kept per language (by count, then alphabetically).  The references hold one
-short row per language for the ``MAX_LANGS`` most frequent languages (the bound
-for broadcasting them); documents of any other or no language are compared
-with the reference of all documents together.
+short row per language, for every language (one without common words has a word
+histogram of one bin); documents of no language are compared with the reference
+of all documents together.
 
 Everything is built-in functions.  Repeated three-word windows are found by
 their 64-bit hashes within one text.
@@ -33,7 +33,7 @@ from .common import BLANK, cut_lineage, let
 
 BLANK_CHARS = " \t\n\x0b\f\r"
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "punct": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>]", "blank": r"[\x20\x09-\x0D]"}
-N_COMMON, COMMON_LETTERS, MAX_LANGS = 24, 6, 64
+N_COMMON, COMMON_LETTERS = 24, 6
 CHAR_LIMIT, CHAR_SLACK, WORD_LIMIT, WORD_SLACK, MIN_WORDS = 0.12, 1.2, 0.10, 2.6, 50
 
 
@@ -93,19 +93,20 @@ def base_counts(df: DataFrame, *more) -> DataFrame:
 
 def common_words(docs: DataFrame, n_common: int = N_COMMON, common_letters: int = COMMON_LETTERS) -> DataFrame:
     """(lang, best): the most common words with their counts, array<struct<r, w, k>>,
-    for the MAX_LANGS largest languages and, with a null lang, for all documents
-    together: at most MAX_LANGS + 1 rows."""
+    for each language and, with a null lang, for all documents together."""
     words = (with_words(docs).select("lang", F.explode("words").alias("w"))
              .where((F.length("w") <= common_letters) & F.col("w").rlike(r"^\p{L}+$")))
     words = cut_lineage(words.groupBy("lang", "w").agg(F.count("*").alias("k")), "word-counts")
-    top = (words.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("k").alias("n"))
-           .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang"))
     # the first words of each language by Spark's grouped top-k (a window limit is applied before the shuffle)
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("k"), "w"))
     whole = words.groupBy("w").agg(F.sum("k").alias("k")).select(F.lit(None).cast("string").alias("lang"), "w", "k")
-    both = words.join(F.broadcast(top), "lang", "left_semi").unionByName(whole)
+    both = words.where("lang IS NOT NULL").unionByName(whole)
     best = (both.withColumn("r", rank).where(F.col("r") <= n_common).groupBy("lang")
-            .agg(F.sort_array(F.collect_list(F.struct("r", "w", "k"))).alias("best")))
+            .agg(F.sort_array(F.collect_list(F.struct("r", "w", "k"))).alias("best")).withColumnRenamed("lang", "_l"))
+    langs = docs.select(F.col("lang").cast("string")).where("lang IS NOT NULL").distinct()
+    langs = langs.unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("lang")))
+    none = F.array().cast("array<struct<r:int,w:string,k:bigint>>")
+    best = langs.join(best, F.col("lang").eqNullSafe(F.col("_l")), "left").select("lang", F.coalesce("best", none).alias("best"))
     return cut_lineage(best, "common-words")
 
 
@@ -116,7 +117,8 @@ def histograms(docs: DataFrame, common: DataFrame) -> DataFrame:
     df = with_words(docs)
     known = common.where("lang IS NOT NULL").select(F.col("lang").alias("_ref"), F.col("best").alias("_own"))
     whole = common.where("lang IS NULL").select(F.col("best").alias("_all"))
-    df = df.join(F.broadcast(known), F.col("lang") == F.col("_ref"), "left").join(F.broadcast(whole), F.lit(True), "left")
+    # one short row per language, without a bound: broadcast only when it measures small
+    df = df.join(known, F.col("lang") == F.col("_ref"), "left").join(F.broadcast(whole), F.lit(True), "left")
     names = F.transform(F.coalesce("_own", "_all", F.array().cast("array<struct<r:int,w:string,k:bigint>>")), lambda x: x["w"])
     df = df.withColumn("_names", names)
     hits = let(F.filter("words", lambda w: F.array_contains(F.col("_names"), w)), lambda hit: F.transform(
@@ -126,7 +128,7 @@ def histograms(docs: DataFrame, common: DataFrame) -> DataFrame:
 
 def references(table: DataFrame, common: DataFrame) -> DataFrame:
     """lang (null: all documents), common_share and char_share: the histograms
-    summed over all documents of a language; at most MAX_LANGS + 1 rows."""
+    summed over all documents of a language."""
     columns = ["_chars", "n_words", *[f"_{k}" for k in CLASSES]]
     own = table.where("lang IS NOT NULL").groupBy("lang").agg(*[F.sum(c).alias(c) for c in columns])
     whole = table.agg(*[F.sum(c).alias(c) for c in columns]).select(F.lit(None).cast("string").alias("lang"), *columns)
@@ -161,7 +163,7 @@ def quality(docs: DataFrame, char_limit: float = CHAR_LIMIT, char_slack: float =
     refs = references(df, common)
     known = refs.where("lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.struct("common_share", "char_share").alias("_own"))
     whole = refs.where("lang IS NULL").select(F.struct("common_share", "char_share").alias("_all"))
-    df = df.join(F.broadcast(known), F.col("_ref") == F.col("_lang"), "left").join(F.broadcast(whole), F.lit(True), "left")
+    df = df.join(known, F.col("_ref") == F.col("_lang"), "left").join(F.broadcast(whole), F.lit(True), "left")
     df = df.withColumn("_r", F.coalesce("_own", "_all"))
     bins = F.transform("_hits", lambda n: n / F.greatest(F.col("n_words"), F.lit(1)))
     shares = F.array(*[F.col(f"_{k}") / F.greatest(F.col("_chars"), F.lit(1)) for k in CLASSES])
