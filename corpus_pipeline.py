@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next one's ``docs``.  All stages but the last
 return the columns of ``documents``; the last one returns packed pieces.
 
-1. ``language_id`` drops documents without a language (null text, no letters).
+1. ``language_id`` drops documents without a language (null text, no letters),
+   also when there is no labelled document to learn a model from.
 2. ``near_dedup`` keeps one row of each near-duplicate component (five-word
    shingles, similarity of 0.8 or more): the one with the smallest doc_id, null
    last.  Rows are linked by their texts alone, so repeated rows, rows that
@@ -32,7 +33,10 @@ SHINGLE_WORDS, PERCENT = 5, 80
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     columns = docs.columns
-    return langid.predict(docs, langid.train(docs)).where(F.col("lang_pred") != langid.UND).select(*columns)
+    model = langid.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(langid.LETTER))
+    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UND).select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ feature set holds the 1-, 2- and 3-grams that are present; the kernel of two
 texts is the number of n-grams present in both over the root of the product of
 their set sizes.
 
-``train`` takes a bounded, labelled sample: about ``per_lang`` documents of each
-of the ``MAX_LANGS`` most frequent languages (a hash sample of the rows that are
-not held out), each cut to its first ``SEGMENT`` symbols.  ``landmarks`` of them
-span the Nyström feature space, in which kernel ridge regression is solved for
-each language against the rest.  ``predict`` goes over whole texts in segments of
+``train`` takes a labelled sample of the rows that are not held out: about
+``per_lang`` documents of every language (with very many languages fewer, about
+``SAMPLE`` in all but never under ``LEAST`` of one), drawn by hash, and of each
+document one segment of ``SEGMENT`` characters, drawn by hash from all its
+segments that hold a letter.  About ``landmarks`` of them (4 a language up to
+``MOST_LANDMARKS``) span the Nyström feature space, in which kernel ridge
+regression is solved for each language against the rest.  ``predict`` goes over whole texts in segments of
 ``SEGMENT`` symbols: a batch of presence rows times the landmark matrix gives
 the kernel block, and times the weights the scores; a document's score is the
 mean over its segments, weighted by their symbols.
@@ -33,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut_lineage, let, small_batches
 
-PER_LANG, LANDMARKS, MAX_LANGS, RIDGE, SEGMENT = 500, 128, 256, 1e-3, 4096
+PER_LANG, LANDMARKS, RIDGE, SEGMENT = 500, 128, 1e-3, 4096
+SAMPLE, LEAST, MOST_LANDMARKS = 128_000, 32, 1024
 SHARPNESS = 4.0
 UND = "und"
+#: Rows without one are ``und``.
+LETTER = r"\p{L}"
 
 _SIZE = 32 ** 3 + 32 ** 2 + 32
 
@@ -104,15 +109,21 @@ def held_out():
 
 
 def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> list:
-    """At most about ``per_lang`` rows (doc_id, lang, text start) per language."""
+    """About ``per_lang`` rows (doc_id, lang, one segment of the text) of every language."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    rows = rows.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    rate = F.broadcast(counts.select("lang", (F.lit(per_lang * 1.0) / F.col("count")).alias("rate")))
+    rows = rows.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    counts = cut_lineage(rows.groupBy("lang").count(), "languages")
+    each = min(per_lang, max(LEAST, SAMPLE // max(1, counts.count())))
+    rate = counts.select("lang", (F.lit(each * 1.0) / F.col("count")).alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(1 << 30)
     picked = rows.join(rate, "lang").where(draw < F.col("rate"))
-    # twice as many characters as symbols needed: runs of blanks shrink
-    return sorted(picked.select("doc_id", "lang", F.substring("text", 1, 2 * SEGMENT).alias("text")).collect(),
+    # parts of equal length, none over SEGMENT characters, from the whole text
+    parts = F.ceil(F.length("text") / SEGMENT).cast("int")
+    size = F.ceil(F.length("text") / parts).cast("int")
+    lettered = F.filter(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(F.col("text"), i * size + 1, size)),
+                        lambda x: x.rlike(LETTER))
+    one = let(lettered, lambda p: F.get(p, F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.size(p)).cast("int")))
+    return sorted(picked.select("doc_id", "lang", one.alias("text")).collect(),
                   key=lambda r: (r["lang"], r["doc_id"], r["text"]))
 
 
@@ -125,6 +136,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS,
     by_lang = {lang: [k for k, (x, _) in enumerate(seen) if x == lang] for lang in langs}
     share = max(4, landmarks // len(langs))
     chosen = [rows[i] for rows in by_lang.values() for i in np.unique(np.linspace(0, len(rows) - 1, share).astype(int))]
+    most = max(landmarks, MOST_LANDMARKS)
+    if len(chosen) > most:
+        chosen = [chosen[i] for i in np.unique(np.linspace(0, len(chosen) - 1, most).astype(int))]
     marks = presence([seen[k][1] for k in chosen])
     columns = np.flatnonzero(marks.any(axis=0))
     scaled = (marks[:, columns].T / np.sqrt(np.maximum(marks.sum(axis=1, dtype=np.int64), 1))).astype(np.float32)

@@ -125,6 +125,12 @@ def test_pipeline_keeps_one_copy(spark, docs):
     assert {r["doc_id"] for r in left.collect()} == {7, 3, None, 5, 4}
 
 
+def test_pipeline_without_labels(spark, docs):
+    rows = docs([(1, "some text", None), (2, "12 ?", None), (3, None, None), (None, "é", None)])
+    left = dict(corpus_pipeline.STAGES)["language_id"](spark, rows, SF_SMALL)
+    assert left.columns == rows.columns and {(r["doc_id"], r["text"]) for r in left.collect()} == {(1, "some text"), (None, "é")}
+
+
 def test_entry_without_the_optional_modules(monkeypatch):
     """Deleting the package or the pipeline leaves the other queries."""
     real = importlib.import_module

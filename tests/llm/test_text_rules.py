@@ -200,6 +200,29 @@ def test_langid_learns_only_from_the_training_rows(spark, docs):
     assert got == {"nom mno": "mm", "12 ?": "und", None: "und", "ZYX xyz": "xx"}
 
 
+def test_langid_learns_every_language(spark, docs):
+    """300 languages of a few letters each, known from their own letters."""
+    pairs = [a + b for a in "abcdefghijklmnopqr" for b in "abcdefghijklmnopqr" if a != b][:300]
+    ids = iter(n for n in range(10 ** 6) if zlib.crc32(str(n).encode()) % 5)
+    model = langid.train(docs([(next(ids), f"{p} {p}{p} " * 9, f"l-{p}") for p in pairs for _ in range(1 if p == pairs[-1] else 2)]))
+    assert model.langs == sorted(f"l-{p}" for p in pairs)
+    got = [r["lang_pred"] for r in langid.predict(docs([(1, f"{pairs[-1]} " * 9, None)]), model).collect()]
+    assert got == [f"l-{pairs[-1]}"]
+
+
+def test_langid_trains_on_the_whole_text(spark, docs):
+    """Texts with a letterless or foreign head teach the language of what follows."""
+    ids = [n for n in range(300) if zlib.crc32(str(n).encode()) % 5]
+    rows = [(n, "12 ? " * 2000 + "xyz yzx zxy " * 2000, "xx") for n in ids[:60]]
+    rows += [(n, "qrs rsq " * 1100 + "mno nom omn " * 4000, "mm") for n in ids[60:120]]
+    texts = [r["text"] for r in langid.training_sample(docs(rows)) if r["lang"] == "xx"]
+    assert len(texts) == 60 and all("xyz" in t for t in texts)
+    heads = [r["text"].startswith("qrs") for r in langid.training_sample(docs(rows)) if r["lang"] == "mm"]
+    assert sum(heads) < 30
+    got = langid.predict(docs([(1, "xyz zxy", None), (2, "mno omn", None)]), langid.train(docs(rows)))
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "xx", 2: "mm"}
+
+
 def test_langid_odd_rows(spark, odd_docs):
     model = langid.train(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
     out = langid.predict(odd_docs, model)
