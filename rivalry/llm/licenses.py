@@ -1,15 +1,18 @@
 """License scan: a trained paragraph classifier confirmed against templates.
 
-A paragraph is a non-blank line.  Paragraphs that hold a cue (words without which
-no template exists) are classified by multinomial logistic regression over
-sparse 1- to 3-word n-grams into licence families or ``unknown``.  The model
+A paragraph is a non-blank line.  Paragraphs that hold a cue are cut into windows
+of ``WINDOW`` words, each starting ``STEP`` after the one before, so that every
+template lies whole in one.  Cues are derived from the templates: no window without
+one can be confirmed.  Windows are classified by multinomial logistic regression
+over sparse 1- to 3-word n-grams into licence families or ``unknown``.  The model
 learns from the templates' sentences, alone and inside paragraphs of the corpus
 (a hash sample of about ``sample_rows`` paragraphs), against those paragraphs
 themselves and cue-bearing sentences that grant no known licence.  The family
 probability needed is calibrated on held-out unknown paragraphs: it lets through
 at most ``false_rate`` of them, and is never under ``least``.  A prediction
-counts only if the template comparison confirms it: half of the paragraph's word
-pairs, or ``pairs_needed`` of them, stand in the family's templates.
+counts only if the template comparison confirms it: over half of the word pairs of one
+of the family's templates, or ``pairs_needed`` of them, stand in the window (a
+template of a single word: that word).
 
 All steps are DataFrame functions and Spark ML.  Texts are reduced to cue
 paragraphs within the row; only those are exploded.
@@ -22,14 +25,19 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, let
 
 SAMPLE_ROWS, FALSE_RATE, LEAST, PAIRS_NEEDED, VOCABULARY = 3000, 0.005, 0.5, 6, 8192
+WINDOW, STEP = 64, 32
 
 # Notices and grant sentences of public licences, by family.
 TEMPLATES = {
@@ -37,7 +45,7 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "SPDX-License-Identifier: Apache-2.0"],
+        "SPDX-License-Identifier: Apache-2.0", "Apache-2.0"],
     "mit": [
         "Released under the MIT License.", "This project is licensed under the MIT License.", "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
@@ -45,28 +53,28 @@ TEMPLATES = {
     "bsd": [
         "Released under the BSD License.", "Licensed under the 3-Clause BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause"],
+        "SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Released under the GNU General Public License, version 2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later"],
+        "SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-2.0-only"],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: LGPL-2.1-only"],
+        "SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+        "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "MPL-2.0"],
     "cc-by-nc": [
-        "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC-SA 4.0.",
+        "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC-SA 4.0.", "CC BY-NC 4.0", "CC BY-NC-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by": [
-        "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.",
+        "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "CC BY 4.0", "CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "public-domain": [
         "Released under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain.",
-        "SPDX-License-Identifier: Unlicense"],
+        "SPDX-License-Identifier: Unlicense", "CC0 1.0 Universal"],
 }
 # Cue-bearing sentences that grant none of these licences.
 UNKNOWN = [
@@ -76,17 +84,45 @@ UNKNOWN = [
     "Released under embargo until Monday.", "This product is licensed, not sold.", "He asked for permission to use the car.",
     "Copyright 2020 by the authors.", "The license plate was stolen.", "A fishing license, version 2, is sold here.",
     "The public domain is a legal concept.", "Software may not be copied without a written license from the vendor."]
-CUES = ["licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "spdx", "creative commons",
-        "unlicense", "rights reserved", "source code form"]
 FAMILIES = list(TEMPLATES)
+#: Words too common to be cues.
+COMMON = set("a and any are as by for in is it may not of or that the this to under use with you 1.0 2.0 4.0".split())
 
 
-def _has_cue(text: Column) -> Column:
-    low = F.lower(text)
-    found = F.lit(False)
-    for c in CUES:
-        found = found | F.contains(low, F.lit(c))
-    return found
+def template_units(template: str) -> list[tuple[str, ...]]:
+    """The distinct word pairs of a template but those of common words alone; of a
+    single word, the word."""
+    w = [x for x in re.split(r"[^\w.-]+|[.](?!\w)", template.lower()) if x]
+    return sorted(u for u in set(zip(w, w[1:])) if not COMMON.issuperset(u)) or [(w[0],)]
+
+
+def units_needed(n: int, pairs_needed: int = PAIRS_NEEDED) -> int:
+    """How many of a template's ``n`` units confirm it."""
+    return min(n // 2 + 1, pairs_needed)
+
+
+def derived_cues(pairs_needed: int = PAIRS_NEEDED) -> list[str]:
+    """Words such that whatever confirms a template holds one: fewer units than
+    needed are without.  The word in most units that are still open comes next."""
+    templates = [template_units(t) for f in FAMILIES for t in TEMPLATES[f]]
+    cues: list[str] = []
+    while True:
+        open_units = []
+        for units in templates:
+            left = [u for u in units if not any(c in w for w in u for c in cues)]
+            if len(left) >= units_needed(len(units), pairs_needed):
+                open_units += left
+        if not open_units:
+            return cues
+        count = Counter(w for u in open_units for w in set(u))
+        cues.append(min(count, key=lambda w: (w in COMMON, -count[w], w)))
+
+
+CUES = derived_cues()
+
+
+def _has_cue(text: Column, cues: list[str] = CUES) -> Column:
+    return let(F.lower(text), lambda low: functools.reduce(operator.or_, [F.contains(low, F.lit(c)) for c in cues]))
 
 
 def _tokens(text: Column) -> Column:
@@ -153,24 +189,44 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, false_rate: float = F
 
 
 def license_paragraphs(docs: DataFrame, model: LicenseModel, pairs_needed: int = PAIRS_NEEDED) -> DataFrame:
-    """(doc_id, line, para, family, score, confirmed): one row per cue paragraph;
-    ``family`` is ``unknown`` below the threshold."""
+    """(doc_id, row, line, w, para, family, score, confirmed): of each cue paragraph the
+    first window (``w`` 0) and those that hold enough of a template; ``family`` is
+    ``unknown`` below the threshold.  ``row``: tells rows of one doc_id apart."""
     from pyspark.ml.functions import vector_to_array
 
+    known_cues = CUES if pairs_needed >= PAIRS_NEEDED else derived_cues(pairs_needed)
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("para")))
-    cues = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(_has_cue(F.col("text")))
-            .select("doc_id", F.explode(F.filter(lines, lambda x: _has_cue(x["para"]))).alias("x")).select("doc_id", "x.*"))
-    scored = model.regression.transform(model.vectorizer.transform(_with_grams(cues)))
+    cues = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
+            .where(_has_cue(F.col("text"), known_cues))
+            .select("doc_id", "row", F.explode(F.filter(lines, lambda x: _has_cue(x["para"], known_cues))).alias("x")).select("doc_id", "row", "x.*"))
+    words = _tokens(F.col("para"))
+    cut = let(words, lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((F.size(v) - WINDOW) / STEP).cast("int"), F.lit(0))),
+                                           lambda i: F.array_join(F.slice(v, i * STEP + 1, WINDOW), " ")))
+    windows = cues.select("doc_id", "row", "line", F.posexplode(cut).alias("w", "para"))
+
+    def literal(units) -> Column:
+        return F.lit([" ".join(u) for u in units])
+
+    def enough(known: Column, template: str) -> Column:
+        units = template_units(template)
+        return F.size(F.array_intersect(known, literal(units))) >= units_needed(len(units), pairs_needed)
+
+    every = sorted({u for f in FAMILIES for t in TEMPLATES[f] for u in template_units(t)})
+    def holds(known: Column) -> Column:
+        return F.array(*[functools.reduce(operator.or_, [enough(known, t) for t in TEMPLATES[f]]) for f in FAMILIES])
+
+    units = let(F.split("para", " "), lambda v: F.concat(v, F.zip_with(v, F.slice(v, F.lit(2), F.size(v)), lambda a, b: F.concat_ws(" ", a, b))))
+    held = let(F.array_intersect(units, literal(every)), lambda known: F.when(F.size(known) > 0, holds(known)))
+    # written, so that no step computes the comparison of another one again
+    windows = windows.withColumn("held", held)
+    windows = windows.withColumn("para", F.when(F.array_contains("held", True), F.col("para")).otherwise(""))
+    windows = cut_lineage(windows, "license-windows").where((F.col("w") == 0) | F.array_contains("held", True))
+    scored = model.regression.transform(model.vectorizer.transform(_with_grams(windows)))
     scored = scored.withColumn("p", F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
     scored = scored.withColumn("score", F.array_max("p")).withColumn("best", F.array_position("p", F.col("score")).cast("int"))
-    spark = docs.sparkSession
-    pairs = _with_grams(_rows(spark, [(t, i + 1) for i, f in enumerate(FAMILIES) for t in TEMPLATES[f]]))
-    pairs = pairs.groupBy(F.col("label").cast("int").alias("best")).agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("known"))
     names = F.array(*[F.lit(f) for f in FAMILIES])
-    hit = F.size(F.array_intersect("pairs", "known"))  # a row per family: a fixed number
-    confirmed = (F.col("score") >= model.threshold) & ((2 * hit >= F.size("pairs")) & (hit > 0) | (hit >= pairs_needed))
-    return (scored.join(F.broadcast(pairs), "best", "left")
-            .select("doc_id", "line", "para", F.when(F.col("score") >= model.threshold, F.element_at(names, F.col("best"))).otherwise("unknown").alias("family"),
+    confirmed = (F.col("score") >= model.threshold) & F.element_at("held", F.col("best"))
+    return (scored.select("doc_id", "row", "line", "w", "para", F.when(F.col("score") >= model.threshold, F.element_at(names, F.col("best"))).otherwise("unknown").alias("family"),
                     "score", F.coalesce(confirmed, F.lit(False)).alias("confirmed")))
 
 
@@ -178,7 +234,8 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
     """doc_id, n_paragraphs, n_cue, n_license (confirmed), families (distinct, sorted, comma-joined), score (highest confirmed)."""
     found = license_paragraphs(docs, model).where("doc_id IS NOT NULL")
     ok = F.col("confirmed")
-    per_doc = found.groupBy("doc_id").agg(F.count("*").alias("n_cue"), F.count_if(ok).alias("n_license"),
+    per_doc = found.groupBy("doc_id").agg(F.count_if(F.col("w") == 0).alias("n_cue"),
+                                          F.count_distinct(F.when(ok, F.struct("row", "line"))).alias("n_license"),
                                           F.array_join(F.array_sort(F.collect_set(F.when(ok, F.col("family")))), ",").alias("families"),
                                           F.round(F.max(F.when(ok, F.col("score"))), 6).alias("score"))
     paragraphs = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x: x.rlike(r"\S")))

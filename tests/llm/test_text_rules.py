@@ -242,6 +242,23 @@ def test_query_op1_finds_the_notices(spark):
         assert r["n_paragraphs"] == sum(bool(x.strip(" \t\n\x0b\f\r")) for x in t.split("\n"))
 
 
+def test_licenses_every_template_and_inside_long_lines(spark, docs):
+    """Each template is found alone, and the short ones inside a line of other words."""
+    for units in (licenses.template_units(t) for f in licenses.FAMILIES for t in licenses.TEMPLATES[f]):
+        bare = [u for u in units if not any(c in w for w in u for c in licenses.CUES)]
+        assert len(bare) < licenses.units_needed(len(units))
+    train = spark.read.parquet(f"{SF_MED}/documents.parquet")
+    model = licenses.train(train)
+    noise = " ".join(train.where("length(text) > 3000").orderBy("doc_id").first()["text"].split()[:300]).split()
+    noise = " ".join(w for w in noise if not any(c in w.lower() for c in licenses.CUES))
+    alone = [(f, t) for f in licenses.FAMILIES for t in licenses.TEMPLATES[f]]
+    inside = [("mit", "Released under the MIT License."), ("bsd", "Released under the BSD License."), ("cc-by", "Licensed under CC BY 4.0."),
+              ("public-domain", "Released under CC0 1.0 Universal."), ("mit", "SPDX-License-Identifier: MIT")]
+    cases = alone + [(f, f"{noise} {t} {noise}") for f, t in inside]
+    out = {r["doc_id"]: r["families"] for r in licenses.scan(docs([(k, t, None) for k, (_, t) in enumerate(cases)]), model).collect()}
+    assert {k: out[k] for k, (f, _) in enumerate(cases) if out[k] != f} == {}
+
+
 def test_licenses_unknown_and_odd(spark, docs, odd_docs):
     model = licenses.train(spark.read.parquet(f"{SF_MED}/documents.parquet"))
     rows = [(k, t, None) for k, t in enumerate(licenses.UNKNOWN)] + [(100, "He has the license to use the word.", None)]
