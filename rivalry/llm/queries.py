@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, pii
+from . import bytepairs, langid, licenses, pii
 from .common import ship_package, table
 from .neardup import near_duplicates
 from .oracles import ORACLES  # noqa: F401
@@ -62,8 +62,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.encode_decode(table(spark, sf_dir, "documents"))
+
+
 _ALL = [op1_license_classifier, op2_quality_divergence, op3_string_kernel_langid, op4_best_fit_packing, op5_pii_boosted, op6_metric_range_join,
-        op7_preference_format, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup]
+        op7_preference_format, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup, op13_byte_bpe_prefix]
 
 
 def _shipped(fn):
