@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality import CHAR_LIMIT, CHAR_SLACK, CLASSES, COMMON_LETTERS, MIN_WORDS, N_COMMON, WORD_LIMIT, WORD_SLACK
+from .ranked_search import K, TERM
 from .vectors import MIN_COSINE
 
 _CLASS_SQL = {k: v.replace("'", "''") for k, v in CLASSES.items()}
@@ -72,4 +73,35 @@ SELECT pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
   chosen, CASE WHEN chosen = '' THEN '' ELSE '0:' || length(chosen) || ':1' END AS chosen_mask,
   rejected, CASE WHEN rejected = '' THEN '' ELSE '0:' || length(rejected) || ':1' END AS rejected_mask FROM r"""
 
-ORACLES = {"op2_quality_divergence": QUALITY, "op6_metric_range_join": VECTORS, "op7_preference_format": PREFERENCE}
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH = rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_SMALL}, '{TERM}') AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d),
+tf AS (SELECT k, doc_id, len(ts) AS n, t, count(*) AS tf FROM (SELECT k, doc_id, ts, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), s),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all({_SMALL}, '{TERM}')) AS ts FROM benchmark),
+g AS (SELECT q, item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM (SELECT q, item_id, unnest(ts) AS t FROM i) JOIN tf USING (t) JOIN w USING (t), s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank FROM g WHERE score > 0) WHERE rank <= {K}"""
+
+# CRC-32 of the decimal id, bit by bit, lowest bit first
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+  lambda x: list_transform(range(8), lambda b: (ord(x) >> b) & 1)))), lambda r, b: xor(r >> 1, 3988292384 * (xor(r, b) & 1))), 4294967295)"""
+
+TRIE = f"""WITH o AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT c, l, CAST({_CRC} % 6 AS INTEGER) AS h FROM o),
+s AS (SELECT h.c, list_concat(coalesce(b.l[1:h], []), h.l[h + 1:]) AS l FROM h LEFT JOIN o b ON b.c = h.c - h.c % 100),
+p AS (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM s),
+n AS (SELECT l[1:d] AS k, d, min(c) AS c, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len(l)), '') AS e FROM p GROUP BY 1, 2),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n - 1) * length(n.k[d].t) ELSE 0 END AS saved FROM n LEFT JOIN kids USING (k)),
+a AS (SELECT k[1:u] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT k, n_children, saved, unnest(range(d + 1)) AS u FROM v) GROUP BY 1)
+SELECT v.c AS conv_id, v.d AS depth, q.c AS parent_conv_id, v.n AS n_convs, v.n_children, a.n_leaves, a.saved_tokens, sha256(v.e) AS ends_sha256
+FROM v JOIN a ON a.k = v.k LEFT JOIN n q ON v.d > 0 AND q.k = v.k[1:v.d - 1]"""
+
+ORACLES = {"op2_quality_divergence": QUALITY, "op6_metric_range_join": VECTORS, "op7_preference_format": PREFERENCE,
+           "op11_nra_search": SEARCH, "op12_conversation_trie": TRIE}

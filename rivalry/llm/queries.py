@@ -12,8 +12,10 @@ from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
 from .preference import format_pairs, mask_text, next_reply_pairs
 from .quality import quality
+from .ranked_search import search
 from .sentencepieces import encode_decode
 from .suffixes import remove_repeats
+from .turn_trie import conversation_turns, prefix_trie, share_heads
 from .vectors import near_vectors
 
 
@@ -62,12 +64,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(share_heads(conversation_turns(table(spark, sf_dir, "conversations"))))
+
+
 def op13_byte_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.encode_decode(table(spark, sf_dir, "documents"))
 
 
 _ALL = [op1_license_classifier, op2_quality_divergence, op3_string_kernel_langid, op4_best_fit_packing, op5_pii_boosted, op6_metric_range_join,
-        op7_preference_format, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup, op13_byte_bpe_prefix]
+        op7_preference_format, op8_sentencepiece_chunks, op9_minhash_near_dedup, op10_suffix_dedup, op11_nra_search,
+        op12_conversation_trie, op13_byte_bpe_prefix]
 
 
 def _shipped(fn):
