@@ -42,14 +42,16 @@ def tokenizer_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of at most ``rows`` documents, so that a Python worker
-    holds a few MB of text at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of about ``size`` bytes at most, however long the texts are,
+    so that a Python worker holds a few MB of text at a time.  A session setting:
+    plans are run after they are built, so it stays (a smaller one is left alone)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, str(size))
 
 
-class ChunkTable:
+class ChunkTable(dict):
     """Values of distinct text chunks, computed once and kept up to ``room`` entries.
 
     ``compute(list_of_chunks) -> list_of_values`` is called once per batch with
@@ -59,19 +61,23 @@ class ChunkTable:
     """
 
     def __init__(self, compute, room: int = 400_000, longest: int = 48):
-        self.compute, self.room, self.longest, self.kept = compute, room, longest, {}
+        super().__init__()
+        self.compute, self.room, self.longest, self.passing = compute, room, longest, {}
 
-    def lookup(self, chunk_lists) -> dict:
-        distinct = set().union(*chunk_lists) if chunk_lists else set()
-        kept = self.kept
-        missing = [c for c in distinct if c not in kept]
-        here = {c: kept[c] for c in distinct if c in kept}
+    def __missing__(self, chunk):
+        return self.passing[chunk]
+
+    def prepare(self, chunk_lists) -> None:
+        """Makes ``table[chunk]`` work for every chunk of the lists until the next call."""
+        missing = list(set(itertools.filterfalse(self.__contains__, itertools.chain.from_iterable(chunk_lists))))
+        self.passing = {}
         if missing:
-            for chunk, value in zip(missing, self.compute(missing), strict=True):
-                here[chunk] = value
-                if len(kept) < self.room and len(chunk) <= self.longest:
-                    kept[chunk] = value
-        return here
+            found = dict(zip(missing, self.compute(missing), strict=True))
+            free = max(0, self.room - len(self))
+            keep = [c for c in missing if len(c) <= self.longest][:free]
+            for c in keep:
+                self[c] = found.pop(c)
+            self.passing = found
 
 
 @functools.lru_cache(maxsize=4)

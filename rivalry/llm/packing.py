@@ -3,15 +3,16 @@
 ``token_pieces`` turns documents into pieces of at most ``max_tokens`` ids;
 ``pack_pieces`` places them into sequences.  A piece goes where it makes the
 sum over all residual gaps g of N(g)^2 smallest, N(g) being the number of open
-sequences with gap g (a new sequence is one of the choices).  Pieces are dealt
-at random to shards of about ``shard_pieces`` pieces (the number of shards
-follows the data), and each shard is packed on its own, longest pieces first.
-Once the pieces still to come fit into the gaps already open, a new sequence is
-opened only when no open one has room: that closes the gaps the rule had kept.
+sequences with gap g (a new sequence is one of the choices); at equal sums an
+open sequence goes before a new one and a smaller gap before a larger one.
+Pieces are dealt to shards of about ``shard_pieces`` pieces (the number of
+shards follows the data), and each shard is packed on its own, longest pieces
+first, then by doc_id (null last) and piece.
 
 Defined results: null text counts as empty; an empty document is the end id
-alone; repeated rows are packed once each; null doc_ids are kept; an empty
-table gives no rows; other columns of ``docs`` are ignored.
+alone; a very long text is tokenized whole and cut into pieces; repeated rows are
+packed once each; null doc_ids are kept; an empty table gives no rows; other
+columns of ``docs`` are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +41,12 @@ def _split(text: str) -> list[str]:
     """Blank-separated chunks; the tokenizer drops white space, so no pre-token
     crosses them.  Latin-1 text is lower-cased first, as the tokenizer would
     (it has no combining marks, so lower-casing and NFC commute)."""
-    if text.isascii() or max(text) <= "ÿ":
-        if "<|" not in text:  # special-token strings are matched in their own case
+    if "<|" not in text:  # special-token strings are matched in their own case
+        try:
+            text.encode("latin-1")
             text = text.lower()
+        except UnicodeEncodeError:
+            pass
     return text.replace("\n", " ").split(" ")
 
 
@@ -88,7 +92,7 @@ def _word_table(path: str) -> ChunkTable:
         odd = dict(zip(odd, one_by_one(odd))) if odd else {}
         return [odd[c] if c in odd else stems[c] if c in stems else stems[c[:-1]] + marks[c[-1]] for c in chunks]
 
-    _TABLES[path] = ChunkTable(compute, longest=24)
+    _TABLES[path] = ChunkTable(compute, room=1_000_000, longest=24)
     return _TABLES[path]
 
 
@@ -110,7 +114,8 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, max_tokens: int =
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             chunks = [_split(t) if t else [] for t in batch.column("text").to_pylist()]
-            of = table.lookup(chunks).__getitem__
+            table.prepare(chunks)
+            of = table.__getitem__
             out = [[] for _ in fields]
             for doc_id, cs in zip(ids, chunks):
                 raw = b"".join(map(of, cs)) + end
@@ -128,34 +133,32 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, max_tokens: int =
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin number and offset of each length, placed in the given order."""
-    n = np.zeros(size + 1, dtype=np.int64)  # open bins by gap
+    """Bin number and offset of each length, placed in the given order; at equal
+    sums an open bin goes before a new one, a smaller gap before a larger one."""
+    n = np.zeros(size + 1, dtype=np.int64)  # open bins by gap; full bins (gap 0) are not counted
     bins: list[list[int]] = [[] for _ in range(size + 1)]
     never = np.int64(1) << 40
-    to_come, room, made = int(lengths.sum()), 0, 0
+    made = 0
     where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     for k, s in enumerate(map(int, lengths)):
         gap, have = -1, n[s:size]
         if have.any():
-            # half the change of the sum when gap g becomes g - s, less 1; gap 0 is not counted
-            change = np.where(have > 0, n[:size - s] - have, never)
+            # change of the sum: gap g becomes g - s, an exact fit leaves none, a new bin has gap size - s
+            change = np.where(have > 0, 2 * (n[:size - s] - have) + 2, never)
             if have[0] > 0:
-                change[0] = -have[0] - 1
+                change[0] = 1 - 2 * have[0]
             j = int(change.argmin())
-            if to_come <= room or change[j] + 1 <= n[size - s]:
+            if change[j] <= 2 * n[size - s] + 1:
                 gap = s + j
         if gap >= 0:
             n[gap] -= 1
             b, left = bins[gap].pop(), gap - s
-            room -= s
             offset[k] = size - gap
         else:
             b, left = made, size - s
             made += 1
-            room += left
             offset[k] = 0
         where[k] = b
-        to_come -= s
         if left > 0:
             n[left] += 1
             bins[left].append(b)
@@ -166,16 +169,19 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS, shard_pieces: i
     """Adds sequence_id and offset.  ``pieces`` is read twice (count, pack):
     pass a materialised table."""
     shards = max(1, -(-pieces.count() // shard_pieces))
-    columns = pieces.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        where, offset = sum_of_squares(pdf["length"].to_numpy(), max_tokens)
-        return pdf[columns].assign(sequence_id=(pdf["_shard"].to_numpy() << 40) + where, offset=offset)
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("_shard")[0].as_py()
+        table = table.drop_columns("_shard")
+        order = pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.take(order)
+        where, offset = sum_of_squares(table.column("length").to_numpy(), max_tokens)
+        return table.append_column("sequence_id", pa.array((shard << 40) + where)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))
-    return pieces.withColumn("_shard", shard).groupBy("_shard").applyInPandas(run, schema)
+    # rows are dealt by their place in the table: equal ids, null ids and copies spread like any others
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
+    return pieces.withColumn("_shard", shard).groupBy("_shard").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, max_tokens: int = MAX_TOKENS, end_id: int = END_ID,

@@ -86,7 +86,8 @@ def encode_decode(docs: DataFrame, model: str = MODEL, with_ids: bool = False) -
             texts = [t or "" for t in batch.column("text").to_pylist()]
             whole = [not apart or MARK in t for t in texts]
             chunks = [marked_words(t) if t and not w else [] for t, w in zip(texts, whole)]
-            of = table.lookup(chunks).__getitem__
+            table.prepare(chunks)
+            of = table.__getitem__
             out = [[] for _ in fields]
             for doc_id, t, w, cs in zip(batch.column("doc_id").to_pylist(), texts, whole, chunks):
                 if w:

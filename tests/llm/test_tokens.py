@@ -1,5 +1,6 @@
 """Packing and SentencePiece: equal to the libraries; packing is gapless, whole and tight."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as E
 from conftest import SF_SMALL, duck
 from llm_rows import docs, odd_docs  # noqa: F401
-from rivalry.llm.packing import pack_documents, sum_of_squares, token_pieces
+from rivalry.llm.packing import pack_documents, pack_pieces, sum_of_squares, token_pieces
 from rivalry.llm.sentencepieces import encode_decode
 
 ALPHABET = list("ab  \n\t.,'sTRe é▁Éß…—́İJ̌字1\x85\xa0\x1c\x00😀") + ["'re", "<|endoftext|>", "<s>", "..", "  "]
@@ -84,23 +85,39 @@ def test_query_op8(spark, sp):
         assert (rows[doc_id]["n_tokens"], rows[doc_id]["ids_sha256"], rows[doc_id]["decoded_sha256"]) == want
 
 
-def test_sum_of_squares_follows_the_rule():
-    """Every placement made before the closing phase has the smallest sum of squares."""
+@pytest.mark.parametrize("kind", ["descending", "any"])
+def test_sum_of_squares_follows_the_rule(kind):
+    """Every single placement has the smallest sum of squares."""
     rng = np.random.default_rng(1)
-    size, lengths = 40, np.sort(rng.integers(1, 41, 60))[::-1]
-    where, offset = sum_of_squares(lengths, size)
-    gaps: dict[int, int] = {}
-    for k, (s, b, o) in enumerate(zip(lengths, where, offset)):
-        def total(changed):
-            g = [v for v in changed.values() if 0 < v]
-            return sum(c * c for c in np.unique(g, return_counts=True)[1]) if g else 0
-        options = {x: total(gaps | {x: gaps[x] - s}) for x in gaps if gaps[x] >= s} | {"new": total(gaps | {"new": size - s})}
-        closing = lengths[k:].sum() <= sum(gaps.values())
-        mine = options[b] if b in gaps else options["new"]
-        if not closing:
-            assert mine == min(options.values())
-        assert o == size - gaps.get(b, size)
-        gaps[b] = gaps.get(b, size) - s
+    lists = [[90, 70, 70, 10, 1, 1, 1]] + [rng.integers(1, top + 1, rng.integers(1, 60)).tolist() for top in (100, 40, 10) for _ in range(700)]
+    for lengths in lists:
+        lengths = sorted(lengths, reverse=True) if kind == "descending" else lengths
+        where, offset = sum_of_squares(np.asarray(lengths), 100)
+        count, gaps = np.zeros(101, int), {}
+        for s, b, o in zip(lengths, where, offset):
+            def total(old, new):
+                c = count.copy()
+                if old is not None:
+                    c[old] -= 1
+                c[new] += 1
+                return int((c[1:] ** 2).sum())
+            options = [total(g, g - s) for g in set(gaps.values()) if g >= s] + [total(None, 100 - s)]
+            assert total(gaps.get(b), gaps.get(b, 100) - s) == min(options)
+            assert o == 100 - gaps.get(b, 100)
+            if b in gaps:
+                count[gaps[b]] -= 1
+            gaps[b] = gaps.get(b, 100) - s
+            count[gaps[b]] += 1
+
+
+def test_null_and_equal_ids_spread_over_shards(spark):
+    pieces = spark.createDataFrame([(None, 0, 0, 7, 1)] * 4000 + [(3, 0, 0, 9, 1)] * 2000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = pack_pieces(pieces, max_tokens=100, shard_pieces=500).collect()
+    check_layout(rows, 100)
+    sizes = collections.Counter(r["sequence_id"] >> 40 for r in rows)
+    assert len(rows) == 6000 and len(sizes) == 12 and max(sizes.values()) < 700
+    big = spark.createDataFrame([(2 ** 53 + 1, 0, 0, 7, 1), (None, 0, 0, 7, 1)], pieces.schema)
+    assert {r["doc_id"] for r in pack_pieces(big).collect()} == {2 ** 53 + 1, None}
 
 
 def test_odd_rows(spark, odd_docs):
