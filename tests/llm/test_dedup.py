@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from brute import components as brute_components
-from brute import cut_repeats, near_duplicates as brute_near, near_vectors as brute_vectors
+from brute import cut_repeats, near_duplicates as brute_near, near_vectors as brute_vectors, shingles
 from conftest import SF_MED, SF_SMALL, duck
 from llm_rows import docs, odd_docs  # noqa: F401
 from rivalry.llm.components import components
@@ -59,6 +59,26 @@ def test_near_odd_rows(spark, odd_docs):
     assert near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_near_shared_ids_and_long_words(spark, docs):
+    """Rows of one doc_id count as one document, whatever stands first; no byte of a word is left out."""
+    rng = random.Random(6)
+    t = [" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abcd"]
+    near = t[0] + " more"
+    long = ["".join(rng.choices("abcdefgh", k=4096)) for _ in range(3)]
+    swapped = [" ".join([long[i] + long[j] + long[k], "one two three"]) for i, j, k in ((0, 1, 2), (1, 0, 2), (2, 1, 0))]
+    base = [(6, near), (7, t[1]), (8, t[1] + " end"), (9, t[2]), (20, swapped[0]), (21, swapped[1]), (22, swapped[2]), (None, t[2]), (30, ""), (31, None)]
+    for own in ([(5, None), (5, t[0])], [(5, t[0]), (5, None)], [(5, t[0]), (5, t[1])], [(5, t[1]), (5, t[0]), (5, t[2]), (5, None), (5, t[0])],
+                [(50, t[3]), (5, t[3]), (5, ""), (50, t[2])]):
+        rows = own + base
+        ids = [i for i, _ in rows if i is not None]
+        sets = [(i, shingles(x, 3)) for i, x in rows]
+        links = [(i, j) for i, a in sets for j, b in sets if None not in (i, j) and a and b and 100 * len(a & b) >= 85 * len(a | b)]
+        comp = brute_components(set(ids), links)
+        got = near_duplicates(docs([(i, x, None) for i, x in rows])).collect()
+        want = sorted(((i, len(s), comp.get(i), comp.get(i, i) == i) for i, s in sets), key=repr)
+        assert sorted((tuple(r) for r in got), key=repr) == want
+
+
 def test_least_matches():
     assert least_matches(64, 85) < 0.85 * 64 and least_matches(64, 100) == 64
 
