@@ -42,13 +42,11 @@ def tokenizer_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Arrow batches of about ``size`` bytes at most, however long the texts are,
-    so that a Python worker holds a few MB of text at a time.  A session setting:
-    plans are run after they are built, so it stays (a smaller one is left alone)."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > size:
-        spark.conf.set(key, str(size))
+    so that a Python worker holds a few MB of text at a time.  A session setting,
+    read when a plan runs; each operator sets its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 class ChunkTable(dict):

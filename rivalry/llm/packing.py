@@ -101,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, max_tokens: int =
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ``ids``
     when ``with_ids``).  Documents are tokenized chunk by chunk through a
     bounded table of distinct chunks, which gives the tokenizer's own ids."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 8 << 20)  # a batch's new chunks are encoded together
     fields = [pa.field("doc_id", pa.int64()), pa.field("piece", pa.int32()), pa.field("start", pa.int64()),
               pa.field("length", pa.int64()), pa.field("ids_crc32", pa.int64())]
     if with_ids:

@@ -73,7 +73,7 @@ def marked_words(text: str) -> list[str]:
 def encode_decode(docs: DataFrame, model: str = MODEL, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also the
     ids (array<int>) and the decoded text."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 8 << 20)  # a batch's new chunks are encoded together
     fields = [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()),
               pa.field("decoded_sha256", pa.string())]
     if with_ids:
