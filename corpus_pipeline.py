@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next one's ``docs``.  All stages but the last
 return the columns of ``documents``; the last one returns packed pieces.
 
-1. ``language_id`` drops documents without a language (null text, no letters),
-   also when there is no labelled document to learn a model from.
+1. ``language_id`` writes the predicted language into ``lang`` and drops documents
+   without one (null text, no letters).  When no labelled document is there to
+   learn a model from, ``lang`` stays as it is and only the latter are dropped.
 2. ``near_dedup`` keeps one row of each near-duplicate component (five-word
    shingles, similarity of 0.8 or more): the one with the smallest doc_id, null
    last.  Rows are linked by their texts alone, so repeated rows, rows that
@@ -32,11 +33,14 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    columns = docs.columns
     model = langid.train(docs)
     if model is None:
         return docs.where(F.col("text").rlike(langid.LETTER))
-    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UND).select(*columns)
+    # all columns travel in one struct, so that none clashes with those of the prediction
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col("text").cast("string").alias("text"))
+    known = langid.predict(rows, model).where(F.col("lang_pred") != langid.UND)
+    lang = F.col("lang_pred").cast(dict(docs.dtypes)["lang"]).alias("lang")
+    return known.select(*[lang if c == "lang" else F.col(f"_all.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
