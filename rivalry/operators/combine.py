@@ -27,14 +27,15 @@ def dedup_keep_first(df: DataFrame, key: str, order: list[str], plain: DataFrame
 
     ``order`` must make rows unique.  The aggregate holds only the key's SHA-256
     and the order columns (a key repeated a million times is reduced on the map
-    side); the winners' order columns then pick their rows, so long keys are in
-    no grouping, sort or buffer.  ``plain``: the same rows with only the key and
-    order columns, when they can be read without computing the rest of ``df``.
+    side); the winners' order columns alone then pick their rows, so keys are
+    hashed once and are in no grouping, sort or buffer.  ``plain``: the same rows
+    with only the key and order columns, when they can be read without computing
+    the rest of ``df``.
     """
     digest = F.sha2(F.col(key).cast("string"), 256)
     first = (df if plain is None else plain).groupBy(digest.alias("_k")).agg(F.min(F.struct(*order)).alias("_o"))
-    first = first.select("_k", *[F.col(f"_o.{c}").alias(f"_o_{c}") for c in order])
-    match = digest.eqNullSafe(F.col("_k"))
+    first = first.select(*[F.col(f"_o.{c}").alias(f"_o_{c}") for c in order])
+    match = F.lit(True)
     for c in order:
         match = match & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     return df.join(first, match, "left_semi")

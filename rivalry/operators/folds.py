@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.operators.ordered import hex_bucket, hex_digits_for, ordered_index
-
-MAX_CLASSES = 10_000
+from rivalry.operators.combine import broadcast_if_small
+from rivalry.operators.ordered import hex_bucket, hex_digits_for, ordered_index, running_aggregates
+from rivalry.session import cut_lineage
 
 
 def _shuffle_key(id_col: str, seed: int):
@@ -26,39 +26,29 @@ def stratified_kfold(df: DataFrame, k: int, label: str = "label", id_col: str =
                      shuffle: bool = True, seed: int = 42, out: str = "fold") -> DataFrame:
     """Balanced folds per class; ``shuffle`` orders rows by ``md5(seed:id)``.
 
-    Per-class statistics are one row per class: they are collected (after an
-    explicit bound check) and inlined as literals, so the rows never shuffle
-    for this step.
+    Classes may be many: their offsets (rows of the classes that appear earlier)
+    are running totals over one row per class, dealt by ranges of the first id,
+    and the fold bounds are joined to the rows null-safely (rows without a label
+    are a class of their own).
     """
-    stats = (df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first"))
-             .limit(MAX_CLASSES + 1).collect())
-    if len(stats) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: stratification is not meaningful")
-    stats.sort(key=lambda r: (r["first"] is None, r["first"]))
-    bounds_by_class, off = {}, 0
-    for r in stats:
-        n, cum, bounds = r["n"], 0, []
-        for i in range(k):
-            cum += (off + n - 1 - i + k) // k - (off - 1 - i + k) // k
-            bounds.append(cum)
-        bounds_by_class[r[label]] = bounds
-        off += n
-    largest = max((r["n"] for r in stats), default=0)
+    stats = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first"))
+    # written, so that the numbers of the ranges stay the same
+    last = F.col("first").isNull()
+    stats = cut_lineage(stats.repartitionByRange(last, "first", label).withColumn("_range", F.spark_partition_id()), "classes")
+    largest, total = stats.agg(F.max("n"), F.sum("n")).first()
+    stats = running_aggregates(stats, [last, "first", label], [], {"until": ("n", "sum")}, bucket=F.col("_range")).withColumn("off", (F.col("until") - F.col("n")).cast("long"))
+    shares = [F.expr(f"(off + n - 1 - {i} + {k}) div {k} - (off - 1 - {i} + {k}) div {k}") for i in range(k)]
+    bounds = F.array(*[sum(shares[1:i + 1], shares[0]) for i in range(k)])
+    stats = stats.select(F.col(label).alias("_class"), bounds.alias("_bounds"))
     if shuffle:
-        digits = hex_digits_for(largest)  # ~1M rows per (class, bucket) even for a hot class
+        digits = hex_digits_for(largest or 0)  # ~1M rows per (class, bucket) even for a hot class
         d = df.withColumn("_key", _shuffle_key(id_col, seed))
         ranked = ordered_index(d, ["_key"], [label], bucket=hex_bucket("_key", digits), name="_r")
     else:
-        total = sum(r["n"] for r in stats)
-        ranked = ordered_index(df.withColumn("_key", F.col(id_col)), [id_col], [label], name="_r", n_rows=total)
-    literals = [x for c, b in bounds_by_class.items() if c is not None for x in (F.lit(c), F.array(*[F.lit(v) for v in b]))]
-    bmap = F.create_map(*literals) if literals else F.lit(None).cast(f"map<{dict(df.dtypes)[label]},array<int>>")
-    rank0 = F.col("_r") - 1
-    bounds = F.element_at(bmap, F.col(label))
-    if None in bounds_by_class:  # rows without a label are a class of their own
-        bounds = F.when(F.col(label).isNull(), F.array(*[F.lit(v) for v in bounds_by_class[None]])).otherwise(bounds)
-    fold = F.size(F.filter(bounds, lambda x: x <= rank0))
-    return ranked.withColumn(out, fold.cast("int")).drop("_r", "_key")
+        ranked = ordered_index(df.withColumn("_key", F.col(id_col)), [id_col], [label], name="_r", n_rows=total or 0)
+    ranked = ranked.join(broadcast_if_small(stats), F.col(label).eqNullSafe(F.col("_class")))
+    fold = F.size(F.filter("_bounds", lambda x: x <= F.col("_r") - 1))
+    return ranked.withColumn(out, fold.cast("int")).drop("_r", "_key", "_class", "_bounds")
 
 
 def pair_stratified_kfold(df: DataFrame, k: int = 10, a: str = "model_a", b: str = "model_b",
