@@ -35,6 +35,10 @@ RESULT_SCHEMA = T_.StructType([
         ]))])),
 ])
 
+#: The same with the text of a line that is not such a document.
+RAW_LINE = "raw_line"
+RESULT_LINE_SCHEMA = T_.StructType([*RESULT_SCHEMA.fields, T_.StructField(RAW_LINE, T_.StringType())])
+
 
 def custom_id(id_col: str = "id"):
     """``request-{id}``."""
@@ -76,11 +80,12 @@ def non_blank(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def parse_results(raw: DataFrame) -> DataFrame:
-    """Nested access into the parsed result documents."""
+    """Nested access into the parsed result documents; the raw text of
+    broken lines comes along when ``raw`` was read with ``RESULT_LINE_SCHEMA``."""
     body = F.col("response.body")
     return raw.select("custom_id", F.get(body["choices"], 0)["message"]["content"].alias("content"),
                       body["usage"]["prompt_tokens"].alias("prompt_tokens"),
-                      body["usage"]["completion_tokens"].alias("completion_tokens"))
+                      body["usage"]["completion_tokens"].alias("completion_tokens"), *[c for c in raw.columns if c == RAW_LINE])
 
 
 def extract_turns(results: DataFrame, content: str = "content") -> DataFrame:
@@ -94,15 +99,22 @@ def parity_ok():
     return (F.size("prompts") == F.size("responses_a")) & (F.size("responses_a") == F.size("responses_b"))
 
 
+def answered(df: DataFrame):
+    """Whether a row is an answer at all: it has an id and content, and was a whole document."""
+    known = F.col("custom_id").isNotNull() & F.col("content").isNotNull() if "custom_id" in df.columns else F.lit(True)
+    return known & F.col(RAW_LINE).isNull() if RAW_LINE in df.columns else known
+
+
 def with_parity_status(turns: DataFrame, out: str = "status") -> DataFrame:
-    """F5 in one pass: ``good`` when prompts and answers pair up, else ``quarantine``."""
-    return turns.withColumn(out, F.when(parity_ok(), F.lit("good")).otherwise(F.lit("quarantine")))
+    """F5 in one pass: ``good`` when prompts and answers pair up, else ``quarantine``
+    (so are lines without an id or content, and broken ones)."""
+    return turns.withColumn(out, F.when(parity_ok() & answered(turns), F.lit("good")).otherwise(F.lit("quarantine")))
 
 
 def parity_split(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined) — good rows have equally many prompts and answers.
     Both outputs read the same input: persist it first when writing both."""
-    ok = parity_ok()
+    ok = parity_ok() & answered(turns)
     return turns.filter(ok), turns.filter(~ok)
 
 

@@ -9,7 +9,7 @@ from rivalry.plans import fixtures as fx
 from rivalry.plans.oracle_fixtures import with_fixtures as W
 from rivalry.plans.registry import register
 from rivalry.session import scratch_path
-from rivalry.streaming.ingest import ingest_results, stream_pair_counts
+from rivalry.streaming.ingest import ingest_results, read_pair_counts, stream_pair_counts
 
 
 def _tags(tag):
@@ -39,4 +39,4 @@ def q_stream_pair_counts(spark, sf):
     bb = fx.battles_big(spark, sf).select("id", "model_a", "model_b", "label")
     bb.write.mode("overwrite").parquet(src)
     stream_pair_counts(spark, src, bb.schema, out, ck)
-    return spark.read.parquet(out)
+    return read_pair_counts(spark, out)
