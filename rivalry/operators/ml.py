@@ -1,49 +1,34 @@
 """Batch inference and tabular ML on vectors (ML1-ML8, S10), re-aimed at Spark ML.
 
 * ML1 scoring goes through ``predict_batch_udf``: the user's model is a
-  callable loaded once per Python worker and fed Arrow batches of a fixed size.
-* ML2 embeddings default to a JVM pipeline (tokenise → hashing TF → L2
-  normalise); a user embedder plugs in through the same batch UDF.
-* ML3-ML7 are Spark ML estimators (distributed training).
+  callable loaded once per Python worker and fed Arrow batches of a fixed size;
+  ``text_features.train_scorer`` trains one.
+* ML2 embeddings are learned from the corpus (``text_features.fit_embedder``); a
+  user embedder plugs in through the same batch UDF.
+* ML3 and ML4 are ``boosting`` and ``kernel_svm``, ML6 is ``text_features``, ML5
+  and ML7 are Spark ML estimators; ML8 scores every row by models that never saw it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivalry.functions.probs import softmax
+from rivalry.operators import boosting, kernel_svm, text_features
+from rivalry.session import cut_lineage
 
-TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
-
-def default_text_model() -> Callable[[np.ndarray], np.ndarray]:
-    """A stand-in scorer (no model weights ship with the data): three logits
-    from simple text statistics.  Real use passes a loader for a trained model."""
-    w = np.array([[0.20, -0.10, 0.05], [-0.15, 0.25, 0.00], [0.01, 0.01, 0.30]])
-
-    def predict(texts: np.ndarray) -> np.ndarray:
-        feats = np.stack([
-            np.log1p(np.fromiter((len(t) for t in texts), dtype=np.float64, count=len(texts))),
-            np.fromiter((t.count("?") for t in texts), dtype=np.float64, count=len(texts)),
-            np.fromiter((t.count("\n") for t in texts), dtype=np.float64, count=len(texts)),
-        ], axis=1)
-        return (feats @ w).astype(np.float32)
-    return predict
-
-
-def batch_score(df: DataFrame, text: str = "text", make_model: Callable | None = None,
-                batch_size: int = 8, out=("A", "B", "tie")) -> DataFrame:
+def batch_score(df: DataFrame, make_model: Callable, text: str = "text", batch_size: int = 8, out=("A", "B", "tie")) -> DataFrame:
     """ML1: logits from a batched model, then softmax probabilities."""
-    make_model = make_model or default_text_model
     udf = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
                             input_tensor_shapes=None)
     d = df.withColumn("_logits", udf(F.coalesce(F.col(text), F.lit(""))))
@@ -51,16 +36,10 @@ def batch_score(df: DataFrame, text: str = "text", make_model: Callable | None =
     return d.withColumns(dict(zip(out, softmax(*zs)))).drop("_logits")
 
 
-def batch_embed(df: DataFrame, text: str = "text", dim: int = 64, out: str = "embedding",
-                max_len: int = 512) -> DataFrame:
-    """ML2 default embedder: regex tokens truncated to ``max_len`` → hashing TF →
-    L2 normalise → array<double>.  All stages are JVM transformers."""
-    d = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)
-    d = tok.transform(d).withColumn("_tok", F.slice("_tok", 1, max_len))
-    d = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(d)
-    d = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0).transform(d)
-    return d.withColumn(out, vector_to_array("_vec")).drop("_tok", "_tf", "_vec")
+def batch_embed(df: DataFrame, text: str = "text", dim: int = 64, out: str = "embedding", embedder: text_features.Embedder | None = None) -> DataFrame:
+    """ML2: unit vectors of an embedder, learned from ``df`` itself when none is given."""
+    embedder = embedder or text_features.fit_embedder(df, text, dim)
+    return embedder.transform(df, text, out)
 
 
 def vector_frame(df: DataFrame, vec: str = "embedding", label: str | None = "label") -> DataFrame:
@@ -68,53 +47,35 @@ def vector_frame(df: DataFrame, vec: str = "embedding", label: str | None = "lab
     return d.withColumn("label", F.col(label).cast("double")) if label else d
 
 
-def gbm_classify(train: DataFrame, valid: DataFrame, max_iter: int = 50, seed: int = 42,
-                 val_fraction_mod: int = 10, tol: float = 0.01, id_col: str = "vec_id") -> DataFrame:
-    """ML3: multiclass boosted trees with early stopping.
-
-    Spark's GBT is binary, so one GBT per class is fit on ``label == c`` with
-    a validation indicator (every ``val_fraction_mod``-th row by id hash) that
-    stops boosting when the validation loss stops improving; the per-class
-    margins are combined with a softmax.  Classes are few (one fit each, each
-    fit distributed); the rows never leave the executors.
-    """
-    classes = sorted(r[0] for r in train.select("label").distinct().collect())
-    tr = train.withColumn("_is_val", F.pmod(F.xxhash64(id_col), F.lit(val_fraction_mod)) == 0)
-    out = valid
-    margins = []
-    for i, c in enumerate(classes):
-        gbt = GBTClassifier(maxIter=max_iter, maxDepth=3, stepSize=0.1, seed=seed, labelCol="_y",
-                            validationIndicatorCol="_is_val", validationTol=tol)
-        m = gbt.fit(tr.withColumn("_y", (F.col("label") == c).cast("double")))
-        out = (m.transform(out).withColumnRenamed("rawPrediction", f"_raw{i}")
-               .drop("probability", "prediction"))
-        margins.append(vector_to_array(f"_raw{i}")[1])
-    probs_ = softmax(*margins)
-    out = out.withColumns({f"p{i}": p for i, p in enumerate(probs_)})
-    pred = F.element_at(F.array(*[F.lit(float(c)) for c in classes]),
-                        (F.array_position(F.array(*probs_), F.array_max(F.array(*probs_)))).cast("int"))
-    return out.withColumn("prediction", pred).drop(*[f"_raw{i}" for i in range(len(classes))])
-
-
-def svm_classify(train: DataFrame, valid: DataFrame, reg: float = 0.04) -> DataFrame:
-    """ML4: one-vs-rest linear SVM (C ≈ 1/reg)."""
-    return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=50)).fit(train).transform(valid)
+def gbm_classify(train: DataFrame, valid: DataFrame, id_col: str = "vec_id", watch_mod: int = 10, params: boosting.Params | None = None) -> DataFrame:
+    """ML3: boosted trees on the multiclass log loss; every ``watch_mod``-th
+    training row (by a hash of its id) is watched for early stopping."""
+    watched = F.pmod(F.xxhash64(id_col), F.lit(watch_mod)) == 0
+    model = boosting.fit(train.where(~watched), train.where(watched), id_col, params=params)
+    return boosting.predict(model, valid)
+
+
+def svm_classify(train: DataFrame, valid: DataFrame, id_col: str = "vec_id", c: float = 25.0, gamma: float | str = "scale") -> DataFrame:
+    """ML4: support-vector machines with a radial kernel and probabilities."""
+    return kernel_svm.predict(kernel_svm.fit(train, id_col, c=c, gamma=gamma), valid)
+
+
+def out_of_fold(df: DataFrame, key: str, k: int, fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame]) -> DataFrame:
+    """ML8: every row of ``df`` scored by a model that never saw it.  Rows are
+    dealt to ``k`` folds by a hash of ``key``; each fold is predicted by the model
+    fitted on the others.  Rows that share a key share a fold."""
+    fold = F.pmod(F.xxhash64(key), F.lit(k))
+    parts = [predict(fit(df.where(fold != i)), df.where(fold == i)) for i in range(k)]
+    return cut_lineage(reduce(DataFrame.unionByName, parts), "out-of-fold")
 
 
 def linear_head(train: DataFrame, valid: DataFrame, reg: float = 0.01) -> DataFrame:
     """ML5: multinomial logistic regression head with class probabilities."""
-    lr = LogisticRegression(family="multinomial", regParam=reg, maxIter=100)
-    return lr.fit(train).transform(valid)
-
-
-def tfidf_features(df: DataFrame, text: str = "text", num_features: int = 1 << 18) -> DataFrame:
-    """ML6: tokens → hashing TF → IDF (one pass to fit document frequencies)."""
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="tfidf"),
-    ])
-    return pipe.fit(df).transform(df).drop("_tok", "_tf")
+    return fit_linear(train, reg).transform(valid)
+
+
+def fit_linear(train: DataFrame, reg: float = 0.01):
+    return LogisticRegression(family="multinomial", regParam=reg, maxIter=100).fit(train)
 
 
 def project_3d(df: DataFrame, vec: str = "embedding") -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from rivalry.functions import probs
 from rivalry.functions.vectors import l2_normalize, round_vec, to_double, to_float
-from rivalry.operators import context, knn, metrics, pooling
+from rivalry.operators import ann, context, knn, metrics, pooling
 from rivalry.plans import fixtures as fx
 from rivalry.plans.oracle_fixtures import with_fixtures as W
 from rivalry.plans.registry import register
 from rivalry.plans.sqlgen import dot_sql, lit, strip_sql
 from rivalry.functions import templates as T
-from rivalry.session import table
+from rivalry.session import scratch_path, table
 
 
 def _knn_sql(k: int, cols: str) -> str:
@@ -50,8 +50,9 @@ def q_similarity_threshold(spark, sf):
 
 @register("knn_approx_join")
 def q_knn_approx_join(spark, sf):
-    out = knn.knn_approx_join(fx.retrieval_queries(spark, sf), fx.retrieval_corpus(spark, sf))
-    return out.select("q_id", "id", F.round("similarity", 5).alias("similarity"))
+    index = ann.build_index(fx.retrieval_corpus(spark, sf), scratch_path(spark, "ann-index"))
+    out = ann.search(fx.retrieval_queries(spark, sf), index)
+    return out.select("q_id", "id", F.round("similarity", 5).alias("similarity"), "n_candidates")
 
 
 @register("l2_normalize", """SELECT vec_id, list_transform(e3, lambda x: round(x / greatest(sqrt(list_reduce(
