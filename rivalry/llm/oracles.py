@@ -17,12 +17,13 @@ def _js(p: str, q: str) -> str:
 
 _COUNTS = ", ".join(f"length(t) - length(regexp_replace(t, '{r}', '', 'g')) AS c_{k}" for k, r in _CLASS_SQL.items())
 _SUMS = ", ".join(f"sum(c_{k}) AS c_{k}" for k in _CLASS_SQL)
-_SHARES = [(f"d.c_{k} / greatest(d.chars, 1)", f"r.c_{k} / greatest(r.chars, 1)") for k in _CLASS_SQL]
+_SHARES = [(f"d.c_{k} / greatest(d.chars, 1)", f"(r.c_{k} - d.c_{k}) / greatest(r.chars - d.chars, 1)") for k in _CLASS_SQL]
 _REST = tuple("1 - (" + " + ".join(s[i] for s in _SHARES) + ")" for i in (0, 1))
 _CHAR_JS = "sqrt(greatest(" + " + ".join(_js(p, q) for p, q in [*_SHARES, _REST]) + ", 0))"
 
 QUALITY = rf"""WITH d0 AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
-d AS (SELECT k, doc_id, lang, t, length(t) AS chars, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+pairs AS (SELECT lang AS rl FROM d0 WHERE lang IS NOT NULL AND regexp_matches(t, '[^\x20\x09-\x0D]') GROUP BY lang HAVING count(*) > 1),
+d AS (SELECT k, doc_id, lang, (SELECT rl FROM pairs WHERE rl = lang) AS rl, t, length(t) AS chars, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, {_COUNTS} FROM d0),
 tri AS (SELECT k, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM d, range(len(w) - 2) r(i)),
 again AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM tri) WHERE n > 1),
@@ -34,21 +35,21 @@ common AS (SELECT lang, w, n FROM pooled QUALIFY row_number() OVER (PARTITION BY
 sums AS (SELECT lang, sum(chars) AS chars, sum(len(w)) AS words, {_SUMS} FROM d GROUP BY lang),
 ref AS (SELECT * FROM sums WHERE lang IS NOT NULL UNION ALL
   SELECT NULL, sum(chars), sum(words), {_SUMS} FROM sums),
-hits AS (SELECT k, c.w, count(*) AS n FROM (SELECT k, lang, unnest(w) AS w FROM d) x
-  JOIN common c ON c.w = x.w AND c.lang IS NOT DISTINCT FROM x.lang GROUP BY 1, 2),
-bins AS (SELECT d.k, coalesce(h.n, 0) / greatest(len(d.w), 1) AS p, c.n / greatest(r.words, 1) AS q
-  FROM d JOIN ref r ON r.lang IS NOT DISTINCT FROM d.lang JOIN common c ON c.lang IS NOT DISTINCT FROM d.lang
+hits AS (SELECT k, c.w, count(*) AS n FROM (SELECT k, rl, unnest(w) AS w FROM d) x
+  JOIN common c ON c.w = x.w AND c.lang IS NOT DISTINCT FROM x.rl GROUP BY 1, 2),
+bins AS (SELECT d.k, coalesce(h.n, 0) / greatest(len(d.w), 1) AS p, (c.n - coalesce(h.n, 0)) / greatest(r.words - len(d.w), 1) AS q
+  FROM d JOIN ref r ON r.lang IS NOT DISTINCT FROM d.rl JOIN common c ON c.lang IS NOT DISTINCT FROM d.rl
   LEFT JOIN hits h ON h.k = d.k AND h.w = c.w),
 word_js AS (SELECT k, sqrt(greatest(sum({_js('p', 'q')}) + any_value(0) + {_js('1 - sum(p)', '1 - sum(q)')}, 0)) AS js FROM bins GROUP BY k),
 s AS (SELECT d.doc_id, len(d.w) AS n_words, d.chars - d.c_blank AS word_chars, d.c_symbol AS n_symbols,
     len(d.lines) - len(list_distinct(d.lines)) AS n_dup_lines, coalesce(i.n, 0) AS n_repeat_words,
-    round({_CHAR_JS}, 6) AS char_js, round(coalesce(j.js, 0), 6) AS word_js
-  FROM d JOIN ref r ON r.lang IS NOT DISTINCT FROM d.lang LEFT JOIN inside i ON i.k = d.k LEFT JOIN word_js j ON j.k = d.k)
+    CASE WHEN r.words > len(d.w) THEN round({_CHAR_JS}, 6) END AS char_js, CASE WHEN r.words > len(d.w) THEN round(coalesce(j.js, 0), 6) END AS word_js
+  FROM d JOIN ref r ON r.lang IS NOT DISTINCT FROM d.rl LEFT JOIN inside i ON i.k = d.k LEFT JOIN word_js j ON j.k = d.k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (n_words < {MIN_WORDS} OR (
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(n_words < {MIN_WORDS} OR (
     char_js <= {CHAR_LIMIT} + {CHAR_SLACK} * (1 / sqrt(greatest(n_words, 1)))
-    AND word_js <= {WORD_LIMIT} + {WORD_SLACK} * (1 / sqrt(greatest(n_words, 1))))) AS kept, char_js, word_js FROM s"""
+    AND word_js <= {WORD_LIMIT} + {WORD_SLACK} * (1 / sqrt(greatest(n_words, 1)))), true) AS kept, char_js, word_js FROM s"""
 
 VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND list_aggregate(list_transform(e, lambda x: x * x), 'sum') > 0),
@@ -58,20 +59,36 @@ reach(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r
 SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, c.root AS component_id, v.vec_id = c.root AS kept
 FROM v JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) c ON c.id = v.vec_id"""
 
-_RENDER = "'<|im_start|>' || {role} || '\n' || {text} || '<|im_end|>\n'"
+# CRC-32 of the decimal id, bit by bit, lowest bit first
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+  lambda x: list_transform(range(8), lambda b: (ord(x) >> b) & 1)))), lambda r, b: xor(r >> 1, 3988292384 * (xor(r, b) & 1))), 4294967295)"""
+
+
+
+def _rendered(turns: str) -> str:
+    """A list of structs: a turn's rendered text and whether it is trained."""
+    return (f"list_transform({turns}, lambda q: struct_pack(s := '<|im_start|>' || q.role || '\n' || q.text || '<|im_end|>\n', "
+            "u := CAST(q.role = 'assistant' AS INTEGER)))")
+
+
+def _joined(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda q: q.s), '')"
+
+
+def _masked(turns: str) -> str:
+    before = f"coalesce(list_sum(list_transform({turns}[1:i], lambda q: length(q.s))), 0)"
+    return (f"array_to_string(list_transform(range(len({turns})), lambda i: {before} || ':' || length({turns}[i + 1].s) || ':' || {turns}[i + 1].u), ',')")
+
+
 PREFERENCE = f"""WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
-c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS t FROM turns GROUP BY 1),
-l AS (SELECT conv_id, t, list_max(list_transform(range(len(t)), lambda i: CASE WHEN t[i + 1].role = 'assistant' THEN i END)) AS last FROM c),
-p AS (SELECT a.conv_id AS pair_id, a.t, a.last, a.t[a.last + 1].text AS mine, coalesce(b.t[b.last + 1].text, '') AS other
-  FROM l a LEFT JOIN l b ON b.conv_id = a.conv_id + 1 AND b.last IS NOT NULL WHERE a.last IS NOT NULL),
-k AS (SELECT *, last + CASE WHEN mine = other THEN 1 ELSE 0 END AS n FROM p),
-r AS (SELECT *, CASE WHEN n = last THEN {_RENDER.format(role="'assistant'", text='mine')} ELSE '' END AS chosen,
-  CASE WHEN n = last THEN {_RENDER.format(role="'assistant'", text='other')} ELSE '' END AS rejected FROM k)
-SELECT pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
-  array_to_string(list_transform(t[1:n], lambda x: {_RENDER.format(role='x.role', text='x.text')}), '') AS prompt,
-  chosen, CASE WHEN chosen = '' THEN '' ELSE '0:' || length(chosen) || ':1' END AS chosen_mask,
-  rejected, CASE WHEN rejected = '' THEN '' ELSE '0:' || length(rejected) || ':1' END AS rejected_mask FROM r"""
+c AS (SELECT conv_id AS c, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS t FROM turns GROUP BY 1),
+h AS (SELECT c, t, CAST({_CRC} % 6 AS INTEGER) AS h FROM c),
+p AS (SELECT h.c AS pair_id, h.t AS x, list_concat(h.t[1:h], coalesce(b.t[h + 1:], [])) AS y FROM h LEFT JOIN c b ON b.c = h.c + 1),
+k AS (SELECT pair_id, x, y, coalesce(list_min(list_filter(range(least(len(x), len(y))), lambda i: x[i + 1] <> y[i + 1])), least(len(x), len(y))) AS n FROM p),
+r AS (SELECT pair_id, n, {_rendered('x[1:n]')} AS p, {_rendered('x[n + 1:]')} AS c, {_rendered('y[n + 1:]')} AS r FROM k)
+SELECT pair_id, CAST(n AS INTEGER) AS n_prompt_turns, {_joined('p')} AS prompt, {_joined('c')} AS chosen, {_masked('c')} AS chosen_mask,
+  {_joined('r')} AS rejected, {_masked('r')} AS rejected_mask FROM r"""
 
 _SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -86,10 +103,6 @@ g AS (SELECT q, item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 2
 SELECT item_id, rank, doc_id, score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank FROM g WHERE score > 0) WHERE rank <= {K}"""
 
-# CRC-32 of the decimal id, bit by bit, lowest bit first
-_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
-  lambda x: list_transform(range(8), lambda b: (ord(x) >> b) & 1)))), lambda r, b: xor(r >> 1, 3988292384 * (xor(r, b) & 1))), 4294967295)"""
-
 TRIE = f"""WITH o AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
     ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
 h AS (SELECT c, l, CAST({_CRC} % 6 AS INTEGER) AS h FROM o),

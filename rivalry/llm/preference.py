@@ -13,7 +13,7 @@ its rendered text is one value; no other grouping is made.
 
 Defined results: null role or text count as empty; a null turn sorts first; equal
 turn numbers order by role, then text; repeated rows (equal in id, turn, role and
-text) count once; a pair with one side missing has that side empty and so an
+text) count once; no turn is dropped and texts are never cut, however long; a pair with one side missing has that side empty and so an
 empty prompt; rows without a pair id are left out; an empty table gives no rows;
 other columns are ignored.
 """
@@ -68,20 +68,17 @@ def format_pairs(pairs: DataFrame, trained: str = TRAINED) -> DataFrame:
                      text(rest["r"]).alias("rejected"), mask(rest["r"]).alias("rejected_mask"))
 
 
-def next_reply_pairs(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
-    """Pairs from plain conversations: chosen is conversation ``conv_id`` up to its
-    last reply, rejected the same with that reply's text replaced by the last
-    reply of conversation ``conv_id + 1`` (empty if that one has no reply)."""
+def crossed_pairs(turns: DataFrame, heads: int = 6) -> DataFrame:
+    """Pairs from plain conversations, one for each: chosen is conversation c as it
+    is, rejected begins with its first h turns (all if fewer), h = crc32(c) % heads,
+    and goes on like conversation c + 1 after that one's first h (nothing if there
+    is no such conversation or it has no more)."""
     conv = conversations(turns).withColumn("conv_id", F.col("conv_id").cast("long"))
-    last = F.array_max(F.transform("turns", lambda x, i: F.when(x["role"] == trained, i)))
-    conv = conv.select("conv_id", "turns", last.alias("last")).where("last IS NOT NULL")
-    reply = conv.select((F.col("conv_id") - 1).alias("conv_id"), F.get(F.col("turns"), F.col("last"))["text"].alias("other"))
-    df = conv.join(reply, "conv_id", "left")
-    upto = F.slice("turns", F.lit(1), F.col("last"))
-    mine = F.get(F.col("turns"), F.col("last"))
-    swapped = F.struct(mine["turn"].alias("turn"), mine["role"].alias("role"), F.coalesce("other", F.lit("")).alias("text"))
-    return df.select(F.col("conv_id").alias("pair_id"), F.concat(upto, F.array(mine)).alias("chosen"),
-                     F.concat(upto, F.array(swapped)).alias("rejected"))
+    after = conv.select((F.col("conv_id") - 1).alias("conv_id"), F.col("turns").alias("_next"))
+    df = conv.join(after, "conv_id", "left").withColumn(
+        "_h", F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(heads)).cast("int"))
+    rest = F.when(F.col("_next").isNull(), F.slice("turns", 1, 0)).otherwise(F.slice("_next", F.col("_h") + 1, F.size("_next")))
+    return df.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.col("_h")), rest).alias("rejected"))
 
 
 def mask_text(mask: Column) -> Column:

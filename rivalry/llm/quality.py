@@ -3,24 +3,27 @@
 Each document has two histograms: characters by class (upper case, digits,
 punctuation, symbols, blanks, the rest) and words (the language's most common
 words, one bin each, and all other words).  Both are compared with its language's
-reference, the same histogram summed over all documents of that language, by
-Jensen-Shannon distance (square root of the divergence in bits: 0 equal, 1
-disjoint).  A document is rejected when a distance exceeds its limit.  Short
-texts scatter, so a limit grows by its ``slack / sqrt(words)``, and below
-``min_words`` words no verdict is given beyond the base rules.
+reference, the same histogram summed over all other documents of that language
+(the document's own counts are taken off), by Jensen-Shannon distance (square
+root of the divergence in bits: 0 equal, 1 disjoint).  A document is rejected
+when a distance exceeds its limit.  Short texts scatter, so a limit grows by its
+``slack / sqrt(words)``, and below ``min_words`` words no verdict is given beyond
+the base rules.
 
 Common words are words of at most ``common_letters`` letters; ``n_common`` are
 kept per language (by count, then alphabetically).  The references hold one
-short row per language, for every language (one without common words has a word
-histogram of one bin); documents of no language are compared with the reference
-of all documents together.
+short row per language, for every language in which at least two documents have
+a word (one without common words has a word histogram of one bin); all other
+documents are compared with the reference of all documents together.  Where no
+other document has a word there is no reference: the distances are null and the
+base rules decide.
 
 Everything is built-in functions.  Repeated three-word windows are found by
 their 64-bit hashes within one text.
 
 Defined results: null text counts as empty (0 words, base_failed); repeated
-rows repeat their result; null lang uses the common reference; an empty table
-gives no rows; other columns are ignored.
+rows repeat their result; null lang uses the common reference; texts are never
+cut, however long; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from .common import BLANK, cut_lineage, let
 BLANK_CHARS = " \t\n\x0b\f\r"
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "punct": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>]", "blank": r"[\x20\x09-\x0D]"}
 N_COMMON, COMMON_LETTERS = 24, 6
-CHAR_LIMIT, CHAR_SLACK, WORD_LIMIT, WORD_SLACK, MIN_WORDS = 0.12, 1.2, 0.10, 2.6, 50
+CHAR_LIMIT, CHAR_SLACK, WORD_LIMIT, WORD_SLACK, MIN_WORDS = 0.12, 1.2, 0.10, 2.6, 80
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -103,7 +106,9 @@ def common_words(docs: DataFrame, n_common: int = N_COMMON, common_letters: int
     both = words.where("lang IS NOT NULL").unionByName(whole)
     best = (both.withColumn("r", rank).where(F.col("r") <= n_common).groupBy("lang")
             .agg(F.sort_array(F.collect_list(F.struct("r", "w", "k"))).alias("best")).withColumnRenamed("lang", "_l"))
-    langs = docs.select(F.col("lang").cast("string")).where("lang IS NOT NULL").distinct()
+    # a language needs another document to be compared with
+    langs = (docs.where(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]") & F.col("lang").isNotNull())
+             .groupBy(F.col("lang").cast("string").alias("lang")).count().where("count > 1").select("lang"))
     langs = langs.unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("lang")))
     none = F.array().cast("array<struct<r:int,w:string,k:bigint>>")
     best = langs.join(best, F.col("lang").eqNullSafe(F.col("_l")), "left").select("lang", F.coalesce("best", none).alias("best"))
@@ -127,15 +132,14 @@ def histograms(docs: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def references(table: DataFrame, common: DataFrame) -> DataFrame:
-    """lang (null: all documents), common_share and char_share: the histograms
-    summed over all documents of a language."""
+    """lang (null: all documents), words, chars, and the counts of common words
+    and of character classes over all documents of a language."""
     columns = ["_chars", "n_words", *[f"_{k}" for k in CLASSES]]
     own = table.where("lang IS NOT NULL").groupBy("lang").agg(*[F.sum(c).alias(c) for c in columns])
     whole = table.agg(*[F.sum(c).alias(c) for c in columns]).select(F.lit(None).cast("string").alias("lang"), *columns)
     full = common.withColumnRenamed("lang", "_l").join(own.unionByName(whole), F.col("_l").eqNullSafe(F.col("lang")))
-    share = F.transform("best", lambda x: x["k"] / F.greatest(F.col("n_words"), F.lit(1)))
-    chars = F.array(*[F.col(f"_{k}") / F.greatest(F.col("_chars"), F.lit(1)) for k in CLASSES])
-    return cut_lineage(full.select("lang", share.alias("common_share"), chars.alias("char_share")), "references")
+    return cut_lineage(full.select("lang", F.col("n_words").alias("words"), F.col("_chars").alias("chars"),
+                                   F.transform("best", lambda x: x["k"]).alias("common"), F.array(*[F.col(f"_{k}") for k in CLASSES]).alias("classes")), "references")
 
 
 def _with_rest(shares: Column) -> Column:
@@ -161,15 +165,21 @@ def quality(docs: DataFrame, char_limit: float = CHAR_LIMIT, char_slack: float =
     common = common_words(docs)
     df = cut_lineage(histograms(docs, common), "histograms")
     refs = references(df, common)
-    known = refs.where("lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.struct("common_share", "char_share").alias("_own"))
-    whole = refs.where("lang IS NULL").select(F.struct("common_share", "char_share").alias("_all"))
+    whole_ref = F.struct("words", "chars", "common", "classes")
+    known = refs.where("lang IS NOT NULL").select(F.col("lang").alias("_lang"), whole_ref.alias("_own"))
+    whole = refs.where("lang IS NULL").select(whole_ref.alias("_all"))
     df = df.join(known, F.col("_ref") == F.col("_lang"), "left").join(F.broadcast(whole), F.lit(True), "left")
     df = df.withColumn("_r", F.coalesce("_own", "_all"))
-    bins = F.transform("_hits", lambda n: n / F.greatest(F.col("n_words"), F.lit(1)))
-    shares = F.array(*[F.col(f"_{k}") / F.greatest(F.col("_chars"), F.lit(1)) for k in CLASSES])
+
+    def distance(mine: Column, n: Column, all_: Column, total: Column) -> Column:
+        """Of a document's bins among its n to the bins of all others."""
+        rest = F.greatest(total - n, F.lit(1))
+        return F.when(total > n, js_distance(F.transform(mine, lambda x: x / F.greatest(n, F.lit(1))), F.zip_with(all_, mine, lambda a, x: (a - x) / rest)))
+
+    classes = F.array(*[F.col(f"_{k}") for k in CLASSES])
     df = df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                   F.round(js_distance(shares, F.col("_r.char_share")), 6).alias("char_js"),
-                   F.round(js_distance(bins, F.col("_r.common_share")), 6).alias("word_js"))
+                   F.when(F.col("_r.words") > F.col("n_words"), F.round(distance(classes, F.col("_chars"), F.col("_r.classes"), F.col("_r.chars")), 6)).alias("char_js"),
+                   F.round(distance(F.col("_hits"), F.col("n_words"), F.col("_r.common"), F.col("_r.words")), 6).alias("word_js"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scatter = F.lit(1.0) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     fits = (F.col("n_words") < min_words) | ((F.col("char_js") <= char_limit + char_slack * scatter)

@@ -10,7 +10,7 @@ from .common import ship_package, table
 from .neardup import near_duplicates
 from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
-from .preference import format_pairs, mask_text, next_reply_pairs
+from .preference import crossed_pairs, format_pairs, mask_text
 from .quality import quality
 from .ranked_search import search
 from .sentencepieces import encode_decode
@@ -47,7 +47,7 @@ def op6_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = format_pairs(next_reply_pairs(table(spark, sf_dir, "conversations")))
+    pairs = format_pairs(crossed_pairs(table(spark, sf_dir, "conversations")))
     return pairs.select("pair_id", "n_prompt_turns", "prompt", "chosen", mask_text(F.col("chosen_mask")).alias("chosen_mask"),
                         "rejected", mask_text(F.col("rejected_mask")).alias("rejected_mask"))
 

@@ -3,6 +3,7 @@
 import importlib
 import random
 import sys
+import zlib
 
 import pytest
 
@@ -12,7 +13,7 @@ from brute import cut_repeats, near_duplicates
 from conftest import SF_SMALL, duck
 from llm_rows import docs, odd_docs  # noqa: F401
 from rivalry.llm.common import cut_lineage
-from rivalry.llm.preference import conversations, format_pairs, mask_text, next_reply_pairs
+from rivalry.llm.preference import conversations, crossed_pairs, format_pairs, mask_text
 from test_text_rules import base_spans
 from test_tokens import check_layout
 
@@ -40,12 +41,11 @@ def test_query_op7(spark):
     turns = {}
     for c, _, role, text in duck(SF_SMALL).execute("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn").fetchall():
         turns.setdefault(c, []).append((role, text))
-    last = {c: max((i for i, t in enumerate(ts) if t[0] == "assistant"), default=None) for c, ts in turns.items()}
     want = {}
     for c, ts in turns.items():
-        if last[c] is not None:
-            other = turns[c + 1][last[c + 1]][1] if last.get(c + 1) is not None else ""
-            want[c] = plain_pair(ts[:last[c] + 1], [*ts[:last[c]], ("assistant", other)])
+        h = zlib.crc32(str(c).encode()) % 6
+        want[c] = plain_pair(ts, ts[:h] + turns.get(c + 1, [])[h:])
+    assert len({w[0] for w in want.values()}) > 2 and any("," in w[3] for w in want.values())  # several lengths, several turns
     rows = E.queries()["op7_preference_format"](spark, SF_SMALL).collect()
     assert {r["pair_id"]: tuple(r)[1:] for r in rows} == want and len(rows) == len(want)
 
@@ -66,8 +66,12 @@ def test_conversations_odd_rows(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "1 AS turns", "2 AS chosen")
     got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in conversations(df).collect()}
     assert got == {1: [(None, "", ""), (0, "user", "q"), (1, "assistant", "")], 3: [(0, "assistant", "z")]}
-    assert format_pairs(next_reply_pairs(df)).count() == 2
-    assert format_pairs(next_reply_pairs(df.limit(0))).count() == 0
+    pairs = crossed_pairs(df.unionByName(df.where("conv_id = 1").selectExpr("0 AS conv_id", *df.columns[1:])))
+    assert {r["pair_id"]: (len(r["chosen"]), len(r["rejected"])) for r in pairs.collect()} == {0: (3, 3), 1: (3, 3), 3: (1, 1)}
+    assert format_pairs(pairs).count() == 3
+    long = spark.createDataFrame([(7, i, "user", f"w{i}" * 50) for i in range(3000)], "conv_id long, turn int, role string, text string")
+    assert len(format_pairs(crossed_pairs(long)).first()["chosen"]) > 500_000
+    assert format_pairs(crossed_pairs(df.limit(0))).count() == 0
 
 
 def test_pipeline_equals_plain_version(spark):

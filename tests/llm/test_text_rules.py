@@ -88,6 +88,19 @@ def test_every_language_has_its_own_reference(spark, docs):
         assert len(alone) == 3 and all(tuple(r) == got[r["doc_id"]] for r in alone)
 
 
+def test_a_document_is_no_part_of_its_own_reference(spark, docs):
+    rng = random.Random(3)
+    long = [f"{a}{b}ngen" for a in "bcdfglmnprst" for b in ("ade", "one", "ute", "ish", "ela")]
+    prose = [" ".join(rng.choice([rng.choice(["the", "of", "and", "to", "in"]), rng.choice(long), rng.choice(long)]) for _ in range(300)) for _ in range(40)]
+    junk = " ".join("".join(rng.choices("#*$%&|<>0123456789", k=6)) for _ in range(300))
+    rows = [(i, t, "en") for i, t in enumerate(prose)] + [(100, junk, "xx"), (101, prose[0], "yy"), (102, junk, "zz"), (103, None, "zz"), (104, "", "yy")]
+    got = {r["doc_id"]: r for r in quality(docs(rows)).collect()}
+    # alone in its language: judged by all other documents
+    assert not got[100]["kept"] and got[100]["char_js"] > 0.5 and not got[102]["kept"] and got[101]["kept"]
+    alone = quality(docs([(1, prose[0], "en")])).first()
+    assert (alone["char_js"], alone["word_js"], alone["kept"]) == (None, None, True)
+
+
 def test_js_distance_bounds(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([([0.5, 0.2], [0.5, 0.2]), ([1.0, 0.0], [0.0, 1.0])], "p array<double>, q array<double>")
