@@ -2,25 +2,28 @@
 
 A paragraph is a non-blank line.  Paragraphs that hold a cue are cut into windows
 of ``WINDOW`` words, each starting ``STEP`` after the one before, so that every
-template lies whole in one.  Cues are derived from the templates: no window without
-one can be confirmed.  Windows are classified by multinomial logistic regression
-over sparse 1- to 3-word n-grams into licence families or ``unknown``.  The model
-learns from the templates' sentences, alone and inside paragraphs of the corpus
-(a hash sample of about ``sample_rows`` paragraphs), against those paragraphs
-themselves and cue-bearing sentences that grant no known licence.  The family
-probability needed is calibrated on held-out unknown paragraphs: it lets through
-at most ``false_rate`` of them, and is never under ``least``.  A prediction
-counts only if the template comparison confirms it: over half of the word pairs of one
-of the family's templates, or ``pairs_needed`` of them, stand in the window (a
-template of a single word: that word).
-
-All steps are DataFrame functions and Spark ML.  Texts are reduced to cue
-paragraphs within the row; only those are exploded.
-
-Defined results: null text counts as empty (no paragraphs); rows that share a
-doc_id share the findings of all of them; a null doc_id is reported with its own
-paragraph count and no findings; an empty table gives no rows; other columns
-are ignored.
+template lies whole in one.  Cues are words that licences are talked about with
+and those derived from the templates: no window without one can be confirmed.
+Every window is classified by multinomial logistic regression over sparse 1- to
+3-word n-grams into licence families or ``unknown``.  The model learns from the
+templates' sentences and freer wordings, alone and inside paragraphs of the corpus
+(a hash sample of about ``sample_rows`` paragraphs, at most ``vocabulary``
+n-grams), against those paragraphs themselves and cue-bearing sentences that grant
+no known licence.  The family probability needed is calibrated on held-out
+cue-bearing paragraphs that grant none: it lets through at most ``false_rate`` of
+them, and is never under ``least``; what stays below is ``unknown``.  The template
+comparison then confirms a prediction: over half of the word pairs of one of the
+family's templates, or ``pairs_needed`` of them, stand in the window (a template of
+a single word: that word).  Predictions that are not confirmed are reported apart.
+
+All steps are DataFrame functions and Spark ML.  Texts are reduced to the windows
+of their cue paragraphs in the one pass that reads them; rows are told apart by
+their place in that pass, not by doc_id.
+
+Defined results: null text counts as empty (no paragraphs); each row has its own
+findings, whatever its doc_id; repeated rows repeat their result; of equal
+probabilities the family listed first wins; very long lines and texts are scanned
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, let
 
-SAMPLE_ROWS, FALSE_RATE, LEAST, PAIRS_NEEDED, VOCABULARY = 3000, 0.005, 0.5, 6, 8192
+SAMPLE_ROWS, FALSE_RATE, LEAST, PAIRS_NEEDED, VOCABULARY = 3000, 0.005, 0.5, 6, 1 << 16
 WINDOW, STEP = 64, 32
 
 # Notices and grant sentences of public licences, by family.
@@ -59,6 +62,10 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Released under the GNU General Public License, version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-2.0-only"],
+    "agpl": [
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later"],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
@@ -66,6 +73,15 @@ TEMPLATES = {
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "MPL-2.0"],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted",
+        "SPDX-License-Identifier: ISC"],
+    "epl": [
+        "Licensed under the Eclipse Public License, version 2.0.", "under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0", "EPL-2.0"],
+    "bsl-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "BSL-1.0"],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC-SA 4.0.", "CC BY-NC 4.0", "CC BY-NC-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -76,6 +92,22 @@ TEMPLATES = {
         "Released under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain.",
         "SPDX-License-Identifier: Unlicense", "CC0 1.0 Universal"],
 }
+# Freer wordings, to learn from; the templates do not confirm them.
+WORDINGS = {
+    "apache-2.0": ["Available under the Apache 2 licence.", "Licensed under Apache License 2.", "Apache Licence 2", "This code is Apache 2.0 licensed."],
+    "mit": ["MIT licensed.", "This code is distributed under the MIT licence.", "License: MIT", "See the MIT license for details."],
+    "bsd": ["Distributed under a BSD-style license.", "License: BSD 2-clause", "This code is BSD licensed.", "governed by a BSD licence"],
+    "gpl": ["This program is distributed under GPLv3.", "License: GPL v3", "Licensed under the GPL version 2.", "This module is GPL licensed.", "GPLv2 or later"],
+    "agpl": ["This server is distributed under AGPLv3.", "License: AGPL v3", "Licensed under the GNU AGPL version 3.", "covered by the Affero GPL"],
+    "lgpl": ["This library is distributed under LGPLv3.", "License: LGPL v2.1", "Licensed under the GNU LGPL."],
+    "mpl-2.0": ["License: MPL 2.0", "Covered by the Mozilla Public Licence 2.0.", "This file is MPL licensed."],
+    "isc": ["License: ISC", "ISC licensed.", "Distributed under the ISC licence."],
+    "epl": ["License: EPL 2.0", "Available under the Eclipse Public Licence.", "EPL licensed."],
+    "bsl-1.0": ["License: Boost 1.0", "Use is subject to the Boost Software Licence.", "Boost licensed."],
+    "cc-by-nc": ["Creative Commons, non-commercial use only.", "Content is CC-BY-NC.", "shared under a Creative Commons NonCommercial licence"],
+    "cc-by": ["Content is CC-BY.", "shared under a Creative Commons Attribution licence", "Creative Commons BY-SA"],
+    "public-domain": ["Dedicated to the public domain under CC0.", "The author waives all rights: CC0.", "Placed in the public domain."],
+}
 # Cue-bearing sentences that grant none of these licences.
 UNKNOWN = [
     "A driving licence is required.", "The licence fee was raised last year.", "Copyright law protects authors for many years.",
@@ -85,6 +117,8 @@ UNKNOWN = [
     "Copyright 2020 by the authors.", "The license plate was stolen.", "A fishing license, version 2, is sold here.",
     "The public domain is a legal concept.", "Software may not be copied without a written license from the vendor."]
 FAMILIES = list(TEMPLATES)
+# Words that licences are talked about with.
+TALK = ["licen", "gpl", "cc0", "public domain", "creative commons"]
 #: Words too common to be cues.
 COMMON = set("a and any are as by for in is it may not of or that the this to under use with you 1.0 2.0 4.0".split())
 
@@ -102,10 +136,10 @@ def units_needed(n: int, pairs_needed: int = PAIRS_NEEDED) -> int:
 
 
 def derived_cues(pairs_needed: int = PAIRS_NEEDED) -> list[str]:
-    """Words such that whatever confirms a template holds one: fewer units than
-    needed are without.  The word in most units that are still open comes next."""
+    """``TALK`` and words such that whatever confirms a template holds one: fewer units
+    than needed are without.  The word in most units that are still open comes next."""
     templates = [template_units(t) for f in FAMILIES for t in TEMPLATES[f]]
-    cues: list[str] = []
+    cues = list(TALK)
     while True:
         open_units = []
         for units in templates:
@@ -150,15 +184,17 @@ def _rows(spark: SparkSession, items: list[tuple[str, int]]) -> DataFrame:
 def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(para, label, part): label 0 is unknown, family i + 1; part 0 trains, 1 calibrates."""
     spark = docs.sparkSession
-    constant = _rows(spark, [(t, 0) for t in UNKNOWN] + [(t, i + 1) for i, f in enumerate(FAMILIES) for t in TEMPLATES[f]])
-    n = len(UNKNOWN) + sum(map(len, TEMPLATES.values()))
+    known = [(t, i + 1) for i, f in enumerate(FAMILIES) for t in TEMPLATES[f] + WORDINGS[f]]
+    constant = _rows(spark, [(t, 0) for t in UNKNOWN] + known)
+    n = len(UNKNOWN) + len(known)
     one_in = max(1, -(-docs.count() // sample_rows))
     text = F.col("text").cast("string")
     lines = (docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
              .select(F.explode(F.split("text", "\n")).alias("para")).where(F.col("para").rlike(r"\S") & ~_has_cue(F.col("para"))))
-    # about eight lines a document: one in eight keeps the sample near its size; 40 words of noise are enough
-    lines = lines.where(F.pmod(F.xxhash64("para", F.lit(1)), F.lit(8)) == 0)
-    noise = lines.select(F.array_join(F.slice(F.split("para", " "), 1, 40), " ").alias("noise"))
+    # about eight lines a document: one in eight keeps the sample near its size; of a long line any 40 words stand for it
+    lines = lines.where(F.pmod(F.xxhash64("para", F.lit(1)), F.lit(8)) == 0).withColumn("v", F.split("para", " "))
+    start = F.pmod(F.xxhash64("para", F.lit(3)), F.greatest(F.size("v") - 39, F.lit(1))).cast("int") + 1
+    noise = lines.select(F.array_join(F.slice("v", start, F.lit(40)), " ").alias("noise"))
     noise = noise.withColumn("k", F.pmod(F.xxhash64("noise"), F.lit(n)).cast("int")).withColumn("part", F.pmod(F.xxhash64("noise", F.lit(2)), F.lit(2)))
     mixed = noise.join(constant, "k").select(F.concat_ws(" ", "noise", "para").alias("para"), "label", "part")
     plain = noise.select(F.col("noise").alias("para"), F.lit(0.0).alias("label"), "part")
@@ -173,36 +209,45 @@ class LicenseModel:
     threshold: float
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, false_rate: float = FALSE_RATE, least: float = LEAST) -> LicenseModel:
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, false_rate: float = FALSE_RATE, least: float = LEAST,
+          vocabulary: int = VOCABULARY) -> LicenseModel:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     rows = cut_lineage(_with_grams(training_rows(docs, sample_rows)).coalesce(4), "license-rows")
     fit = rows.where("part = 0")
-    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, binary=True).fit(fit)
+    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, binary=True).fit(fit)
     regression = LogisticRegression(maxIter=40, regParam=0.003, family="multinomial").fit(vectorizer.transform(fit))
-    held = regression.transform(vectorizer.transform(rows.where("part = 1 AND label = 0"))).select(
+    held = regression.transform(vectorizer.transform(rows.where((F.col("part") == 1) & (F.col("label") == 0) & _has_cue(F.col("para"))))).select(
         F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES))).alias("p"))
     quantile = held.agg(F.percentile_approx("p", 1 - false_rate, 10_000).alias("q")).first()["q"]
     return LicenseModel(vectorizer, regression, max(least, quantile or 0.0))
 
 
-def license_paragraphs(docs: DataFrame, model: LicenseModel, pairs_needed: int = PAIRS_NEEDED) -> DataFrame:
-    """(doc_id, row, line, w, para, family, score, confirmed): of each cue paragraph the
-    first window (``w`` 0) and those that hold enough of a template; ``family`` is
-    ``unknown`` below the threshold.  ``row``: tells rows of one doc_id apart."""
+def cue_windows(docs: DataFrame, pairs_needed: int = PAIRS_NEEDED) -> DataFrame:
+    """row, doc_id, n_paragraphs, n_cue (cue paragraphs) and windows: array of (line, w, para)."""
+    known_cues = CUES if pairs_needed >= PAIRS_NEEDED else derived_cues(pairs_needed)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("para"))), lambda x: _has_cue(x["para"], known_cues))
+
+    def cut(x: Column) -> Column:
+        return let(_tokens(x["para"]), lambda v: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.ceil((F.size(v) - WINDOW) / STEP).cast("int"), F.lit(0))),
+            lambda i: F.struct(x["line"].alias("line"), i.alias("w"), F.array_join(F.slice(v, i * STEP + 1, WINDOW), " ").alias("para"))))
+
+    found = F.when(_has_cue(F.col("text"), known_cues), lines).otherwise(F.array().cast("array<struct<line:int,para:string>>"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text.alias("text"))
+    paragraphs = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))).cast("long")
+    return cut_lineage(rows.select("row", "doc_id", paragraphs.alias("n_paragraphs"), F.flatten(F.transform(found, cut)).alias("windows")), "license-windows")
+
+
+def license_paragraphs(windows: DataFrame, model: LicenseModel, pairs_needed: int = PAIRS_NEEDED) -> DataFrame:
+    """(row, line, w, para, family, score, confirmed) of every window of ``cue_windows``;
+    ``family`` is ``unknown`` below the threshold."""
     from pyspark.ml.functions import vector_to_array
 
-    known_cues = CUES if pairs_needed >= PAIRS_NEEDED else derived_cues(pairs_needed)
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("para")))
-    cues = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
-            .where(_has_cue(F.col("text"), known_cues))
-            .select("doc_id", "row", F.explode(F.filter(lines, lambda x: _has_cue(x["para"], known_cues))).alias("x")).select("doc_id", "row", "x.*"))
-    words = _tokens(F.col("para"))
-    cut = let(words, lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((F.size(v) - WINDOW) / STEP).cast("int"), F.lit(0))),
-                                           lambda i: F.array_join(F.slice(v, i * STEP + 1, WINDOW), " ")))
-    windows = cues.select("doc_id", "row", "line", F.posexplode(cut).alias("w", "para"))
+    windows = windows.select("row", F.explode("windows").alias("x")).select("row", "x.*")
 
     def literal(units) -> Column:
         return F.lit([" ".join(u) for u in units])
@@ -212,34 +257,42 @@ def license_paragraphs(docs: DataFrame, model: LicenseModel, pairs_needed: int =
         return F.size(F.array_intersect(known, literal(units))) >= units_needed(len(units), pairs_needed)
 
     every = sorted({u for f in FAMILIES for t in TEMPLATES[f] for u in template_units(t)})
+
     def holds(known: Column) -> Column:
         return F.array(*[functools.reduce(operator.or_, [enough(known, t) for t in TEMPLATES[f]]) for f in FAMILIES])
 
     units = let(F.split("para", " "), lambda v: F.concat(v, F.zip_with(v, F.slice(v, F.lit(2), F.size(v)), lambda a, b: F.concat_ws(" ", a, b))))
     held = let(F.array_intersect(units, literal(every)), lambda known: F.when(F.size(known) > 0, holds(known)))
     # written, so that no step computes the comparison of another one again
-    windows = windows.withColumn("held", held)
-    windows = windows.withColumn("para", F.when(F.array_contains("held", True), F.col("para")).otherwise(""))
-    windows = cut_lineage(windows, "license-windows").where((F.col("w") == 0) | F.array_contains("held", True))
+    windows = cut_lineage(windows.withColumn("held", held), "license-held")
     scored = model.regression.transform(model.vectorizer.transform(_with_grams(windows)))
     scored = scored.withColumn("p", F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
     scored = scored.withColumn("score", F.array_max("p")).withColumn("best", F.array_position("p", F.col("score")).cast("int"))
     names = F.array(*[F.lit(f) for f in FAMILIES])
-    confirmed = (F.col("score") >= model.threshold) & F.element_at("held", F.col("best"))
-    return (scored.select("doc_id", "row", "line", "w", "para", F.when(F.col("score") >= model.threshold, F.element_at(names, F.col("best"))).otherwise("unknown").alias("family"),
-                    "score", F.coalesce(confirmed, F.lit(False)).alias("confirmed")))
+    sure = F.col("score") >= model.threshold
+    return scored.select("row", "line", "w", "para", F.when(sure, F.element_at(names, F.col("best"))).otherwise("unknown").alias("family"),
+                         "score", F.coalesce(sure & F.element_at("held", F.col("best")), F.lit(False)).alias("confirmed"))
 
 
 def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
-    """doc_id, n_paragraphs, n_cue, n_license (confirmed), families (distinct, sorted, comma-joined), score (highest confirmed)."""
-    found = license_paragraphs(docs, model).where("doc_id IS NOT NULL")
-    ok = F.col("confirmed")
-    per_doc = found.groupBy("doc_id").agg(F.count_if(F.col("w") == 0).alias("n_cue"),
-                                          F.count_distinct(F.when(ok, F.struct("row", "line"))).alias("n_license"),
-                                          F.array_join(F.array_sort(F.collect_set(F.when(ok, F.col("family")))), ",").alias("families"),
-                                          F.round(F.max(F.when(ok, F.col("score"))), 6).alias("score"))
-    paragraphs = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x: x.rlike(r"\S")))
-    base = docs.select(F.col("doc_id").cast("long"), paragraphs.cast("long").alias("n_paragraphs"))
-    return base.join(per_doc, "doc_id", "left").select(
-        "doc_id", "n_paragraphs", F.coalesce("n_cue", F.lit(0)).alias("n_cue"), F.coalesce("n_license", F.lit(0)).alias("n_license"),
-        F.coalesce("families", F.lit("")).alias("families"), "score")
+    """doc_id, n_paragraphs, n_cue, n_license (confirmed paragraphs), families
+    (confirmed, distinct, sorted, comma-joined), score (highest confirmed), n_likely
+    (other paragraphs with a family), likely (their families)."""
+    windows = cue_windows(docs)
+    # a paragraph counts once: as confirmed if one of its windows is
+    per_line = license_paragraphs(windows, model).groupBy("row", "line").agg(
+        F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("sure"), F.max(F.when(F.col("confirmed"), F.col("score"))).alias("score"),
+        F.collect_set(F.when(F.col("family") != "unknown", F.col("family"))).alias("any"))
+    other = F.when(F.size("sure") == 0, F.col("any")).otherwise(F.array().cast("array<string>"))
+
+    def joined(sets: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.flatten(sets))), ",")
+
+    per_row = per_line.withColumn("other", other).groupBy("row").agg(
+        F.count("*").alias("n_cue"), F.count_if(F.size("sure") > 0).alias("n_license"), joined(F.collect_list("sure")).alias("families"),
+        F.round(F.max("score"), 6).alias("score"), F.count_if(F.size("other") > 0).alias("n_likely"), joined(F.collect_list("other")).alias("likely"))
+    base = windows.select("row", "doc_id", "n_paragraphs")
+    none, blank = F.lit(0).cast("long"), F.lit("")
+    return base.join(per_row, "row", "left").select(
+        "doc_id", "n_paragraphs", F.coalesce("n_cue", none).alias("n_cue"), F.coalesce("n_license", none).alias("n_license"),
+        F.coalesce("families", blank).alias("families"), "score", F.coalesce("n_likely", none).alias("n_likely"), F.coalesce("likely", blank).alias("likely"))

@@ -272,6 +272,35 @@ def test_licenses_every_template_and_inside_long_lines(spark, docs):
     assert {k: out[k] for k, (f, _) in enumerate(cases) if out[k] != f} == {}
 
 
+def test_licenses_of_other_wordings(spark, docs):
+    """Wordings no template confirms: the classifier names the family or says unknown; clean sentences stay unknown."""
+    train = spark.read.parquet(f"{SF_MED}/documents.parquet")
+    model = licenses.train(train)
+    noise = [x["text"].split("\n")[0][:200] for x in train.where("length(text) > 400").orderBy("doc_id").limit(12).collect()]
+    planted = [("gpl", "This tool is distributed under GPLv3."), ("gpl", "License: GPL v3"), ("agpl", "The server is licensed under the GNU AGPL, version 3."),
+               ("apache-2.0", "Available under Apache Licence 2."), ("bsd", "Use of this file is governed by a BSD-style license."), ("isc", "The parser is ISC licensed."),
+               ("mit", "The code is MIT licensed, see below."), ("epl", "It comes under the Eclipse Public Licence."), ("lgpl", "This library is distributed under LGPLv3 terms."),
+               ("mpl-2.0", "This file is covered by the Mozilla Public Licence."), ("cc-by-nc", "Pictures: Creative Commons, non-commercial."), ("bsl-1.0", "Subject to the Boost Software Licence.")]
+    clean = ["His driving licence was checked twice.", "The licence fee is due in May.", "They bought a fishing license by the lake.", "License plates are made here.",
+             "The club lost its licence to sell drinks.", "A licensed doctor came.", "Copyright is a branch of law.", "The public domain was debated for hours."]
+    rows = [(k, f"{noise[k % 12]}\n{t}\n{noise[(k + 1) % 12]}", None) for k, (_, t) in enumerate(planted)]
+    rows += [(100 + k, f"{noise[k % 12]}\n{t}", None) for k, t in enumerate(clean)]
+    out = {r["doc_id"]: r for r in licenses.scan(docs(rows), model).collect()}
+    right = sum(f in (out[k]["likely"] + "," + out[k]["families"]).split(",") for k, (f, _) in enumerate(planted))
+    wrong = sum(bool(out[k]["likely"]) and planted[k][0] not in out[k]["likely"].split(",") for k in range(len(planted)))
+    assert right >= 10 and wrong <= 1
+    assert sum(r["n_license"] + r["n_likely"] for k, r in out.items() if k >= 100) <= 1
+    assert all(r["n_cue"] >= 1 for r in out.values())
+
+
+def test_licenses_belong_to_rows(spark, docs):
+    model = licenses.train(spark.read.parquet(f"{SF_MED}/documents.parquet"))
+    mit, gpl = "Released under the MIT License.", "Released under the GNU General Public License, version 2 or later."
+    rows = [(None, mit, None), (None, "a\nb", None), (4, gpl, None), (4, "plain", None), (4, gpl, None), (5, f"{mit}\n{'word ' * 3000}{gpl}\n{mit}", None)]
+    got = sorted(((r["doc_id"], r["n_paragraphs"], r["n_license"], r["families"]) for r in licenses.scan(docs(rows), model).collect()), key=repr)
+    assert got == sorted([(None, 1, 1, "mit"), (None, 2, 0, ""), (4, 1, 1, "gpl"), (4, 1, 0, ""), (4, 1, 1, "gpl"), (5, 3, 3, "gpl,mit")], key=repr)
+
+
 def test_licenses_unknown_and_odd(spark, docs, odd_docs):
     model = licenses.train(spark.read.parquet(f"{SF_MED}/documents.parquet"))
     rows = [(k, t, None) for k, t in enumerate(licenses.UNKNOWN)] + [(100, "He has the license to use the word.", None)]
