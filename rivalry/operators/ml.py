@@ -5,8 +5,8 @@
   ``text_features.train_scorer`` trains one.
 * ML2 embeddings are learned from the corpus (``text_features.fit_embedder``); a
   user embedder plugs in through the same batch UDF.
-* ML3 and ML4 are ``boosting`` and ``kernel_svm``, ML6 is ``text_features``, ML5
-  and ML7 are Spark ML estimators; ML8 scores every row by models that never saw it.
+* ML3 and ML4 are ``boosting`` and ``kernel_svm``, ML6 is ``text_features``, ML7
+  ``projection``, ML5 a Spark ML estimator; ML8 scores every row by models that never saw it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivalry.functions.probs import softmax
-from rivalry.operators import boosting, kernel_svm, text_features
+from rivalry.operators import boosting, kernel_svm, projection, text_features
 from rivalry.session import cut_lineage
 
 
@@ -78,11 +78,15 @@ def fit_linear(train: DataFrame, reg: float = 0.01):
     return LogisticRegression(family="multinomial", regParam=reg, maxIter=100).fit(train)
 
 
-def project_3d(df: DataFrame, vec: str = "embedding") -> DataFrame:
-    """ML7: 3-D projection (PCA) for inspection."""
+def project_3d(df: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """ML7: 3-D projection that keeps neighbours together, for inspection."""
+    return projection.transform(projection.fit(df, key, vec), df, vec)
+
+
+def project_linear(df: DataFrame, vec: str = "embedding", k: int = 3) -> DataFrame:
+    """Principal components (``pc``), the linear projection."""
     d = df.withColumn("_f", array_to_vector(vec))
-    return PCA(k=3, inputCol="_f", outputCol="_pc").fit(d).transform(d).withColumn(
-        "pc", vector_to_array("_pc")).drop("_f", "_pc")
+    return PCA(k=k, inputCol="_f", outputCol="_pc").fit(d).transform(d).withColumn("pc", vector_to_array("_pc")).drop("_f", "_pc")
 
 
 def fit_and_store(train: DataFrame, path: str) -> PipelineModel:

@@ -181,6 +181,27 @@ def q_temperature_search(spark, sf):
     return t.select("bin", "temperature", _r("loss"), "n")
 
 
+def _newton_sql(steps: int = 9) -> str:
+    """CTEs t0 .. t<steps>: per bin 1 / T after so many Newton steps on the log loss, kept within the limits."""
+    p = softmax_sql([f"b * {z}" for z in Z])
+    mean = " + ".join(f"({x}) * {z}" for x, z in zip(p, Z))
+    square = " + ".join(f"({x}) * {z} * {z}" for x, z in zip(p, Z))
+    ctes = ["t0 AS (SELECT DISTINCT bin, CAST(1 AS DOUBLE) AS b FROM bz)"]
+    for k in range(steps):
+        ctes.append(f"""s{k} AS (SELECT bin, any_value(b) AS b, avg(m - CASE label WHEN 0 THEN z0 WHEN 1 THEN z1 ELSE z2 END) AS g, avg(q - m * m) AS h
+  FROM (SELECT bz.bin, b, label, z0, z1, z2, {mean} AS m, {square} AS q FROM bz JOIN t{k} ON t{k}.bin = bz.bin) GROUP BY bin),
+t{k + 1} AS (SELECT bin, least(greatest(b - g / h, 1 / 1.5), 1 / 0.5) AS b FROM s{k})""")
+    return ", ".join(ctes)
+
+
+@register("temperature_fit", W(f"""WITH {_binned_cte(50)}, {_newton_sql()}
+SELECT bz.bin, round(any_value(1 / b), 5) AS temperature, round(avg({log_loss_sql('label', softmax_sql(Z, '(1 / b)'))}), 6) AS loss, count(*) AS n
+FROM bz JOIN t9 ON t9.bin = bz.bin GROUP BY bz.bin""", "bb"))
+def q_temperature_fit(spark, sf):
+    d, _ = _qcut(spark, sf, 50)
+    return calibrate.temperature_fit(d, "bin").select("bin", F.round("temperature", 5).alias("temperature"), _r("loss"), "n")
+
+
 @register("binned_softmax_loss", W(f"""WITH {_binned_cte(50)}, {_TEMP_CTE}
 SELECT bz.bin, round((any_value(edges[bz.bin + 1]) + any_value(edges[bz.bin + 2])) / 2, 6) AS mid,
   any_value(tb.temperature) AS temperature,

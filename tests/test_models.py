@@ -257,3 +257,30 @@ def test_trained_scorer(spark):
     out = ml.out_of_fold(d, "id", 2, text_features.train_scorer, lambda m, part: ml.batch_score(part, m)).collect()
     assert len(out) == 300 and all(abs(r["A"] + r["B"] + r["tie"] - 1) < 1e-6 for r in out)
     assert np.mean([max(range(3), key=lambda c: (r["A"], r["B"], r["tie"])[c]) == r["label"] for r in out]) > 0.9
+
+
+# ---------------------------------------------------------------- projection
+
+def test_projection_keeps_neighbours_on_a_curve(spark):
+    """A long curve that winds through eight dimensions: neighbours along it stay neighbours in three."""
+    t = np.linspace(0, 1, 700)
+    x = np.stack([f(2 * np.pi * k * t) for k in (4, 6, 9, 11) for f in (np.sin, np.cos)], axis=1)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [None] * 8)], "vec_id long, embedding array<double>")
+
+    def kept(df):
+        pc = {r["vec_id"]: r["pc"] for r in df.collect()}
+        y = np.array([pc[i] for i in range(700)])
+        assert y.shape == (700, 3)
+        share = []
+        for i in range(700):
+            near = np.argsort(np.abs(np.arange(700) - i), kind="stable")[1:9]
+            found = np.argsort(((y - y[i]) ** 2).sum(axis=1), kind="stable")[1:9]
+            share.append(len(set(near) & set(found)) / 8)
+        return np.mean(share), pc
+
+    curved, pc = kept(ml.project_3d(d))
+    linear, _ = kept(ml.project_linear(d.where("vec_id < 9000")))
+    assert curved > 0.95 and curved > linear + 0.2
+    assert pc[9000] is None and pc[9001] is None
+    few = ml.project_3d(d.where("vec_id < 2")).collect()
+    assert all(len(r["pc"]) == 3 for r in few)
