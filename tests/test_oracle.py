@@ -48,13 +48,12 @@ STATED = {
     "batch_score": (ONE.format("A + B + tie"), TEXT),
     "batch_embed": ("dim = 64 AND (abs(norm_sq - 1) < 1e-5 OR norm_sq = 0)", "(SELECT count(*) FROM documents)"),
     "gbm_classify": (ONE.format("p0 + p1 + p2") + " AND prediction IN (0, 1, 2)", VALID),
-    "svm_classify": ("prediction IN (0, 1, 2)", VALID),
+    "svm_classify": (ONE.format("p0 + p1 + p2") + " AND prediction IN (0, 1, 2)", VALID),
     "linear_head": (ONE.format("aggregate(probability, 0D, (a, x) -> a + x)") + " AND prediction IN (0, 1, 2)", VALID),
-    "tfidf_features": ("nnz > 0", "(SELECT count(*) FROM documents)"),
     "project_3d": ("size(pc) = 3", "(SELECT count(*) FROM embeddings)"),
-    "predictions_as_features": ("A_log IS NULL OR " + ONE.format("A_log + B_log + tie_log"), BIG),
+    "predictions_as_features": (ONE.format("A_log + B_log + tie_log"), BIG),
     "model_store": ("prediction IN (0, 1, 2)", VALID),
-    "knn_approx_join": ("similarity <= 1.000001", VALID),
+    "knn_approx_join": ("similarity <= 1.000001 AND n_candidates > 0", VALID),
     "retrieval_augmentation": ("n_missing = 0 AND text LIKE '<|begin_of_text|>%'", TEXT),
 }
 
