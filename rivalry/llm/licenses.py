@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, let
 
-SAMPLE_ROWS, FALSE_RATE, LEAST, PAIRS_NEEDED, VOCABULARY = 3000, 0.005, 0.5, 6, 1 << 16
+SAMPLE_ROWS, FALSE_RATE, LEAST, PAIRS_NEEDED, VOCABULARY = 3000, 0.005, 0.5, 6, 1 << 14
 WINDOW, STEP = 64, 32
 
 # Notices and grant sentences of public licences, by family.
