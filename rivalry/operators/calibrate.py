@@ -101,11 +101,12 @@ def _slopes(rows: DataFrame, bin_col: str, label: str, zs) -> DataFrame:
     return d.groupBy(bin_col).agg(F.avg(F.col("_mean") - probs.pick(label, *zs)).alias("g"), F.avg(F.col("_square") - F.col("_mean") * F.col("_mean")).alias("h"))
 
 
-def _fitted(rows: DataFrame, bin_col: str, label: str, zs, lo: float, hi: float, steps: int) -> dict:
+def _fitted(rows: DataFrame, bin_col: str, label: str, zs, lo: float, hi: float, steps: int, tol: float = 1e-10) -> dict:
     """bin → 1 / T between 1 / hi and 1 / lo with the smallest loss.
 
     Newton steps kept inside a bracket of the derivative's sign change; a step
-    that leaves it is replaced by a bisection."""
+    that leaves it is replaced by a bisection.  A bin is done after a step shorter
+    than ``tol`` (Newton's next error is about its square)."""
     least, most = 1 / hi, 1 / lo
     state: dict = {}  # bin → 1 / T, largest value with a falling and smallest with a rising loss (None: not met), done
     for _ in range(steps):
@@ -121,7 +122,7 @@ def _fitted(rows: DataFrame, bin_col: str, label: str, zs, lo: float, hi: float,
             new = b - g / h if h > 0 else (a + z) / 2
             if not a <= new <= z:  # to a limit that has not been tried, else to the middle
                 new = most if g < 0 and right is None else least if g > 0 and left is None else (a + z) / 2
-            state[k] = (new, left, right, abs(new - b) < 1e-10)
+            state[k] = (new, left, right, abs(new - b) < tol)
         if all(s[3] for s in state.values()):
             break
     return {k: s[0] for k, s in state.items()}
@@ -148,7 +149,7 @@ def temperature_search(df: DataFrame, bin_col: str, label: str = "label", zs=("z
     which a bin with a constant loss goes (ties → smaller T)."""
     grid = sorted(grid or temperature_grid())
     rows = cut_lineage(_spread(df.select(bin_col, label, *zs)), "temperature-rows")
-    best = _fitted(rows, bin_col, label, zs, grid[0], grid[-1], 40)
+    best = _fitted(rows, bin_col, label, zs, grid[0], grid[-1], 40, 1e-4)
     near = []
     for k, b in best.items():
         i = min(max(bisect.bisect_left(grid, 1 / b), 1), len(grid) - 1)
