@@ -85,6 +85,8 @@ def test_pipeline_equals_plain_version(spark):
     first = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     lang, near, cut, clean, packed = out
     assert {i: r["text"] for i, r in lang.items()} == {i: t for i, t in first.items() if t and any(c.isalpha() for c in t)}
+    predicted = {r["doc_id"]: r["lang_pred"] for r in E.queries()["op3_string_kernel_langid"](spark, SF_SMALL).collect()}
+    assert all(r["lang"] == predicted[i] for i, r in lang.items())
     comp = near_duplicates({i: r["text"] for i, r in lang.items()}, 5, 80)
     assert set(near) == {i for i in lang if comp[i][1] == i} and all(near[i] == lang[i] for i in near)
     left = {x[0]: x[5].decode("utf-8", "ignore") for x in cut_repeats([(i, r["text"]) for i, r in near.items()])}
