@@ -14,8 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
@@ -47,12 +46,15 @@ def vector_frame(df: DataFrame, vec: str = "embedding", label: str | None = "lab
     return d.withColumn("label", F.col(label).cast("double")) if label else d
 
 
-def gbm_classify(train: DataFrame, valid: DataFrame, id_col: str = "vec_id", watch_mod: int = 10, params: boosting.Params | None = None) -> DataFrame:
-    """ML3: boosted trees on the multiclass log loss; every ``watch_mod``-th
-    training row (by a hash of its id) is watched for early stopping."""
+def fit_boosted(train: DataFrame, id_col: str = "vec_id", watch_mod: int = 10, params: boosting.Params | None = None) -> boosting.Model:
+    """Boosted trees; every ``watch_mod``-th row (by a hash of its id) is watched for early stopping."""
     watched = F.pmod(F.xxhash64(id_col), F.lit(watch_mod)) == 0
-    model = boosting.fit(train.where(~watched), train.where(watched), id_col, params=params)
-    return boosting.predict(model, valid)
+    return boosting.fit(train.where(~watched), train.where(watched), id_col, params=params)
+
+
+def gbm_classify(train: DataFrame, valid: DataFrame, id_col: str = "vec_id", params: boosting.Params | None = None) -> DataFrame:
+    """ML3: boosted trees on the multiclass log loss."""
+    return boosting.predict(fit_boosted(train, id_col, params=params), valid)
 
 
 def svm_classify(train: DataFrame, valid: DataFrame, id_col: str = "vec_id", c: float = 25.0, gamma: float | str = "scale") -> DataFrame:
@@ -89,10 +91,8 @@ def project_linear(df: DataFrame, vec: str = "embedding", k: int = 3) -> DataFra
     return PCA(k=k, inputCol="_f", outputCol="_pc").fit(d).transform(d).withColumn("pc", vector_to_array("_pc")).drop("_f", "_pc")
 
 
-def fit_and_store(train: DataFrame, path: str) -> PipelineModel:
-    """Fit boosted trees (one model per class), save them, load them back
-    (the stored artefact is what scoring uses)."""
-    trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.1, seed=42)
-    model = Pipeline(stages=[OneVsRest(classifier=trees)]).fit(train)
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path)
+def fit_and_store(train: DataFrame, path: str, id_col: str = "vec_id", params: boosting.Params | None = None) -> boosting.Model:
+    """Fit boosted trees, store them as a plain table, read them back (the
+    stored artefact is what scoring uses)."""
+    boosting.save(fit_boosted(train, id_col, params=params), train.sparkSession, path)
+    return boosting.load(train.sparkSession, path)

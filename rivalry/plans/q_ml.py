@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from rivalry.functions.probs import argmax
-from rivalry.operators import combine, labels, ml, text_features
+from rivalry.operators import boosting, combine, labels, ml, text_features
 from rivalry.plans import fixtures as fx
 from rivalry.plans.corpus import render_text
 from rivalry.plans.registry import register
@@ -104,5 +104,5 @@ def q_predictions_as_features(spark, sf):
 @register("model_store")
 def q_model_store(spark, sf):
     train, valid = _split(spark, sf)
-    model = ml.fit_and_store(train, scratch_path(spark, "model"))
-    return model.transform(valid).select("vec_id", "label", "prediction")
+    model = ml.fit_and_store(train, scratch_path(spark, "model"), params=boosting.Params(max_rounds=20))
+    return boosting.predict(model, valid).select("vec_id", "label", "prediction")
