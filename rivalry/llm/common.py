@@ -5,10 +5,10 @@ from __future__ import annotations
 import functools
 import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.session import cut_lineage, scratch_path, ship_package, table
+from rivalry.session import cut_lineage, scratch_path, ship_package, small_batches, table
 
 __all__ = ["cut_lineage", "scratch_path", "ship_package", "table", "let", "WORD", "BLANK", "keyed_id",
            "tokenizer_path", "small_batches"]
@@ -42,13 +42,6 @@ def tokenizer_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
-    """Arrow batches of about ``size`` bytes at most, however long the texts are,
-    so that a Python worker holds a few MB of text at a time.  A session setting,
-    read when a plan runs; each operator sets its own."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
 class ChunkTable(dict):
     """Values of distinct text chunks, computed once and kept up to ``room`` entries.
 

@@ -10,11 +10,10 @@ rows scaled to length 1.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
@@ -27,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from rivalry.functions.text import TOKEN_PATTERN, tokens
-from rivalry.session import cut_lineage
+from rivalry.session import cut_lineage, small_batches
 
 MAX_FEATURES = 1 << 18
 TERM_BLOCK = 256
+SLICE_TOKENS = 1 << 14  # a worker holds the directions of so many tokens at a time, or of one longer row
 
 
 def lower_tokens(text: str):
@@ -86,13 +86,23 @@ def stack_features(df: DataFrame, cols: list[str], out: str = "features") -> Dat
 
 # ---------------------------------------------------------------- embeddings
 
-def _weights(model: Tfidf, rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, token number, weight) of the tokens that the rows hold."""
+def _slices(rows: pa.ListArray) -> Iterator[pa.ListArray]:
+    """The rows in order, in runs of at most ``SLICE_TOKENS`` tokens and rows, or one longer row."""
+    ends = rows.offsets.to_numpy() + np.arange(len(rows) + 1)
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_TOKENS, side="right")) - 1)
+        yield rows.slice(a, b - a)
+        a = b
+
+
+def _weights(known: pa.Array, idf: np.ndarray, rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, token number, weight) of the ``known`` tokens that the rows hold."""
     size = np.diff(rows.offsets.to_numpy())
-    flat = pc.index_in(rows.flatten(), value_set=pa.array(model.tokens)).fill_null(-1).to_numpy()
+    flat = pc.index_in(rows.flatten(), value_set=known).fill_null(-1).to_numpy()
     keys, n = np.unique((np.repeat(np.arange(len(size)), size) << 32 | flat)[flat >= 0], return_counts=True)
     row, at = keys >> 32, keys & 0xFFFFFFFF
-    weight = n * model.idf[at]
+    weight = n * idf[at]
     return row, at, weight / np.sqrt(np.bincount(row, weight * weight, len(size)))[row]
 
 
@@ -104,20 +114,36 @@ def _projected(row: np.ndarray, at: np.ndarray, weight: np.ndarray, directions:
     return out
 
 
+def _add_products(sums: np.ndarray, model: Tfidf, rows: pa.ListArray, directions: np.ndarray) -> None:
+    """Adds row x (row . directions) of every row to ``sums``, a slice of rows at a time."""
+    known = pa.array(model.tokens, pa.string())
+    for some in _slices(rows):
+        row, at, weight = _weights(known, model.idf, some)
+        seen = _projected(row, at, weight, directions, len(some))
+        np.add.at(sums, at, weight[:, None] * seen[row])
+
+
 @dataclass
 class Embedder:
     tfidf: Tfidf
     basis: np.ndarray  # (tokens, dimensions)
 
+    def vectors(self, words: pa.ListArray) -> pa.ListArray:
+        """The unit vectors of token lists, a slice of rows at a time."""
+        known, parts = pa.array(self.tfidf.tokens, pa.string()), [np.zeros((0, self.basis.shape[1]))]
+        for some in _slices(words):
+            x = _projected(*_weights(known, self.tfidf.idf, some), self.basis, len(some))
+            parts.append(x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None])
+        x = np.concatenate(parts)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
     def transform(self, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
         """``df`` with the unit vector ``out``; a text without known tokens gets zeros."""
-        model, basis = self.tfidf, self.basis
-
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def embedded(words: pd.Series) -> pd.Series:
-            x = _projected(*_weights(model, pa.array(words, pa.list_(pa.string()))), basis, len(words))
-            return pd.Series(list(x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]), dtype=object)
+        @F.arrow_udf(ArrayType(DoubleType()))
+        def embedded(words: pa.Array) -> pa.Array:
+            return self.vectors(words)
 
+        small_batches(df.sparkSession)
         return df.withColumn(out, embedded(lower_tokens(text)))
 
 
@@ -125,7 +151,9 @@ def fit_embedder(df: DataFrame, text: str = "text", dim: int = 64, min_df: int =
                  passes: int = 3, extra: int = 16, seed: int = 0) -> Embedder:
     """The leading ``dim`` right singular vectors of the TF-IDF matrix, by
     subspace iteration on random directions: a pass sums row x (row . directions)
-    inside the tasks and adds the tasks' blocks of ``TERM_BLOCK`` tokens."""
+    inside the tasks and adds the tasks' blocks of ``TERM_BLOCK`` tokens.  A task
+    holds its sums (tokens x directions) and the directions of one slice of rows."""
+    small_batches(df.sparkSession)
     model = fit_tfidf(df, text, min_df, max_df, max_features)
     n_terms, width = len(model.tokens), min(dim + extra, len(model.tokens))
     rows = cut_lineage(df.select(lower_tokens(text).alias("words")), "embed-words")
@@ -135,9 +163,7 @@ def fit_embedder(df: DataFrame, text: str = "text", dim: int = 64, min_df: int =
         def run(batches):
             sums = np.zeros((-(-n_terms // TERM_BLOCK) * TERM_BLOCK, width))
             for batch in batches:
-                row, at, weight = _weights(model, batch.column("words"))
-                seen = _projected(row, at, weight, directions, batch.num_rows)
-                np.add.at(sums, at, weight[:, None] * seen[row])
+                _add_products(sums, model, batch.column("words"), directions)
             for b in range(0, len(sums), TERM_BLOCK):
                 yield pa.record_batch([pa.array([b // TERM_BLOCK], pa.int32()), pa.array([sums[b:b + TERM_BLOCK].ravel()], schema.field("sums").type)], schema=schema)
 

@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -249,6 +251,30 @@ def test_learned_embeddings_find_paraphrases(spark):
     assert all(not any(r["embedding"]) for r in model.transform(blank).collect())
 
 
+def test_embedder_holds_one_slice_of_rows():
+    """A batch of 600,000 tokens: memory stays far below tokens x directions (400 MB), the sums are the whole batch's."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(2000)]
+    model = text_features.Tfidf(words, rng.uniform(1, 3, len(words)))
+    basis = rng.normal(size=(len(words), 80))
+    sizes = [*[300] * 1900, 0, 0, 30000]
+    at = [rng.integers(0, len(words) + 50, n) for n in sizes]  # the last 50 are unknown tokens
+    rows = pa.array([[words[i] if i < len(words) else f"x{i}" for i in a] for a in at], pa.list_(pa.string())).slice(1)
+    sums = np.zeros((len(words), 80))
+    tracemalloc.start()
+    got = text_features.Embedder(model, basis).vectors(rows)
+    text_features._add_products(sums, model, rows, basis)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    x = np.stack([np.bincount(a[a < len(words)], minlength=len(words)) for a in at[1:]]) * model.idf
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    assert np.allclose(sums, x.T @ (x @ basis))
+    y = x @ basis
+    assert np.allclose(np.stack(got.to_pylist()), y / np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None])
+    assert len(text_features.Embedder(model, basis).vectors(rows.slice(0, 0))) == 0
+
+
 def test_trained_scorer(spark):
     rng = random.Random(3)
     words = [["alpha", "beta"], ["gamma", "delta"], ["omega", "sigma"]]
