@@ -9,13 +9,12 @@ executors.  Per text:
    addresses, national phone formats, any long digit group, any dotted quad.
 3. Gradient-boosted trees score each candidate on its format (lengths, digit
    groups, checksum, octets) and context (neighbouring characters, cue words).
-   They learn from at most about ``train_docs`` documents (a hash sample):
-   candidates that a base rule confirms are positive, the others negative, and
-   base finds rewritten in another format (no country code, spelled-out ``@``)
-   are positive in their own surroundings.
-4. A threshold per kind is set on the held-out half of the sample: the lowest
-   score from which at least ``precision`` of the candidates are positive.
-   A kind without such a score adds nothing.
+   They learn from the candidates of all documents: those that a base rule
+   confirms are positive, the others negative, and base finds rewritten in another
+   format (no country code, spelled-out ``@``) are positive in their own
+   surroundings.  One half of the candidates (by a hash) grows the trees.
+4. A threshold per kind is set on the other, held-out half: the lowest score from
+   which at least ``precision`` of the candidates are positive.  A kind without such a score adds nothing.
 The trained trees are turned into one arithmetic expression and evaluated
 inside the row, so texts are never exploded or shuffled.
 
@@ -35,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, let
 
 KINDS = ["email", "ip", "card", "phone"]
-TRAIN_DOCS = 20_000
 PRECISION = 0.98
 
 # The base rules in forms that Java matches without recursion; \G and the look-behind only skip starts that cannot match.
@@ -158,12 +156,11 @@ def _unpack(node):
     return (s.featureIndex(), s.threshold(), _unpack(node.leftChild()), _unpack(node.rightChild()))
 
 
-def training_rows(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(x, label): candidates of a hash sample of the documents, and of base
-    finds rewritten in another format."""
-    one_in = max(1, -(-docs.count() // train_docs))
-    sample = docs.select(F.col("text").cast("string")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
-    marked = cut_lineage(with_spans(sample).select("_base", "_cand"), "pii-sample")
+def training_rows(docs: DataFrame) -> DataFrame:
+    """(x, label): candidates of all documents, and of base finds rewritten in
+    another format."""
+    spans = with_spans(docs.select(F.col("text").cast("string"))).select("_base", "_cand")
+    marked = cut_lineage(spans.where(F.size("_cand") + F.size("_base") > 0), "pii-candidates")
 
     def labelled(df):
         same = F.exists("_base", lambda b: (b["kind"] == F.col("x.kind")) & (b["s"] == F.col("x.s")) & (b["e"] == F.col("x.e")))
@@ -185,15 +182,15 @@ def training_rows(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     return labelled(marked).unionByName(rewritten.select("x", covers.cast("double").alias("label")))
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, precision: float = PRECISION) -> Trees | None:
+def train(docs: DataFrame, precision: float = PRECISION) -> Trees | None:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = training_rows(docs, train_docs)
+    rows = training_rows(docs)
     f = features(F.col("x"))
     rows = rows.select("label", F.col("x.kind").alias("kind"), F.pmod(F.xxhash64("x"), F.lit(2)).alias("half"),
                        *[f[n].alias(n) for n in FEATURES])
-    rows = cut_lineage(rows.coalesce(4), "pii-rows")
+    rows = cut_lineage(rows, "pii-rows")
     classes = rows.where("half = 0").groupBy("label").count().count()
     if classes < 2:
         return None

@@ -184,6 +184,12 @@ def test_pii_trees_add_other_formats(spark, docs, pii_model):
     assert spans == f"email:16:{text.index(' or call')},phone:{text.index('(212')}:{text.index(' today')}"
 
 
+def test_pii_learns_from_every_document(spark):
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "concat('Write to user', id, '@mail.example.com today') AS text")
+    rows = pii.training_rows(docs).where("label = 1 AND contains(x.h, '@')")
+    assert rows.select("x.h").distinct().count() == 24_000
+
+
 def test_pii_long_and_odd(spark, docs, odd_docs, pii_model):
     rows = [(1, "1" * 50000, None), (2, "1 2-" * 10000, None), (3, "a@" + "a.b-" * 10000, None), (4, "+1" + " ()5" * 10000, None)]
     check_pii(pii.pii_digest(docs(rows), pii_model).collect(), {i: t for i, t, _ in rows})
