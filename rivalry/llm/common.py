@@ -5,13 +5,14 @@ from __future__ import annotations
 import functools
 import itertools
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.session import cut_lineage, scratch_path, ship_package, small_batches, table
 
 __all__ = ["cut_lineage", "scratch_path", "ship_package", "table", "let", "WORD", "BLANK", "keyed_id",
-           "tokenizer_path", "small_batches"]
+           "tokenizer_path", "small_batches", "kept"]
 
 #: The contract's word: a maximal run of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,6 +80,24 @@ def bpe_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What this Python worker keeps for ``operator`` from one task to the next.
+
+    Spark goes on with the same workers in later operators.  A worker that begins
+    another one drops what it kept, so a table of hundreds of MB does not stay
+    beside the memory of steps that have no use for it.
+    """
+    if operator not in _KEPT:
+        _KEPT.clear()
+        bpe_tokenizer.cache_clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[operator] = {}
+    return _KEPT[operator]
+
+
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra columns with any name never clash."""
     return df.select(*[F.col(n) for n in names])

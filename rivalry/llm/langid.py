@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, let, small_batches
+from .common import cut_lineage, kept, let, small_batches
 
 PER_LANG, LANDMARKS, RIDGE, SEGMENT = 500, 128, 1e-3, 4096
 SAMPLE, LEAST, MOST_LANDMARKS = 128_000, 32, 1024
@@ -163,6 +163,7 @@ def predict(docs: DataFrame, model: KernelModel | None, batch_segments: int = 64
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", lang_pred string, score double"
 
     def run(batches):
+        kept("language")
         for batch in batches:
             segments, owner = [], []
             for k, text in enumerate(batch.column(names.index("text")).to_pylist()):

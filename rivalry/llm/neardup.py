@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small_batches
+from .common import cut_lineage, kept, small_batches
 from .components import components
 
 WIDTH, PERCENT, COORDS = 3, 85, 64
@@ -153,6 +153,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, coords: int = COORDS) -> DataF
     small_batches(docs.sparkSession)
 
     def run(batches):
+        kept("near duplicates")
         for batch in batches:
             sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()], width)
             hi, lo, sig = [], [], []

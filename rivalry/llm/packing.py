@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, bpe_tokenizer, cut_lineage, small_batches, tokenizer_path
+from .common import ChunkTable, bpe_tokenizer, cut_lineage, kept, small_batches, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 4096
@@ -34,7 +34,6 @@ END_ID = 1
 SHARD_PIECES = 16_384
 
 _WORDLIKE = re.compile("[a-zß-öø-ÿ]+").fullmatch
-_TABLES: dict[str, ChunkTable] = {}
 
 
 def _split(text: str) -> list[str]:
@@ -52,8 +51,9 @@ def _split(text: str) -> list[str]:
 
 def _word_table(path: str) -> ChunkTable:
     """Chunk → its ids as little-endian uint32 bytes."""
-    if path in _TABLES:
-        return _TABLES[path]
+    tables = kept("packing")
+    if path in tables:
+        return tables[path]
     tok = bpe_tokenizer(path)
     ends = np.zeros(tok.get_vocab_size(), dtype=bool)
     for piece, i in tok.get_vocab().items():
@@ -92,8 +92,8 @@ def _word_table(path: str) -> ChunkTable:
         odd = dict(zip(odd, one_by_one(odd))) if odd else {}
         return [odd[c] if c in odd else stems[c] if c in stems else stems[c[:-1]] + marks[c[-1]] for c in chunks]
 
-    _TABLES[path] = ChunkTable(compute, room=1_000_000, longest=24)
-    return _TABLES[path]
+    tables[path] = ChunkTable(compute, room=1_000_000, longest=24)
+    return tables[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, max_tokens: int = MAX_TOKENS, end_id: int = END_ID,

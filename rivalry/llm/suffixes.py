@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small_batches
+from .common import cut_lineage, kept, small_batches
 from .suffix_sort import repeated_starts, suffix_array
 
 LENGTH = 200
@@ -126,6 +126,7 @@ def anchor_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     names = ["_hi", "_lo", "start", "count", "key", "around"]
 
     def run(batches):
+        kept("repeats")
         for batch in batches:
             rows = []
             for k, text in enumerate(batch.column("text").to_pylist()):

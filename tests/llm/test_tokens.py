@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -14,8 +16,11 @@ from tokenizers import Tokenizer
 import __spark_entry__ as E
 from conftest import SF_SMALL, duck
 from llm_rows import docs, odd_docs  # noqa: F401
+from rivalry.llm import common, langid, packing
+from rivalry.llm.neardup import sketches
 from rivalry.llm.packing import pack_documents, pack_pieces, sum_of_squares, token_pieces
 from rivalry.llm.sentencepieces import encode_decode
+from rivalry.llm.suffixes import anchor_runs
 
 ALPHABET = list("ab  \n\t.,'sTRe é▁Éß…—́İJ̌字1\x85\xa0\x1c\x00😀") + ["'re", "<|endoftext|>", "<s>", "..", "  "]
 
@@ -128,3 +133,35 @@ def test_odd_rows(spark, odd_docs):
     assert sum(r["piece"] == 0 for r in packed) == n
     empty = odd_docs.limit(0)
     assert encode_decode(empty).count() == 0 and pack_documents(empty).count() == 0
+
+
+def test_a_worker_drops_the_table_of_chunks_when_it_begins_another_operator():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table = packing._word_table(path)
+    table.prepare([["one", "two"]])
+    assert packing._word_table(path) is table and len(table) == 2  # kept for the next task
+    gone = weakref.ref(table)
+    del table
+    common.kept("another operator")
+    assert gone() is None
+
+
+def test_stages_of_the_pipeline_let_go_of_what_packing_kept(docs):  # noqa: F811
+    df = docs([(n, f"word{n} and some more words", "en") for n in range(64)]).repartition(16)
+
+    def seen(batches):
+        for _ in batches:
+            pass
+        from rivalry.llm import common
+        yield pa.record_batch([pa.array(list(common._KEPT), pa.string())], names=["operator"])
+
+    def operators():
+        return [r[0] for r in df.select("doc_id").mapInArrow(seen, "operator string").collect()]
+
+    keyed = df.selectExpr("doc_id AS _hi", "doc_id AS _lo", "text")
+    for name, job in (("language", lambda: langid.predict(df, None)), ("near duplicates", lambda: sketches(df)),
+                      ("repeats", lambda: anchor_runs(keyed))):
+        token_pieces(df).collect()
+        assert "packing" in operators()
+        job().collect()
+        assert name in operators()
