@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 
 import pyarrow as pa
@@ -61,7 +62,7 @@ class ChunkTable(dict):
 
     def prepare(self, chunk_lists) -> None:
         """Makes ``table[chunk]`` work for every chunk of the lists until the next call."""
-        missing = list(set(itertools.filterfalse(self.__contains__, itertools.chain.from_iterable(chunk_lists))))
+        missing = list(itertools.filterfalse(self.__contains__, set().union(*chunk_lists)))
         self.passing = {}
         if missing:
             found = dict(zip(missing, self.compute(missing), strict=True))
@@ -93,6 +94,7 @@ def kept(operator: str) -> dict:
     if operator not in _KEPT:
         _KEPT.clear()
         bpe_tokenizer.cache_clear()
+        gc.collect()  # a table and the function that fills it refer to each other
         pa.default_memory_pool().release_unused()
         _KEPT[operator] = {}
     return _KEPT[operator]

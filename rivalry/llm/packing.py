@@ -81,18 +81,24 @@ def _word_table(path: str) -> ChunkTable:
         return out
 
     def compute(chunks):
+        table = tables[path]
         stems, odd = {}, []
         for c in chunks:
             stem = c[:-1] if c[-1:] in marks else c
-            if _WORDLIKE(stem):
-                stems[stem] = None
-            else:
+            if not _WORDLIKE(stem):
                 odd.append(c)
+            elif stem not in table:
+                stems[stem] = None
         stems = dict(zip(stems, words(list(stems))))
-        odd = dict(zip(odd, one_by_one(odd))) if odd else {}
-        return [odd[c] if c in odd else stems[c] if c in stems else stems[c[:-1]] + marks[c[-1]] for c in chunks]
+        found = dict(zip(odd, one_by_one(odd))) if odd else {}
+        for c in chunks:
+            if c not in found:
+                stem = c[:-1] if c[-1:] in marks else c
+                ids = stems[stem] if stem in stems else table[stem]
+                found[c] = ids if stem is c else ids + marks[c[-1]]
+        return [found[c] for c in chunks]
 
-    tables[path] = ChunkTable(compute, room=1_000_000, longest=24)
+    tables[path] = ChunkTable(compute, room=400_000, longest=24)
     return tables[path]
 
 
@@ -101,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, max_tokens: int =
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ``ids``
     when ``with_ids``).  Documents are tokenized chunk by chunk through a
     bounded table of distinct chunks, which gives the tokenizer's own ids."""
-    small_batches(docs.sparkSession, 8 << 20)  # a batch's new chunks are encoded together
+    small_batches(docs.sparkSession)
     fields = [pa.field("doc_id", pa.int64()), pa.field("piece", pa.int32()), pa.field("start", pa.int64()),
               pa.field("length", pa.int64()), pa.field("ids_crc32", pa.int64())]
     if with_ids:

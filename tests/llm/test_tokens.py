@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import sys
 import weakref
 import zlib
 
@@ -165,3 +166,32 @@ def test_stages_of_the_pipeline_let_go_of_what_packing_kept(docs):  # noqa: F811
         assert "packing" in operators()
         job().collect()
         assert name in operators()
+
+
+def test_packing_holds_little_memory_in_a_worker(spark, docs):  # noqa: F811
+    token_pieces(docs([(1, "some words", "en")]))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+    common.kept("another operator")
+    table = packing._word_table(public_tokenizers.path("word_bpe_49k.json"))
+    table.compute = lambda chunks: [c.encode()[:12] for c in chunks]  # as long as the ids of a word of three tokens
+    for k in range(0, 600_000, 50_000):
+        words = [f"word{n:08d}" for n in range(k, k + 50_000)]
+        table.prepare([words])
+        assert all(table[w] == w.encode() for w in words)  # also those that are not kept
+    held = sys.getsizeof(table) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in table.items())
+    common.kept("another operator")
+    assert held < 75e6
+
+
+def test_chunks_that_end_in_a_mark_equal_the_tokenizers_whatever_is_kept(bpe):
+    chunks = ["word", "word,", "word.", "été.", "été", ",", ".", "..", "..,", "!!", "!!,", "a1", "a1.", "", "strasse,", "x" * 60, "x" * 60 + "."]
+    for room in (0, 3, 1000):
+        common.kept("another operator")
+        table = packing._word_table(public_tokenizers.path("word_bpe_49k.json"))
+        table.room = room
+        for part in (chunks[::2], chunks, chunks[::-1], chunks[1::2]):
+            table.prepare([part])
+            for c in part:
+                assert table[c] == np.asarray(bpe.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        del table
+    common.kept("another operator")
