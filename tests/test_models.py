@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from conftest import SF_MED, SF_SMALL
 from rivalry.operators import ann, boosting, kernel_svm, knn, ml, text_features, training_log
 from rivalry.plans import fixtures as fx
+from rivalry.plans.q_retrieval import retrieval_augmentation
 
 
 def vectors(spark, x, y, first_id=0):
@@ -276,6 +278,25 @@ def test_embedder_holds_one_slice_of_rows():
     assert len(text_features.Embedder(model, basis).vectors(rows.slice(0, 0))) == 0
 
 
+def test_retrieval_embeds_prompts_and_corpus_in_one_space(spark):
+    """Prompts that share topic words with a few corpus prompts get an answer of their topic; a corpus prompt gets its own."""
+    rng = random.Random(6)
+    topics = [[f"t{k}x{j}" for j in range(12)] for k in range(30)]
+    common = [f"c{j}" for j in range(30)]
+    ask = lambda k: " ".join(rng.sample(topics[k], 8) + rng.choices(common, k=6))
+    asked = [[ask(k) for _ in range(4)] for k in range(30)]
+    talk = [(4 * k + j, t, role, text) for k in range(30) for j in range(4)
+            for t, role, text in ((0, "user", asked[k][j]), (1, "assistant", f"answer {k} {j}."))]
+    fights = [(k, [ask(k), asked[k][1], " ".join(rng.choices(common, k=5) + ["novel", f"only{k % 3}"])], ["a"] * 3, ["b"] * 3) for k in range(30)]
+    battles = spark.createDataFrame(fights, "id long, p array<string>, a array<string>, b array<string>")
+    conversations = spark.createDataFrame(talk, "conv_id long, turn int, role string, text string")
+    out = {r["id"]: r for r in retrieval_augmentation(battles, conversations, threshold=-2.0, dim=30).collect()}
+    assert len(out) == 30 and all(r["n_missing"] == 0 and r["n_added"] == 3 for r in out.values())
+    found = {k: re.findall(r"<response>answer (\d+) (\d+)\.</response>", r["text"]) for k, r in out.items()}
+    assert all(found[k][1] == (str(k), "1") for k in found)
+    assert np.mean([found[k][0][0] == str(k) for k in found]) >= 0.9
+
+
 def test_trained_scorer(spark):
     rng = random.Random(3)
     words = [["alpha", "beta"], ["gamma", "delta"], ["omega", "sigma"]]
