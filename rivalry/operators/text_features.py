@@ -152,11 +152,12 @@ def fit_embedder(df: DataFrame, text: str = "text", dim: int = 64, min_df: int =
     """The leading ``dim`` right singular vectors of the TF-IDF matrix, by
     subspace iteration on random directions: a pass sums row x (row . directions)
     inside the tasks and adds the tasks' blocks of ``TERM_BLOCK`` tokens.  A task
-    holds its sums (tokens x directions) and the directions of one slice of rows."""
+    holds its sums (tokens x directions) and the directions of one slice of rows;
+    there are at most two tasks a core, so what they write does not grow with ``df``."""
     small_batches(df.sparkSession)
     model = fit_tfidf(df, text, min_df, max_df, max_features)
     n_terms, width = len(model.tokens), min(dim + extra, len(model.tokens))
-    rows = cut_lineage(df.select(lower_tokens(text).alias("words")), "embed-words")
+    rows = cut_lineage(df.select(lower_tokens(text).alias("words")), "embed-words").coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     schema = pa.schema([("block", pa.int32()), ("sums", pa.list_(pa.float64()))])
 
     def pass_over(directions: np.ndarray) -> np.ndarray:

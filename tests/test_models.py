@@ -278,6 +278,18 @@ def test_embedder_holds_one_slice_of_rows():
     assert len(text_features.Embedder(model, basis).vectors(rows.slice(0, 0))) == 0
 
 
+def test_embedder_sums_come_from_a_few_tasks(spark, monkeypatch):
+    """Each task writes its whole sums: rows in 100 partitions are summed by two tasks a core at most, to the same vectors."""
+    d = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(200)], "id long, text string")
+    parts, real = [], type(d).mapInArrow
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, *a, **b: parts.append(self.rdd.getNumPartitions()) or real(self, *a, **b))
+    few = text_features.fit_embedder(d, dim=8)
+    monkeypatch.setattr(text_features, "cut_lineage", lambda df, name: df.repartition(100))
+    many = text_features.fit_embedder(d, dim=8)
+    assert len(parts) == 6 and max(parts) <= 2 * spark.sparkContext.defaultParallelism < 100
+    assert few.tfidf.tokens == many.tfidf.tokens and np.allclose(abs(few.basis), abs(many.basis))
+
+
 def test_retrieval_embeds_prompts_and_corpus_in_one_space(spark):
     """Prompts that share topic words with a few corpus prompts get an answer of their topic; a corpus prompt gets its own."""
     rng = random.Random(6)
